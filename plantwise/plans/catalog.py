@@ -347,3 +347,115 @@ def q_calendar_attrs(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
+
+
+# ---------------------------------------------------------------- T: money and rates
+from plantwise.functions import text as T  # noqa: E402
+from plantwise.operators import context as ctx  # noqa: E402
+from plantwise.operators import links as lk  # noqa: E402
+from plantwise.operators import mentions as mn  # noqa: E402
+from plantwise.operators import rates as rt  # noqa: E402
+from plantwise.plans.broadcast import materialize_and_size  # noqa: E402
+from plantwise.sources import fixtures as fxt  # noqa: E402
+
+CONTEXT_BUDGET = 1000
+
+
+def _texts_with_rate(spark, sf_dir):
+    texts = fxt.money_text(spark, sf_dir)
+    rates = materialize_and_size(fxt.daily_rates(spark, sf_dir).withColumnRenamed("rate_date", "order_date"))
+    return texts.join(rates, ["order_date"], "left")
+
+
+@register("money_mentions")
+def q_money_mentions(spark, sf_dir):
+    """Every dollar mention of every text ("R$" amounts are not mentions)."""
+    return mn.explode_mentions(fxt.money_text(spark, sf_dir), keep=("o_orderkey",)).select("o_orderkey", "pos", "mention")
+
+
+@register("money_parse")
+@rounded
+def q_money_parse(spark, sf_dir):
+    return mn.explode_mentions(fxt.money_text(spark, sf_dir), keep=("o_orderkey",)).select("o_orderkey", "amount")
+
+
+@register("money_format")
+def q_money_format(spark, sf_dir):
+    o = fxt.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", T.format_brl(F.col("o_totalprice")).alias("brl"))
+
+
+@register("money_rewrite")
+def q_money_rewrite(spark, sf_dir):
+    t = _texts_with_rate(spark, sf_dir)
+    return t.select("o_orderkey", T.rewrite_money(F.col("text"), F.col("rate")).alias("rewritten"))
+
+
+@register("money_by_group")
+@rounded
+def q_money_by_group(spark, sf_dir):
+    m = mn.explode_mentions(fxt.money_text(spark, sf_dir), keep=("o_orderpriority", "order_date"))
+    return mn.converted_by_group(m, fxt.daily_rates(spark, sf_dir), ("o_orderpriority",))
+
+
+@register("fx_asof")
+@rounded
+def q_fx_asof(spark, sf_dir):
+    primary, secondary, demands = fxt.rate_quotes(spark, sf_dir)
+    return rt.fx_asof(primary, secondary, demands, 600, 3600)
+
+
+# ---------------------------------------------------------------- T: links
+def _links(spark, sf_dir):
+    return lk.explode_links(fxt.link_text(spark, sf_dir), keep=("page_id",))
+
+
+@register("link_mentions")
+def q_link_mentions(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "pos", "tag", "url")
+
+
+@register("media_type")
+def q_media_type(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "url", "media_type")
+
+
+@register("render_kind")
+def q_render_kind(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "tag", "media_type", "render_kind")
+
+
+@register("drive_id")
+def q_drive_id(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "drive_id", "direct_url")
+
+
+@register("strip_drive_links")
+def q_strip_drive_links(spark, sf_dir):
+    return fxt.link_text(spark, sf_dir).select("page_id", T.strip_drive_links(F.col("text")).alias("text"))
+
+
+@register("answer_cleanup")
+def q_answer_cleanup(spark, sf_dir):
+    conv = fxt.table(spark, sf_dir, "conversations")
+    cleaned = conv.select("conv_id", "turn", T.answer_cleanup(F.col("text")).alias("text"))
+    return cleaned.filter(F.col("text").isNotNull())
+
+
+@register("link_census")
+def q_link_census(spark, sf_dir):
+    return lk.link_census(_links(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- T: rows and contexts
+@register("row_lines")
+def q_row_lines(spark, sf_dir):
+    conv = fxt.table(spark, sf_dir, "conversations")
+    return ctx.row_lines(conv, ["role", "text"], keep=["conv_id", "turn"])
+
+
+@register("context_by_group")
+def q_context_by_group(spark, sf_dir):
+    conv = fxt.table(spark, sf_dir, "conversations")
+    lines = ctx.row_lines(conv, ["role", "text"], keep=["conv_id", "turn"])
+    return ctx.context_by_group(lines, "conv_id", ["turn"], F.col("conv_id"), CONTEXT_BUDGET)

@@ -303,3 +303,128 @@ FROM typed
 
 def oracle_sql() -> dict[str, str]:
     return {name: render(name) for name in SQL}
+
+
+# ---------------------------------------------------------------- money and rates
+MONEY = r"""
+mt AS (
+  SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS order_date, o_totalprice AS p,
+         o_orderkey % 6 AS k FROM orders
+), mt2 AS (
+  SELECT *,
+    CASE k WHEN 0 THEN '$' || format('{:,.2f}', p)
+           WHEN 1 THEN '$ ' || translate(format('{:,.2f}', p), ',.', '.,')
+           WHEN 2 THEN NULL
+           WHEN 3 THEN '$' || replace(format('{:,.0f}', floor(p)), ',', '.')
+           WHEN 4 THEN '$' || format('{:.2f}', p)
+           ELSE '$' || format('{:.2f}', p) || '.' END AS mention,
+    CASE k WHEN 2 THEN NULL WHEN 3 THEN floor(p) WHEN 5 THEN round(p * 100) ELSE p END AS amount,
+    4.0::DOUBLE + CAST(day(order_date) % 7 AS DOUBLE) / 10.0::DOUBLE AS rate
+  FROM mt
+)
+"""
+BRL = "translate(format('{:,.2f}', CASE WHEN (@X) > 0 AND (@X) < 0.01 THEN 0.01 ELSE (@X) END), ',.', '.,')"
+
+add("money_mentions", MONEY + "@@\nSELECT o_orderkey, 0::INTEGER AS pos, mention FROM mt2 WHERE mention IS NOT NULL")
+add("money_parse", MONEY + "@@\nSELECT o_orderkey, amount FROM mt2 WHERE mention IS NOT NULL", ("amount",))
+add("money_format", f"SELECT o_orderkey, {BRL.replace('@X', 'o_totalprice')} AS brl FROM orders")
+add("money_rewrite", MONEY + r"""@@
+SELECT o_orderkey,
+  CASE WHEN k = 2 THEN 'Pedido ' || o_orderkey || ' custa R$ ' || translate(format('{:,.2f}', p), ',.', '.,') || ' total'
+       ELSE 'Pedido ' || o_orderkey || ' custa ' || replace(mention, '$', '\$') || ' (R\$ ' || """
+    + BRL.replace("@X", "amount * rate") + r""" || ')' || ' total' || chr(10) || '(valores sem impostos)' END AS rewritten
+FROM mt2
+""")
+add("money_by_group", MONEY + """@@
+SELECT o_orderpriority, count(*) AS n_mentions, count(amount) AS n_parsed,
+  CAST(sum(CAST(amount AS DECIMAL(20, 2))) AS DOUBLE) AS usd_total,
+  CAST(sum(CAST(amount AS DECIMAL(20, 2)) * CAST(rate AS DECIMAL(6, 2))) AS DOUBLE) AS brl_total
+FROM mt2 WHERE mention IS NOT NULL GROUP BY o_orderpriority
+""", ("usd_total", "brl_total"))
+add("fx_asof", """
+q1 AS (SELECT ts AS q_ts, event_id AS q_id, 4.0::DOUBLE + value / 1000.0::DOUBLE AS q_rate FROM events WHERE event_type = 'view'),
+q2 AS (SELECT ts AS q_ts, event_id AS q_id, 4.0::DOUBLE + value / 1000.0::DOUBLE AS q_rate FROM events WHERE event_type = 'signup'),
+dm AS (SELECT 'USD-BRL' AS pair, ts, event_id FROM events WHERE event_type = 'purchase'),
+a1 AS (SELECT dm.*, q1.q_ts AS p_ts, q1.q_id AS p_id, q1.q_rate AS p_rate FROM dm ASOF LEFT JOIN q1 ON dm.ts >= q1.q_ts),
+a2 AS (SELECT a1.*, q2.q_ts AS s_ts, q2.q_id AS s_id, q2.q_rate AS s_rate FROM a1 ASOF LEFT JOIN q2 ON a1.ts >= q2.q_ts),
+a3 AS (SELECT pair, ts, event_id,
+  CASE WHEN epoch_us(ts) - epoch_us(p_ts) < 600000000 THEN p_rate END AS primary_rate,
+  CASE WHEN epoch_us(ts) - epoch_us(p_ts) < 600000000 THEN p_id END AS primary_id,
+  CASE WHEN epoch_us(ts) - epoch_us(s_ts) < 3600000000 THEN s_rate END AS secondary_rate,
+  CASE WHEN epoch_us(ts) - epoch_us(s_ts) < 3600000000 THEN s_id END AS secondary_id FROM a2)
+@@
+SELECT *, coalesce(primary_rate, secondary_rate) AS rate,
+  CASE WHEN primary_rate IS NOT NULL THEN 'primary' WHEN secondary_rate IS NOT NULL THEN 'secondary' END AS source
+FROM a3
+""", ("primary_rate", "secondary_rate", "rate"))
+
+# ---------------------------------------------------------------- links
+LINKS = r"""
+lt AS (SELECT page_id, url AS u, page_id % 6 AS k FROM pages),
+lt2 AS (
+  SELECT page_id, k,
+    CASE k WHEN 0 THEN 'imagem' WHEN 1 THEN 'vídeo' ELSE '' END AS tag,
+    CASE k WHEN 0 THEN u || '.png' WHEN 1 THEN u || '.mp4' WHEN 2 THEN u
+           WHEN 3 THEN 'https://drive.google.com/file/d/ID' || page_id || '/view?usp=drive_link'
+           WHEN 4 THEN 'https://drive.google.com/open?id=ID' || page_id || '&x=1' END AS raw_url,
+    'Veja item ' || page_id || '. ' ||
+    CASE k WHEN 0 THEN 'Link de Imagem: ' || u || '.png' WHEN 1 THEN 'LINK DE VÍDEO: ' || u || '.mp4).'
+           WHEN 2 THEN u WHEN 3 THEN 'Link de Máquina: https://drive.google.com/file/d/ID' || page_id || '/view?usp=drive_link'
+           WHEN 4 THEN 'https://drive.google.com/open?id=ID' || page_id || '&x=1' ELSE 'sem link' END AS text
+  FROM lt
+), lk AS (
+  SELECT page_id, 0::INTEGER AS pos, tag, regexp_replace(raw_url, '[.)\]\s]+$', '') AS url FROM lt2 WHERE k <> 5
+), lk2 AS (
+  SELECT *, CASE
+    WHEN regexp_matches(lower(url), '\.(mp4|mov|avi|m4v|webm|mkv)') THEN 'video'
+    WHEN regexp_matches(lower(url), '\.(png|jpg|jpeg|webp|gif|bmp)') THEN 'image'
+    WHEN contains(url, 'drive.google.com') THEN 'drive' ELSE 'unknown' END AS media_type FROM lk
+), lk3 AS (
+  SELECT *, CASE
+    WHEN contains(tag, 'vídeo') OR contains(tag, 'video') OR media_type = 'video' THEN 'video'
+    WHEN contains(tag, 'imagem') OR contains(tag, 'foto') OR media_type = 'image' THEN 'image'
+    WHEN media_type = 'drive' AND regexp_matches(tag, 'máquina|foto|equipamento|mídia|apresentação') THEN 'image'
+    ELSE 'button' END AS render_kind,
+    CASE WHEN contains(url, '/file/d/') THEN nullif(split_part(split_part(url, '/file/d/', 2), '/', 1), '')
+         WHEN contains(url, 'id=') THEN nullif(split_part(split_part(url, 'id=', 2), '&', 1), '') END AS drive_id
+  FROM lk2
+)
+"""
+add("link_mentions", LINKS + "@@\nSELECT page_id, pos, tag, url FROM lk3")
+add("media_type", LINKS + "@@\nSELECT page_id, url, media_type FROM lk3")
+add("render_kind", LINKS + "@@\nSELECT page_id, tag, media_type, render_kind FROM lk3")
+add("drive_id", LINKS + """@@
+SELECT page_id, drive_id,
+  CASE WHEN media_type = 'drive' THEN 'https://drive.google.com/uc?export=download&id=' || drive_id END AS direct_url
+FROM lk3
+""")
+add("strip_drive_links", LINKS + r"""@@
+SELECT page_id, regexp_replace(text, 'https?://drive\.google\.com/file/d/[a-zA-Z0-9_-]+/view\?usp=drive_link', '', 'g') AS text
+FROM lt2
+""")
+add("link_census", LINKS + r"""@@
+SELECT render_kind, media_type, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:@]+)', 1), '') AS host,
+  count(*) AS n_links
+FROM lk3 GROUP BY ALL
+""")
+add("answer_cleanup", r"""
+ac AS (SELECT conv_id, turn,
+  regexp_replace(regexp_replace(regexp_replace(text, '(?i)Links de imagens:?', '', 'g'), '^\s+|\s+$', '', 'g'),
+                 '^\s*[*\-]\s*', '') AS text FROM conversations)
+@@
+SELECT conv_id, turn, text FROM ac WHERE text <> ''
+""")
+ROWLINE = r"""
+rl AS (SELECT conv_id, turn, concat_ws(' | ',
+  CASE WHEN role IS NOT NULL AND regexp_replace(role, '^\s+|\s+$', '', 'g') <> '' THEN 'role: ' || role END,
+  CASE WHEN text IS NOT NULL AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' THEN 'text: ' || text END) AS line
+  FROM conversations)
+"""
+add("row_lines", ROWLINE + "@@\nSELECT conv_id, turn, line FROM rl")
+add("context_by_group", ROWLINE + r""",
+cx AS (SELECT conv_id, '--- ' || conv_id || ' ---' || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS full_text
+       FROM rl GROUP BY conv_id)
+@@
+SELECT conv_id, CASE WHEN length(full_text) > 1000 THEN substr(full_text, 1, 1000) || chr(10) || '...[CONTEXTO TRUNCADO]'
+                     ELSE full_text END AS context FROM cx
+""")

@@ -105,3 +105,79 @@ def sheet_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         _percent_text("t10", eid).alias("c10"),
         _percent_text("o10", eid).alias("c11"),
     )
+
+
+# ---------------------------------------------------------------- money, rates, links, records
+MONEY_PREFIX = "Pedido "
+MONEY_MIDDLE = " custa "
+MONEY_SUFFIX = " total"
+
+
+def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer-like texts with one amount each, rendered six ways by ``o_orderkey % 6``:
+    US thousands, BR with a space, ``R$`` (no mention), BR thousands without cents, plain
+    decimal, plain decimal with a trailing dot. ``rate`` is a synthetic daily quote."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
+    p = F.col("o_totalprice")
+    us = F.format_number(p, 2)
+    br = F.translate(us, ",.", ".,")
+    br_int = F.translate(F.format_number(F.floor(p), 0), ",", ".")
+    plain = F.format_string("%.2f", p)
+    k = F.col("o_orderkey") % 6
+    amount = (
+        F.when(k == 0, F.concat(F.lit("$"), us))
+        .when(k == 1, F.concat(F.lit("$ "), br))
+        .when(k == 2, F.concat(F.lit("R$ "), br))
+        .when(k == 3, F.concat(F.lit("$"), br_int))
+        .when(k == 4, F.concat(F.lit("$"), plain))
+        .otherwise(F.concat(F.lit("$"), plain, F.lit(".")))
+    )
+    text = F.concat(F.lit(MONEY_PREFIX), F.col("o_orderkey").cast("string"), F.lit(MONEY_MIDDLE), amount, F.lit(MONEY_SUFFIX))
+    return o.select(
+        "o_orderkey",
+        "o_orderpriority",
+        F.to_date("o_orderdate").alias("order_date"),
+        text.alias("text"),
+    )
+
+
+def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One synthetic quote per order date: 4 + (day of month % 7) / 10."""
+    d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("rate_date")).distinct()
+    return d.withColumn("rate", F.lit(4.0) + (F.dayofmonth("rate_date") % 7).cast("double") / F.lit(10.0))
+
+
+def rate_quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(primary quotes, secondary quotes, demands) from ``events``: views are primary
+    quotes, signups secondary quotes, purchases the moments a rate is needed."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    pair = F.lit("USD-BRL").alias("pair")
+    rate = (F.lit(4.0) + F.col("value") / F.lit(1000.0)).alias("rate")
+    primary = e.filter(F.col("event_type") == "view").select(pair, "ts", F.col("event_id").alias("quote_id"), rate)
+    secondary = e.filter(F.col("event_type") == "signup").select(pair, "ts", F.col("event_id").alias("quote_id"), rate)
+    demands = e.filter(F.col("event_type") == "purchase").select(pair, "ts", "event_id")
+    return primary, secondary, demands
+
+
+LINK_IMAGE_TAG = "Link de Imagem: "
+LINK_VIDEO_TAG = "LINK DE VÍDEO: "
+LINK_MACHINE_TAG = "Link de Máquina: "
+DRIVE_FILE_URL = "https://drive.google.com/file/d/ID{}/view?usp=drive_link"
+DRIVE_OPEN_URL = "https://drive.google.com/open?id=ID{}&x=1"
+
+
+def link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer-like texts with links, rendered six ways by ``page_id % 6``."""
+    pg = table(spark, sf_dir, "pages").select("page_id", "url")
+    pid = F.col("page_id").cast("string")
+    k = F.col("page_id") % 6
+    body = (
+        F.when(k == 0, F.concat(F.lit(LINK_IMAGE_TAG), F.col("url"), F.lit(".png")))
+        .when(k == 1, F.concat(F.lit(LINK_VIDEO_TAG), F.col("url"), F.lit(".mp4).")))
+        .when(k == 2, F.col("url"))
+        .when(k == 3, F.concat(F.lit(LINK_MACHINE_TAG), F.lit("https://drive.google.com/file/d/ID"), pid,
+                                F.lit("/view?usp=drive_link")))
+        .when(k == 4, F.concat(F.lit("https://drive.google.com/open?id=ID"), pid, F.lit("&x=1")))
+        .otherwise(F.lit("sem link"))
+    )
+    return pg.select("page_id", F.concat(F.lit("Veja item "), pid, F.lit(". "), body).alias("text"))
