@@ -37,9 +37,18 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's str.strip() removes (its whitespace set).
+PY_WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_ws(c: Column | str) -> Column:
-    """Trim leading/trailing whitespace (tabs and newlines too, not only spaces)."""
-    return F.regexp_replace(_col(c).cast("string"), r"^\s+|\s+$", "")
+    """Trim leading/trailing whitespace like Python's ``str.strip()`` (a character-set
+    trim, no regex)."""
+    return F.btrim(_col(c).cast("string"), F.lit(PY_WHITESPACE))
 
 
 def number_or_null(c: Column | str) -> Column:
@@ -62,21 +71,31 @@ def percent_fraction(c: Column | str, bad_as_zero: bool = True) -> Column:
     return value
 
 
+DATE_SHAPE = r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/]([0-9]{2}|[0-9]{4}))$"
+
+
+def _ymd(y: Column, m: Column, d: Column) -> Column:
+    """Date from text parts via a non-throwing cast (invalid day/month -> null)."""
+    return F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+
+
 def day_first_date(c: Column | str) -> Column:
     """Mixed-format, day-first date text -> DATE, bad -> null.
 
-    ISO ``yyyy-mm-dd`` stays ISO; otherwise day first; a month > 12 in the first place
-    falls back to month first; two-digit years and ``-`` separators are accepted.
-    Time of day after the first space is ignored.
+    ``yyyy-mm-dd`` (or ``yyyy/mm/dd``) stays year first; otherwise day first; an impossible
+    day-first reading (month > 12) falls back to month first; two-digit years are
+    20yy; ``-`` and ``/`` separators are accepted; time after the first space is
+    ignored. Parsing splits the text into numbers and casts an ISO string, so a
+    non-matching form costs no exception.
     """
     head = F.substring_index(strip_ws(c), " ", 1)
-    slashed = F.replace(head, F.lit("-"), F.lit("/"))
-    return F.coalesce(
-        F.try_to_date(head, "yyyy-M-d"),
-        F.try_to_date(slashed, "d/M/yyyy"),
-        F.try_to_date(slashed, "M/d/yyyy"),
-        F.try_to_date(slashed, "d/M/yy"),
-    )
+    parts = F.split(head, "[-/]")
+    p1, p2, p3 = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
+    year = F.when(F.length(p3) == 2, F.concat(F.lit("20"), p3)).otherwise(p3)
+    year_first = _ymd(p1, p2, p3)
+    day_first = F.coalesce(_ymd(year, p2, p1), _ymd(year, p1, p2))
+    shaped = head.rlike(DATE_SHAPE)
+    return F.when(shaped, F.when(F.length(p1) == 4, year_first).otherwise(day_first))
 
 
 def shift_code(c: Column | str) -> Column:

@@ -67,7 +67,26 @@ def _percent_text(tenths: str, eid: F.Column) -> F.Column:
     return F.concat(F.expr(f"cast({tenths} div 10 as string)"), F.lit(","), (t % 10).cast("string"), sep)
 
 
+SHEET_COLUMNS = 12
+
+
 def sheet_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messy effectiveness sheet as a CSV file scanned by position.
+
+    It is rendered once from ``events`` into the shared folder (see ``staging``) and
+    read back with twelve text columns, as a sheet export would be.
+    """
+    from plantwise.sources.sheets import read_sheet_csv
+    from plantwise.sources.staging import stage_once
+
+    src = os.path.join(sf_dir, "events.parquet")
+    files = max(1, spark.sparkContext.defaultParallelism)
+    path = stage_once(spark, "sheet", [src], lambda: render_sheet(spark, sf_dir), fmt="csv",
+                      options={"header": "false"}, files=files)
+    return read_sheet_csv(spark, path, SHEET_COLUMNS)
+
+
+def render_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messy effectiveness sheet: twelve text columns ``c0..c11`` by position.
 
     Defects injected by rule: null machine, subtotal rows, bad date, other shift,
