@@ -459,3 +459,126 @@ def q_context_by_group(spark, sf_dir):
     conv = fxt.table(spark, sf_dir, "conversations")
     lines = ctx.row_lines(conv, ["role", "text"], keep=["conv_id", "turn"])
     return ctx.context_by_group(lines, "conv_id", ["turn"], F.col("conv_id"), CONTEXT_BUDGET)
+
+
+# ---------------------------------------------------------------- S: sources, L/F/A: browsing
+from plantwise.operators import browse as br  # noqa: E402
+from plantwise.sources import sheets as sh  # noqa: E402
+
+FACT_TEXT_NAMES = ["maquina", "data", "turno", "hora", "disponibilidade", "performance", "qualidade", "teep", "oee"]
+
+
+@register("scan_sheet")
+def q_scan_sheet(spark, sf_dir):
+    """Positional scan of the sheet file, nine named text columns."""
+    return fx.positional(sheet_raw(spark, sf_dir))
+
+
+def _production_sheet_path(spark, sf_dir):
+    """A headerless sheet with three leading junk lines (title, blank, caption)."""
+    from plantwise.sources.staging import stage_once
+
+    def build():
+        s = fxt.table(spark, sf_dir, "supplier").select(
+            F.col("s_suppkey").cast("string").alias("c0"), F.col("s_name").alias("c1"),
+            F.col("s_nationkey").cast("string").alias("c2"))
+        junk = spark.createDataFrame(
+            [("PRODUCAO", None, None), (None, None, None), ("Cod", "Maquina", "Setor")], "c0 string, c1 string, c2 string")
+        return junk.unionByName(s)
+
+    src = [fxt.os.path.join(sf_dir, "supplier.parquet")]
+    return stage_once(spark, "production", src, build, fmt="csv", options={"header": "false"})
+
+
+@register("scan_headerless")
+def q_scan_headerless(spark, sf_dir):
+    """S2 + A10: machines of a headerless sheet; leading lines fail the key test."""
+    raw = sh.read_sheet_csv(spark, _production_sheet_path(spark, sf_dir), 3)
+    rows = raw.filter(F.col("c0").rlike("^[0-9]+$"))
+    return br.distinct_values(rows, "c1", "machine")
+
+
+@register("source_profile")
+def q_source_profile(spark, sf_dir):
+    """S3: every record sheet file with rows, width and modification time."""
+    paths = [fxt.record_sheet_path(spark, sf_dir, name) for name in fxt.RECORD_SHEETS]
+    prof = sh.source_profile(spark, paths, 8)
+    return prof.withColumn("file_path", F.regexp_extract("file_path", r"(sheet-[a-z]+)-", 1))
+
+
+@register("record_scan")
+def q_record_scan(spark, sf_dir):
+    """A record sheet read from its header row, all values text."""
+    df = sh.read_record_sheet(spark, fxt.record_sheet_path(spark, sf_dir, "erros"), "erros")
+    return df.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+
+
+@register("table_scan")
+@rounded
+def q_table_scan(spark, sf_dir):
+    """The technical-sheet table with its declared 22-column schema."""
+    return sh.read_table(spark, fxt.spec_table_path(spark, sf_dir), br.SPEC_SCHEMA)
+
+
+@register("source_counts")
+def q_source_counts(spark, sf_dir):
+    """S6 + U1: rows per record sheet; an absent sheet counts 0 rows."""
+    sources = {name: sh.read_record_sheet(spark, fxt.record_sheet_path(spark, sf_dir, name), name)
+               for name in [*fxt.RECORD_SHEETS, fxt.MISSING_SHEET]}
+    return sh.source_counts(sources)
+
+
+@register("ink_per_thousand")
+@rounded
+def q_ink_per_thousand(spark, sf_dir):
+    spec = sh.read_table(spark, fxt.spec_table_path(spark, sf_dir), br.SPEC_SCHEMA)
+    return br.ink_per_thousand(spec, [(c, friendly) for c, _, friendly in fxt.INKS])
+
+
+@register("head_tail")
+@rounded
+def q_head_tail(spark, sf_dir):
+    o = fxt.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return br.head_tail(o, "o_orderkey", 5)
+
+
+@register("paginate")
+def q_paginate(spark, sf_dir):
+    o = fxt.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return br.paginate(o, "o_orderkey", page=3, size=20)
+
+
+@register("distinct_machines")
+def q_distinct_machines(spark, sf_dir):
+    return br.distinct_values(sheet_raw(spark, sf_dir), "c1", "maquina")
+
+
+@register("value_counts_top")
+def q_value_counts_top(spark, sf_dir):
+    """Ten most frequent TEEP cells (as text) of the period."""
+    raw = sheet_raw(spark, sf_dir)
+    in_p = fx.in_period(C.day_first_date("c2"), PERIOD[0], PERIOD[1])
+    return br.value_counts_top(raw.filter(in_p), "c10", 10)
+
+
+@register("point_lookup")
+@rounded
+def q_point_lookup(spark, sf_dir):
+    facts = fx.typed_facts(sheet_raw(spark, sf_dir))
+    eq = {"maquina": POINT[0], "data": F.to_date(F.lit(POINT[1])), "turno": POINT[2]}
+    cond = None
+    for c, v in eq.items():
+        term = F.col(c) == (v if isinstance(v, F.Column) else F.lit(v))
+        cond = term if cond is None else cond & term
+    return facts.filter(cond).select("maquina", "data", "turno", "hora", "teep", "oee")
+
+
+@register("substring_one")
+def q_substring_one(spark, sf_dir):
+    return br.substring_one(sheet_raw(spark, sf_dir).select(F.col("c1").alias("maquina")), "maquina", "11")
+
+
+@register("substring_all_columns")
+def q_substring_all_columns(spark, sf_dir):
+    cust = fxt.table(spark, sf_dir, "customer")
+    return br.substring_all_columns(cust, "12", 5, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])

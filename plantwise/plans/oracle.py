@@ -40,6 +40,16 @@ ev AS (
          ELSE CAST(m AS VARCHAR) || '- CX-360G' END AS maquina,
     CASE WHEN event_id % 89 = 0 THEN NULL ELSE d END AS data,
     CASE code WHEN 1 THEN 'Turno A' WHEN 2 THEN 'Turno B' END AS turno,
+    CASE WHEN event_id % 89 = 0 THEN 'x' WHEN event_id % 3 = 0 THEN strftime(d, '%Y-%m-%d')
+         WHEN event_id % 3 = 1 THEN strftime(d, '%d/%m/%Y') ELSE strftime(d, '%-d/%-m/%Y') END AS data_text,
+    CAST(code AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN '' ELSE '.0' END AS turno_text,
+    CASE WHEN event_id % 83 = 0 THEN 'n/d' ELSE CAST(h AS VARCHAR) END AS hora_text,
+    CASE WHEN event_id % 79 = 0 THEN '1.234,5' ELSE (a10 // 10) || ',' || (a10 % 10) || CASE WHEN event_id % 2 = 0 THEN '%' ELSE ' %' END END AS disp_text,
+    (p10 // 10) || ',' || (p10 % 10) || CASE WHEN event_id % 2 = 0 THEN '%' ELSE ' %' END AS perf_text,
+    (q10 // 10) || ',' || (q10 % 10) || CASE WHEN event_id % 2 = 0 THEN '%' ELSE ' %' END AS qual_text,
+    (t10 // 10) || ',' || (t10 % 10) || CASE WHEN event_id % 2 = 0 THEN '%' ELSE ' %' END AS teep_text,
+    (o10 // 10) || ',' || (o10 % 10) || CASE WHEN event_id % 2 = 0 THEN '%' ELSE ' %' END AS oee_text,
+    d AS d_true,
     CASE WHEN event_id % 83 = 0 THEN NULL ELSE CAST(h AS DOUBLE) END AS hora,
     CASE WHEN event_id % 79 = 0 THEN NULL ELSE CAST(a10 AS DOUBLE) / 1000 END AS disp_or_null,
     CASE WHEN event_id % 79 = 0 THEN 0.0 ELSE CAST(a10 AS DOUBLE) / 1000 END AS disponibilidade,
@@ -428,3 +438,80 @@ cx AS (SELECT conv_id, '--- ' || conv_id || ' ---' || chr(10) || string_agg(line
 SELECT conv_id, CASE WHEN length(full_text) > 1000 THEN substr(full_text, 1, 1000) || chr(10) || '...[CONTEXTO TRUNCADO]'
                      ELSE full_text END AS context FROM cx
 """)
+
+
+# ---------------------------------------------------------------- sources and browsing
+add("scan_sheet", """
+SELECT maquina, data_text AS data, turno_text AS turno, hora_text AS hora, disp_text AS disponibilidade,
+  perf_text AS performance, qual_text AS qualidade, teep_text AS teep, oee_text AS oee FROM sheet
+""")
+add("scan_headerless", "SELECT DISTINCT s_name AS machine FROM supplier WHERE s_name IS NOT NULL")
+add("record_scan", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment
+FROM customer
+""")
+add("table_scan", """
+SELECT p_partkey AS id, p_brand AS referencia, p_name AS produto, CAST(NULL AS VARCHAR) AS decoracao,
+  CAST(NULL AS VARCHAR) AS data_cadastro, CAST(NULL AS DOUBLE) AS tempo_s,
+  CAST((p_partkey * 3) % 97 AS DOUBLE) / 1000 AS cyan, CAST((p_partkey * 5) % 97 AS DOUBLE) / 1000 AS magenta,
+  CAST((p_partkey * 7) % 97 AS DOUBLE) / 1000 AS yellow, CAST((p_partkey * 11) % 97 AS DOUBLE) / 1000 AS black,
+  CAST((p_partkey * 13) % 97 AS DOUBLE) / 1000 AS white, CAST((p_partkey * 17) % 97 AS DOUBLE) / 1000 AS varnish,
+  CAST(NULL AS DOUBLE) AS largura, CAST(NULL AS DOUBLE) AS altura, CAST(NULL AS DOUBLE) AS diametro,
+  CAST(NULL AS VARCHAR) AS print_edge, CAST(NULL AS VARCHAR) AS powergrade, CAST(NULL AS VARCHAR) AS finish_time,
+  CAST(NULL AS VARCHAR) AS intervalo, CAST(NULL AS VARCHAR) AS uv_lamp, CAST(NULL AS VARCHAR) AS obs,
+  CAST(NULL AS VARCHAR) AS image_path
+FROM part
+""", ("tempo_s", "cyan", "magenta", "yellow", "black", "white", "varnish", "largura", "altura", "diametro"))
+add("source_counts", """
+SELECT 'erros' AS source, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'dacen', count(*) FROM supplier
+UNION ALL SELECT 'psi', count(*) FROM nation
+UNION ALL SELECT 'gerais', count(*) FROM region
+UNION ALL SELECT 'trabalhos', CAST(0 AS BIGINT)
+""")
+add("ink_per_thousand", """
+inks AS (
+  SELECT p_partkey AS id, p_brand AS referencia, p_name AS produto, 'Ciano' AS ink, CAST((p_partkey * 3) % 97 AS DOUBLE) / 1000 AS ml_per_unit FROM part
+  UNION ALL SELECT p_partkey, p_brand, p_name, 'Magenta', CAST((p_partkey * 5) % 97 AS DOUBLE) / 1000 FROM part
+  UNION ALL SELECT p_partkey, p_brand, p_name, 'Amarelo', CAST((p_partkey * 7) % 97 AS DOUBLE) / 1000 FROM part
+  UNION ALL SELECT p_partkey, p_brand, p_name, 'Preto', CAST((p_partkey * 11) % 97 AS DOUBLE) / 1000 FROM part
+  UNION ALL SELECT p_partkey, p_brand, p_name, 'Branco', CAST((p_partkey * 13) % 97 AS DOUBLE) / 1000 FROM part
+  UNION ALL SELECT p_partkey, p_brand, p_name, 'Verniz', CAST((p_partkey * 17) % 97 AS DOUBLE) / 1000 FROM part)
+@@
+SELECT id, referencia, produto, ink, ml_per_unit, ml_per_unit * 1000.0::DOUBLE AS ml_per_thousand FROM inks
+""", ("ml_per_unit", "ml_per_thousand"))
+add("head_tail", """
+SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice, 'head' AS part FROM orders ORDER BY o_orderkey LIMIT 5)
+UNION ALL
+SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice, 'tail' AS part FROM orders ORDER BY o_orderkey DESC LIMIT 5)
+""", ("o_totalprice",))
+add("paginate", """
+n AS (SELECT count(*) AS n_total FROM orders)
+@@
+SELECT o_orderkey, o_custkey, 3 AS page, CAST((n_total - 1) // 20 + 1 AS INTEGER) AS n_pages, 41 AS first_row,
+  60 AS last_row, n_total
+FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40), n
+""")
+add("distinct_machines", "SELECT DISTINCT maquina FROM sheet WHERE maquina IS NOT NULL")
+add("value_counts_top", f"""
+SELECT teep_text AS value, count(*) AS n FROM sheet WHERE data BETWEEN DATE '{P0}' AND DATE '{P1}'
+GROUP BY teep_text ORDER BY n DESC, value LIMIT 10
+""")
+add("point_lookup", """
+SELECT maquina, data, turno, hora, teep, oee FROM typed
+WHERE maquina = '105- CX-360G' AND data = DATE '2024-01-10' AND turno = 'Turno A'
+""", ("hora", "teep", "oee"))
+add("substring_one", "SELECT DISTINCT maquina FROM sheet WHERE contains(maquina, '11')")
+add("substring_all_columns", """
+lng AS (
+  SELECT 'c_custkey' AS column_name, CAST(c_custkey AS VARCHAR) AS value FROM customer
+  UNION ALL SELECT 'c_name', c_name FROM customer
+  UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer),
+hits AS (SELECT column_name, value, count(*) AS c FROM lng WHERE contains(value, '12') GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value) AS rn FROM hits)
+@@
+SELECT column_name, CAST(sum(c) AS BIGINT) AS n_matches,
+  string_agg(CASE WHEN rn <= 5 THEN value END, ', ' ORDER BY value) AS sample_values
+FROM rk GROUP BY column_name
+""")

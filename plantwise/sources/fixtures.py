@@ -200,3 +200,43 @@ def link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("sem link"))
     )
     return pg.select("page_id", F.concat(F.lit("Veja item "), pid, F.lit(". "), body).alias("text"))
+
+
+# ---------------------------------------------------------------- record sheets and the spec table
+# Record sheet name -> driver table it is rendered from.
+RECORD_SHEETS = {"erros": "customer", "dacen": "supplier", "psi": "nation", "gerais": "region"}
+MISSING_SHEET = "trabalhos"
+# Ink columns of the spec sheet, their multiplier in the test rule, and friendly names.
+INKS = [("cyan", 3, "Ciano"), ("magenta", 5, "Magenta"), ("yellow", 7, "Amarelo"),
+        ("black", 11, "Preto"), ("white", 13, "Branco"), ("varnish", 17, "Verniz")]
+
+
+def record_sheet_path(spark: SparkSession, sf_dir: str, name: str) -> str | None:
+    """Stage a record sheet (header CSV, all text) rendered from its driver table."""
+    from plantwise.sources.staging import stage_once
+
+    if name not in RECORD_SHEETS:
+        return None
+    tname = RECORD_SHEETS[name]
+    src = os.path.join(sf_dir, f"{tname}.parquet")
+    return stage_once(spark, f"sheet-{name}", [src], lambda: table(spark, sf_dir, tname), fmt="csv",
+                      options={"header": "true"})
+
+
+def spec_table_path(spark: SparkSession, sf_dir: str) -> str:
+    """Stage the technical-sheet table (22 columns) rendered from ``part``."""
+    from plantwise.sources.staging import stage_once
+
+    def build():
+        p = table(spark, sf_dir, "part")
+        cols = {
+            "id": F.col("p_partkey"),
+            "referencia": F.col("p_brand"),
+            "produto": F.col("p_name"),
+        }
+        for name, k, _ in INKS:
+            cols[name] = ((F.col("p_partkey") * k) % 97).cast("double") / F.lit(1000.0)
+        return p.select(*[c.alias(n) for n, c in cols.items()])
+
+    src = os.path.join(sf_dir, "part.parquet")
+    return stage_once(spark, "spec", [src], build, fmt="parquet")

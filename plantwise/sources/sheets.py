@@ -14,7 +14,7 @@ def positional_schema(n_cols: int, prefix: str = "c") -> StructType:
     return StructType([StructField(f"{prefix}{i}", StringType(), True) for i in range(n_cols)])
 
 
-def read_sheet_csv(spark: SparkSession, path: str, n_cols: int, header: bool = False) -> DataFrame:
+def read_sheet_csv(spark: SparkSession, path: str | list[str], n_cols: int, header: bool = False) -> DataFrame:
     """Positional text scan. Title/header/leading junk lines are not skipped by
     position (a distributed scan has no global row order); they fail the validity
     predicates of the cleaning step instead (their date cell does not parse)."""
@@ -24,3 +24,50 @@ def read_sheet_csv(spark: SparkSession, path: str, n_cols: int, header: bool = F
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
+
+
+def read_record_sheet(spark: SparkSession, path: str | None, name: str = "") -> DataFrame:
+    """Header row -> records, every cell text. A missing source gives an empty
+    frame (and a warning), not a failure."""
+    import warnings
+
+    from plantwise.sources.staging import exists
+
+    if not path or not exists(spark, path):
+        warnings.warn(f"record sheet {name or path!r} not found; using an empty frame", stacklevel=2)
+        return spark.createDataFrame([], StructType([]))
+    return (
+        spark.read.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE").csv(path)
+    )
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None, fmt: str = "parquet") -> DataFrame:
+    """``SELECT *`` of a stored table with a declared schema (missing columns come
+    back null; extra columns are not read)."""
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(path)
+
+
+def source_counts(sources: dict[str, DataFrame]) -> DataFrame:
+    """S6 + U1: rows per named source as one union of per-source counts (partial counts
+    per source, no data movement beyond one row per source and task)."""
+    out = None
+    for name, df in sources.items():
+        c = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("source"), "n_rows")
+        out = c if out is None else out.unionByName(c, allowMissingColumns=True)
+    return out
+
+
+def source_profile(spark: SparkSession, folder: str | list[str], n_cols: int) -> DataFrame:
+    """S3: every file of a folder of sheets: rows, widest row (shape guard: the machine
+    column is only meaningful when the sheet has more than one column) and modification
+    time, from the file metadata column."""
+    raw = read_sheet_csv(spark, folder, n_cols).select("*", "_metadata.file_path", "_metadata.file_modification_time")
+    width = F.size(F.filter(F.array(*[F.col(f"c{i}") for i in range(n_cols)]), lambda x: x.isNotNull()))
+    return raw.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(width).alias("n_cols"),
+        F.max("file_modification_time").alias("modified"),
+    ).withColumn("has_machine_column", F.col("n_cols") > 1)
