@@ -582,3 +582,30 @@ def q_substring_one(spark, sf_dir):
 def q_substring_all_columns(spark, sf_dir):
     cust = fxt.table(spark, sf_dir, "customer")
     return br.substring_all_columns(cust, "12", 5, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+
+
+# ---------------------------------------------------------------- ST: streams
+from plantwise.streaming import ingest as st  # noqa: E402
+
+
+def _landing(spark, sf_dir):
+    from plantwise.sources.staging import stage_once
+
+    src = fxt.os.path.join(sf_dir, "events.parquet")
+    files = max(1, spark.sparkContext.defaultParallelism)
+    return stage_once(spark, "sheet", [src], lambda: fxt.render_sheet(spark, sf_dir), fmt="csv",
+                      options={"header": "false"}, files=files)
+
+
+@register("stream_ingest")
+@rounded
+def q_stream_ingest(spark, sf_dir):
+    """ST1: the sheet files ingested by a file stream equal the batch facts."""
+    return st.ingest_facts(spark, _landing(spark, sf_dir)).select("maquina", "data", "turno", "hora", "teep", "oee")
+
+
+@register("stream_slots")
+@rounded
+def q_stream_slots(spark, sf_dir):
+    """ST2: finalized hourly (slot, shift) sums from the stream."""
+    return st.ingest_slot_sums(spark, _landing(spark, sf_dir), "1 hour")

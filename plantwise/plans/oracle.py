@@ -515,3 +515,15 @@ SELECT column_name, CAST(sum(c) AS BIGINT) AS n_matches,
   string_agg(CASE WHEN rn <= 5 THEN value END, ', ' ORDER BY value) AS sample_values
 FROM rk GROUP BY column_name
 """)
+
+
+# ---------------------------------------------------------------- streams
+add("stream_ingest", "SELECT maquina, data, turno, hora, teep, oee FROM facts", ("hora", "teep", "oee"))
+add("stream_slots", """
+sev AS (SELECT *, CAST(data AS TIMESTAMP) + to_hours(CAST(hora AS BIGINT)) AS event_ts FROM facts),
+mx AS (SELECT max(event_ts) AS max_ts FROM sev)
+@@
+SELECT data, hora, turno, sum(oee) AS oee_sum, sum(teep) AS teep_sum, count(*) AS n_rows
+FROM sev, mx WHERE event_ts + INTERVAL 1 HOUR <= max_ts - INTERVAL 1 HOUR
+GROUP BY data, hora, turno
+""", ("hora", "oee_sum", "teep_sum"))
