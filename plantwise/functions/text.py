@@ -80,28 +80,70 @@ def money_mentions(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(MONEY_PATTERN), 0)
 
 
-def _rewrite_one(mention: Column, rate: Column) -> Column:
-    val = parse_money(mention)
+def parse_money_array(mentions: Column) -> Column:
+    """T2 over an array of mentions, as a chain of small ``transform`` steps.
+
+    Lambdas of higher-order functions are evaluated without common-subexpression
+    elimination, so the single-expression parse would recompute shared pieces many times
+    per element; each step here references its input once or twice."""
+    cleaned = F.transform(mentions, lambda m: F.replace(
+        F.when(strip_ws(m).startswith("$"), F.substring(strip_ws(m), 2, 1 << 20)).otherwise(strip_ws(m)),
+        F.lit(" "), F.lit("")))
+    shaped = F.transform(cleaned, lambda s: F.struct(
+        s.alias("s"),
+        (F.length(s) - F.length(F.replace(s, F.lit("."), F.lit("")))).alias("dots"),
+        (F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))).alias("commas"),
+        (F.locate(",", F.reverse(s)) < F.locate(".", F.reverse(s))).alias("comma_last"),
+        F.length(F.substring_index(s, ",", -1)).alias("after_comma"),
+        F.length(F.substring_index(s, ".", -1)).alias("after_dot"),
+    ))
+
+    def normalise(x: Column) -> Column:
+        s, dots, commas = x["s"], x["dots"], x["commas"]
+        no_dots = F.replace(s, F.lit("."), F.lit(""))
+        no_commas = F.replace(s, F.lit(","), F.lit(""))
+        return strip_ws(
+            F.when((commas > 0) & (dots > 0),
+                   F.when(x["comma_last"], F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas))
+            .when(commas > 0, F.when((commas == 1) & (x["after_comma"] <= 2), F.replace(s, F.lit(","), F.lit(".")))
+                  .otherwise(no_commas))
+            .when(dots == 1, F.when(x["after_dot"] == 3, no_dots).otherwise(s))
+            .when(dots > 1, no_dots)
+            .otherwise(s)
+        )
+
+    numbers = F.transform(shaped, normalise)
+    return F.transform(numbers, lambda t: F.when(t.rlike(_PLAIN_NUMBER), t.try_cast("double")))
+
+
+def _replacement(mention: Column, amount: Column, rate: Column) -> Column:
     converted = F.concat(
-        F.replace(mention, F.lit("$"), F.lit("\\$")), F.lit(" (R\\$ "), format_brl(val * rate), F.lit(")")
+        F.replace(mention, F.lit("$"), F.lit("\\$")), F.lit(" (R\\$ "), format_brl(amount * rate), F.lit(")")
     )
-    return F.when(val.isNull() | rate.isNull(), mention).otherwise(converted)
+    return F.when(amount.isNull() | rate.isNull(), mention).otherwise(converted)
 
 
-def rewrite_money(text: Column, rate: Column) -> Column:
+def rewrite_money_frame(df, text_col: str, rate_col: str, out_col: str = "rewritten"):
     """T4: every mention gets its converted value appended; if there was a mention the
     text ends with a newline and the no-tax note. Text without a mention, or with no
-    (or zero) rate, is returned unchanged."""
-    found = money_mentions(text)
-    parts = F.split(text, MONEY_PATTERN, -1)
-    n = F.size(found)
-    reps = F.transform(found, lambda m: _rewrite_one(m, rate))
-    body = F.concat(
-        F.array_join(F.zip_with(F.slice(parts, 1, n), reps, lambda a, b: F.concat(a, b)), ""),
-        F.element_at(parts, -1),
-    )
+    (or zero) rate, is returned unchanged.
+
+    Built as successive projections (mentions and the text pieces between them; parsed
+    amounts; replacements; assembly), so that each piece is computed once per row.
+    """
+    keep = [c for c in df.columns if c != out_col]
+    text, rate = F.col(text_col), F.col(rate_col)
+    step = df.select(*keep, money_mentions(text).alias("_m"), F.split(text, MONEY_PATTERN, -1).alias("_p"))
+    step = step.select("*", parse_money_array(F.col("_m")).alias("_v"))
+    step = step.select("*", F.zip_with("_m", "_v", lambda m, v: _replacement(m, v, rate)).alias("_r"))
+    n = F.size("_m")
+    step = step.select("*", F.concat(
+        F.array_join(F.zip_with(F.slice("_p", 1, n), "_r", lambda a, b: F.concat(a, b)), ""),
+        F.element_at("_p", -1)).alias("_body"))
+    body = F.col("_body")
     noted = F.concat(body, F.when(body.endswith("\n"), F.lit("")).otherwise(F.lit("\n")), F.lit(NO_TAX_NOTE))
-    return F.when((n == 0) | rate.isNull() | (rate == 0), text).otherwise(noted)
+    out = F.when((n == 0) | rate.isNull() | (rate == 0), text).otherwise(noted)
+    return step.select(*keep, out.alias(out_col))
 
 
 def link_parts(text: Column) -> Column:

@@ -91,6 +91,47 @@ def in_period(date_col: Column | str, start: DateLike | None, end: DateLike | No
     return cond
 
 
+TYPED_COLUMNS = ("maquina", "data", "turno", "hora", *PERCENT_COLUMNS, "machine_ok")
+
+
+def typed_sheet(raw: DataFrame) -> DataFrame:
+    """All rows of the sheet with a parseable date, cleaned, plus the F1 machine test as
+    a flag (``machine_ok``) so that validated and unvalidated populations come from one
+    table. This is what ``stage_typed_sheet`` writes once."""
+    named = positional(raw)
+    cols = [F.col("maquina"), day_first_date("data").alias("data"), shift_label("turno").alias("turno"),
+            hour_value("hora").alias("hora")]
+    cols += [percent_fraction(c, True).alias(c) for c in PERCENT_COLUMNS]
+    cols += [valid_machine("maquina").alias("machine_ok")]
+    return named.select(*cols).filter(F.col("data").isNotNull())
+
+
+def filter_facts(
+    typed: DataFrame,
+    period: tuple[DateLike | None, DateLike | None] | None = None,
+    shifts: tuple[str, ...] | None = SHIFTS,
+    hours: tuple[float, float] | None = WORK_HOURS,
+    weekdays_below: int | None = None,
+    validate: bool = True,
+    closed: str = "both",
+) -> DataFrame:
+    """F1-F6 on an already typed table (see ``typed_sheet``): every predicate is on a
+    typed column, so the period prunes date partitions and the rest is pushed to the
+    scan."""
+    facts = typed
+    if validate:
+        facts = facts.filter(F.col("machine_ok"))
+    if period is not None:
+        facts = facts.filter(in_period("data", period[0], period[1], closed))
+    if weekdays_below is not None:
+        facts = facts.filter(weekday_index("data") < weekdays_below)
+    if shifts:
+        facts = facts.filter(F.col("turno").isin(*shifts))
+    if hours is not None:
+        facts = facts.filter(F.col("hora").between(float(hours[0]), float(hours[1])))
+    return facts.drop("machine_ok")
+
+
 def oee_facts(
     raw: DataFrame,
     period: tuple[DateLike | None, DateLike | None] | None = None,

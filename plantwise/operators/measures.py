@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plantwise.functions.cleaning import weekday_index, weekday_name, weekday_name_pt
 from plantwise.operators.activity import SLOT_KEYS, active_slots
-from plantwise.operators.facts import SHIFTS, WORK_HOURS, in_period, typed_facts
+from plantwise.operators.facts import SHIFTS, WORK_HOURS, in_period
 from plantwise.plans.broadcast import materialize_and_size
 
 MEASURES = ("teep", "oee")
@@ -118,7 +118,7 @@ def shift_sets(facts: DataFrame, keys: Sequence[str] = ("data", "turno")) -> Dat
 
 
 def filter_funnel(
-    raw: DataFrame,
+    typed: DataFrame,
     period: tuple[str, str],
     shifts: Sequence[str] = SHIFTS,
     hours: tuple[float, float] = WORK_HOURS,
@@ -126,9 +126,10 @@ def filter_funnel(
     """Rows left after each filter (period, shift, hour, activity) in one scan.
 
     Activity is decided on the rows that pass period, shift and hour, and joined back as
-    a flag so that the earlier stages can still be counted in the same pass.
+    a flag so that the earlier stages can still be counted in the same pass. Input: the
+    typed sheet (``facts.typed_sheet``).
     """
-    facts = typed_facts(raw)
+    facts = typed.filter(F.col("machine_ok")).drop("machine_ok")
     in_p = in_period("data", period[0], period[1])
     in_s = F.col("turno").isin(*shifts)
     in_h = F.col("hora").between(float(hours[0]), float(hours[1]))
@@ -176,10 +177,12 @@ def threshold_sweep(facts: DataFrame, steps: int = 10, step: float = 0.05, targe
     )
 
 
-def scope_means(raw: DataFrame, period: tuple[str, str], shifts: Sequence[str] = SHIFTS,
+def scope_means(typed: DataFrame, period: tuple[str, str], shifts: Sequence[str] = SHIFTS,
                 hours: tuple[float, float] = WORK_HOURS, validate: bool = False) -> DataFrame:
-    """Mean OEE/TEEP under successive scopes, one conditional aggregate each."""
-    facts = typed_facts(raw, validate=validate).filter(in_period("data", period[0], period[1]))
+    """Mean OEE/TEEP under successive scopes, one conditional aggregate each.
+    Input: the typed sheet; F1' (no machine test) unless ``validate``."""
+    facts = typed.filter(F.col("machine_ok")) if validate else typed
+    facts = facts.filter(in_period("data", period[0], period[1]))
     ab = F.col("turno").isin(*shifts)
     hrs = F.col("hora").between(float(hours[0]), float(hours[1]))
     work = ~weekday_index("data").isin(5, 6)
@@ -201,9 +204,10 @@ def scope_means(raw: DataFrame, period: tuple[str, str], shifts: Sequence[str] =
     return _stack(facts.agg(*aggs), rows, ["scope_order", "scope", "n_rows", "oee_mean", "teep_mean"])
 
 
-def dates_present(raw: DataFrame, period: tuple[str, str]) -> DataFrame:
-    """Distinct dates of the raw sheet inside a period, with weekday names."""
-    facts = typed_facts(raw, validate=False).filter(in_period("data", period[0], period[1]))
+def dates_present(typed: DataFrame, period: tuple[str, str]) -> DataFrame:
+    """Distinct dates of the sheet (all rows with a date) inside a period, with
+    weekday names. Input: the typed sheet."""
+    facts = typed.filter(in_period("data", period[0], period[1]))
     return (
         facts.select("data").distinct()
         .select("data", weekday_name("data").alias("weekday"), weekday_name_pt("data").alias("weekday_pt"))

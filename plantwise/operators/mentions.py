@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plantwise.functions.text import money_mentions, parse_money, rewrite_money
+from plantwise.functions.text import money_mentions, parse_money, rewrite_money_frame
 from plantwise.plans.broadcast import materialize_and_size
 
 
@@ -17,9 +17,9 @@ def explode_mentions(df: DataFrame, text_col: str = "text", keep: tuple[str, ...
     )
 
 
-def rewrite_texts(df: DataFrame, rate: Column, text_col: str = "text", out_col: str = "rewritten") -> DataFrame:
-    """T4 over a text column with a per-row rate."""
-    return df.withColumn(out_col, rewrite_money(F.col(text_col), rate))
+def rewrite_texts(df: DataFrame, text_col: str = "text", rate_col: str = "rate", out_col: str = "rewritten") -> DataFrame:
+    """T4 over a text column with a per-row rate column."""
+    return rewrite_money_frame(df, text_col, rate_col, out_col)
 
 
 def converted_by_group(

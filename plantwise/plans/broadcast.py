@@ -36,17 +36,16 @@ def broadcast_if_bounded(df: DataFrame, bound_rows: int | None, limit_rows: int
 
 
 def materialize_and_size(df: DataFrame, limit_rows: int | None = None) -> DataFrame:
-    """Checkpoint a (small, aggregated) table in the shared folder, count it, and
-    broadcast it if it is under the limit.
+    """Persist a (small, aggregated) table, count it, and broadcast it only if the count
+    is under the limit; otherwise return it for a shuffled join.
 
-    The checkpoint cuts lineage, survives executor loss and makes the count cheap; the
-    count is the proof of size. Use only on tables that are the result of an
-    aggregation, never on a raw fact table.
+    The count is the proof of size. Persisting keeps the aggregate from being computed
+    twice (count, then broadcast build); a lost cached block is recomputed from lineage.
+    Use only on tables that are the result of an aggregation, never on raw facts.
     """
-    from plantwise.session import ensure_checkpoint_dir
+    from pyspark import StorageLevel
 
-    ensure_checkpoint_dir(df.sparkSession)
     limit = limit_rows if limit_rows is not None else max_broadcast_rows(df)
-    staged = df.checkpoint(eager=True)
+    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = staged.count()
     return F.broadcast(staged) if n <= limit else staged

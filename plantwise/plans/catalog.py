@@ -62,14 +62,21 @@ def rounded(fn):
 
 
 # ---------------------------------------------------------------- populations
+def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned sheet (written once, partitioned by date)."""
+    from plantwise.sources.fixtures import typed_sheet_table
+
+    return typed_sheet_table(spark, sf_dir)
+
+
 def standard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verified population: period, Mon-Fri, shifts A/B, hours 6-21, active slots."""
-    facts = fx.oee_facts(sheet_raw(spark, sf_dir), period=PERIOD, weekdays_below=5)
+    facts = fx.filter_facts(typed(spark, sf_dir), period=PERIOD, weekdays_below=5)
     return act.keep_active(facts, "global")
 
 
 def period_facts(spark: SparkSession, sf_dir: str, validate: bool = True, weekdays_below=None) -> DataFrame:
-    return fx.oee_facts(sheet_raw(spark, sf_dir), period=PERIOD, validate=validate, weekdays_below=weekdays_below)
+    return fx.filter_facts(typed(spark, sf_dir), period=PERIOD, validate=validate, weekdays_below=weekdays_below)
 
 
 # ---------------------------------------------------------------- A: aggregations
@@ -131,7 +138,7 @@ def q_shift_sets(spark, sf_dir):
 @register("filter_funnel")
 @rounded
 def q_filter_funnel(spark, sf_dir):
-    return ms.filter_funnel(sheet_raw(spark, sf_dir), PERIOD)
+    return ms.filter_funnel(typed(spark, sf_dir), PERIOD)
 
 
 @register("threshold_sweep")
@@ -143,13 +150,13 @@ def q_threshold_sweep(spark, sf_dir):
 @register("scope_means")
 @rounded
 def q_scope_means(spark, sf_dir):
-    return ms.scope_means(sheet_raw(spark, sf_dir), PERIOD)
+    return ms.scope_means(typed(spark, sf_dir), PERIOD)
 
 
 @register("dates_present")
 @rounded
 def q_dates_present(spark, sf_dir):
-    return ms.dates_present(sheet_raw(spark, sf_dir), PERIOD)
+    return ms.dates_present(typed(spark, sf_dir), PERIOD)
 
 
 # ---------------------------------------------------------------- F: filters
@@ -171,7 +178,7 @@ def q_active_slots_shift(spark, sf_dir):
 @register("active_hours_one_day")
 @rounded
 def q_active_hours_one_day(spark, sf_dir):
-    facts = fx.oee_facts(sheet_raw(spark, sf_dir), weekdays_below=5)
+    facts = fx.filter_facts(typed(spark, sf_dir), weekdays_below=5)
     return act.active_hours_one_day(facts, ONE_DAY).select("maquina", "data", "turno", "hora", "teep", "oee")
 
 
@@ -188,14 +195,14 @@ def q_valid_rows(spark, sf_dir):
 @rounded
 def q_raw_population(spark, sf_dir):
     """F1': subtotal and machine-less rows take part."""
-    return ms.means_by(fx.raw_population(sheet_raw(spark, sf_dir), period=PERIOD), ["turno"])
+    return ms.means_by(fx.filter_facts(typed(spark, sf_dir), period=PERIOD, validate=False), ["turno"])
 
 
 @register("recent_machines")
 @rounded
 def q_recent_machines(spark, sf_dir):
     """machines seen on or after a date (open-ended period)."""
-    facts = fx.typed_facts(sheet_raw(spark, sf_dir)).filter(fx.in_period("data", RECENT_SINCE, None))
+    facts = fx.filter_facts(typed(spark, sf_dir), period=(RECENT_SINCE, None), shifts=None, hours=None)
     return facts.groupBy("maquina").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("data").alias("first_date"), F.max("data").alias("last_date")
     )
@@ -249,7 +256,7 @@ def q_tolerance_bands(spark, sf_dir):
 @register("period_sensitivity")
 @rounded
 def q_period_sensitivity(spark, sf_dir):
-    facts = fx.oee_facts(sheet_raw(spark, sf_dir), period=("2024-01-02", PERIOD[1]))
+    facts = fx.filter_facts(typed(spark, sf_dir), period=("2024-01-02", PERIOD[1]))
     return rc.period_sensitivity(facts, PERIODS)
 
 
@@ -314,7 +321,7 @@ def q_clean_hour(spark, sf_dir):
 def q_oee_product(spark, sf_dir):
     """A x P x Q next to the sheet's OEE (9 decimals: the product of three
     3-decimal fractions is exact there; and 4 decimals half-even)."""
-    facts = fx.typed_facts(sheet_raw(spark, sf_dir))
+    facts = fx.filter_facts(typed(spark, sf_dir), shifts=None, hours=None)
     return facts.select(
         "maquina", "data", "hora", "oee",
         F.round(C.oee_product("disponibilidade", "performance", "qualidade"), 9).alias("oee_calc"),
@@ -335,7 +342,7 @@ def q_nz_components(spark, sf_dir):
 
 @register("calendar_attrs")
 def q_calendar_attrs(spark, sf_dir):
-    facts = fx.typed_facts(sheet_raw(spark, sf_dir))
+    facts = fx.filter_facts(typed(spark, sf_dir), shifts=None, hours=None)
     return facts.select("data").distinct().select(
         "data",
         C.weekday_index("data").alias("weekday"),
@@ -387,8 +394,8 @@ def q_money_format(spark, sf_dir):
 
 @register("money_rewrite")
 def q_money_rewrite(spark, sf_dir):
-    t = _texts_with_rate(spark, sf_dir)
-    return t.select("o_orderkey", T.rewrite_money(F.col("text"), F.col("rate")).alias("rewritten"))
+    t = _texts_with_rate(spark, sf_dir).select("o_orderkey", "text", "rate")
+    return mn.rewrite_texts(t, "text", "rate").select("o_orderkey", "rewritten")
 
 
 @register("money_by_group")
@@ -564,7 +571,7 @@ def q_value_counts_top(spark, sf_dir):
 @register("point_lookup")
 @rounded
 def q_point_lookup(spark, sf_dir):
-    facts = fx.typed_facts(sheet_raw(spark, sf_dir))
+    facts = fx.filter_facts(typed(spark, sf_dir), shifts=None, hours=None)
     eq = {"maquina": POINT[0], "data": F.to_date(F.lit(POINT[1])), "turno": POINT[2]}
     cond = None
     for c, v in eq.items():

@@ -44,22 +44,35 @@ def get_session(
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder; set one only where the cluster set none."""
+SHARED_DIR_KEY = "plantwise.shared.dir"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; only where it is
+    unset (tests, local runs) a folder of our own is created and remembered."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None
+    )
+    if not root:
+        root = spark.conf.get(SHARED_DIR_KEY, None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="plantwise-shared-")
+        spark.conf.set(SHARED_DIR_KEY, root)
+    return root
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """Make ``DataFrame.checkpoint()`` usable: set the context's checkpoint folder from
+    the shared root if the context has none yet."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if not configured:
-        configured = fallback or tempfile.mkdtemp(prefix="plantwise-ckpt-")
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    sc.setCheckpointDir(shared_root(spark))
+    return sc.getCheckpointDir() or shared_root(spark)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder (for stream checkpoints, staged tables)."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+    """A stable sub-folder of the shared root (staged tables, stream sinks and
+    checkpoints); unlike ``getCheckpointDir()`` it is the same for every application."""
+    return os.path.join(shared_root(spark), name)

@@ -50,6 +50,7 @@ def stage_once(
     fmt: str = "parquet",
     options: dict[str, str] | None = None,
     files: int | None = None,
+    partition_by: list[str] | None = None,
 ) -> str:
     """Return the path of the staged table, writing it first if it is not there yet."""
     key = path_identity(spark, sources)
@@ -59,6 +60,8 @@ def stage_once(
         if files:
             df = df.repartition(files)
         writer = df.write.mode("overwrite").format(fmt)
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
         for k, v in (options or {}).items():
             writer = writer.option(k, v)
         writer.save(path)
