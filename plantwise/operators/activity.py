@@ -47,6 +47,24 @@ def flag_active(facts: DataFrame, mode: str = "global", name: str = "active", me
     return facts.join(slots, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
 
 
+def flag_both_modes(facts: DataFrame, global_name: str = "act_global", shift_name: str = "act_shift",
+                    measure: str = "oee") -> DataFrame:
+    """Global and per-shift activity flags from a single slot aggregate: sums per
+    (date, shift, hour) are computed once, the global (date, hour) sums are derived from
+    them by a window over that small table, and one broadcast join on (date, shift,
+    hour) adds both flags."""
+    from pyspark.sql import Window
+
+    per_shift = slot_totals(facts, SLOT_KEYS["shift"], measure)
+    # window over the small per-shift aggregate (one row per slot and shift), not over facts
+    g = F.sum("oee_total").over(Window.partitionBy(*SLOT_KEYS["global"]))
+    flags = per_shift.select(
+        *SLOT_KEYS["shift"], (g > 0).alias(global_name), (F.col("oee_total") > 0).alias(shift_name)
+    )
+    flags = materialize_and_size(flags)
+    return facts.join(flags, list(SLOT_KEYS["shift"]), "left")
+
+
 def active_hours_one_day(facts: DataFrame, day: str, measure: str = "oee") -> DataFrame:
     """rows of one day whose hour has summed OEE > 0 on that day."""
     one_day = facts.filter(F.col("data") == F.to_date(F.lit(day)))

@@ -44,3 +44,26 @@ def converted_by_group(
         F.sum(F.col("amount").cast("decimal(20,2)")).cast("double").alias("usd_total"),
         F.sum(value).cast("double").alias("brl_total"),
     )
+
+
+def mention_census(df: DataFrame, group_cols: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """T1 over a corpus of whole texts: per group, documents, dollar signs, mentions and
+    mentions that parse (``$`` junk without digits is not a mention). Map-side partial
+    aggregation; texts are never exploded or moved."""
+    from plantwise.functions.text import parse_money_array
+
+    text = F.col(text_col)
+    found = money_mentions(text)
+    staged = df.select(
+        *group_cols,
+        (F.length(text) - F.length(F.replace(text, F.lit("$"), F.lit("")))).alias("_dollars"),
+        found.alias("_m"),
+    )
+    staged = staged.select(*group_cols, "_dollars", F.size("_m").alias("_n"),
+                           F.size(F.filter(parse_money_array(F.col("_m")), lambda v: v.isNotNull())).alias("_ok"))
+    return staged.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum("_dollars").alias("n_dollar_signs"),
+        F.sum("_n").cast("bigint").alias("n_mentions"),
+        F.sum("_ok").cast("bigint").alias("n_parsed"),
+    )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantwise.functions.cleaning import SCHEDULED_HOURS, TOTAL_HOURS, weekday_index
-from plantwise.operators.activity import flag_active
+from plantwise.operators.activity import flag_active, flag_both_modes
 from plantwise.operators.facts import in_period
 from plantwise.operators.measures import _stack
 
@@ -98,7 +98,7 @@ def activity_mode_fit(facts: DataFrame, targets: dict[str, float]) -> DataFrame:
     """Mean TEEP per shift under three activity modes (per-shift slots, global
     slots, none), each shift's distance to its own target, the summed distance per mode
     and the best mode (smallest sum)."""
-    flagged = flag_active(flag_active(facts, "global", "act_global"), "shift", "act_shift")
+    flagged = flag_both_modes(facts, "act_global", "act_shift")
     modes = {"shift": F.col("act_shift"), "global": F.col("act_global"), "none": F.lit(True)}
     aggs = []
     for i, cond in enumerate(modes.values()):
@@ -110,15 +110,10 @@ def activity_mode_fit(facts: DataFrame, targets: dict[str, float]) -> DataFrame:
     long = long.withColumn("target", F.element_at(target_map, F.col("turno")))
     long = long.withColumn("diff_points", distance_points(F.col("teep_mean"), F.col("target")))
     totals = long.groupBy("mode_order", "mode").agg(F.sum("diff_points").alias("mode_total_diff"))
-    # Best mode per mode row: a window over the three mode totals (tiny after the
-    # aggregation), so no join against a one-row frame is needed.
-    from pyspark.sql import Window
-
-    ranked = totals.withColumn(
-        "is_best",
-        F.row_number().over(Window.orderBy("mode_total_diff", "mode_order")) == 1,
-    )
-    return long.join(F.broadcast(ranked), ["mode_order", "mode"])
+    # the best mode: one row, joined back by equality on the mode (no global window)
+    best = totals.agg(F.min_by("mode", F.struct("mode_total_diff", "mode_order")).alias("_best"))
+    out = long.join(totals, ["mode_order", "mode"]).join(F.broadcast(best), F.col("mode") == F.col("_best"), "left")
+    return out.withColumn("is_best", F.col("_best").isNotNull()).drop("_best")
 
 
 def tolerance_bands(values: DataFrame, value_col: str, target: Column | float,

@@ -616,3 +616,9 @@ def q_stream_ingest(spark, sf_dir):
 def q_stream_slots(spark, sf_dir):
     """ST2: finalized hourly (slot, shift) sums from the stream."""
     return st.ingest_slot_sums(spark, _landing(spark, sf_dir), "1 hour")
+
+
+@register("money_in_documents")
+def q_money_in_documents(spark, sf_dir):
+    """T1 robustness over whole document texts: '$' junk yields no amount."""
+    return mn.mention_census(fxt.table(spark, sf_dir, "documents"), ("lang",))

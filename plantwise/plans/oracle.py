@@ -527,3 +527,10 @@ SELECT data, hora, turno, sum(oee) AS oee_sum, sum(teep) AS teep_sum, count(*) A
 FROM sev, mx WHERE event_ts + INTERVAL 1 HOUR <= max_ts - INTERVAL 1 HOUR
 GROUP BY data, hora, turno
 """, ("hora", "oee_sum", "teep_sum"))
+add("money_in_documents", r"""
+SELECT lang, count(*) AS n_docs, CAST(sum(length(text) - length(replace(text, '$', ''))) AS BIGINT) AS n_dollar_signs,
+  CAST(sum(len(regexp_extract_all(text, '(^|[^R])\$\s?([0-9.,]+)', 2))) AS BIGINT) AS n_mentions,
+  CAST(sum(len(list_filter(regexp_extract_all(text, '(^|[^R])\$\s?([0-9.,]+)', 2),
+                           lambda x: regexp_matches(x, '[0-9]')))) AS BIGINT) AS n_parsed
+FROM documents GROUP BY lang
+""")
