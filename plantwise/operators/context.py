@@ -1,11 +1,15 @@
 """Bounded text contexts per group.
 
 Every line adds at least one character (its newline), so only the first
-``max_chars + 1`` lines of a group can reach the output. That bound is applied first as a
-per-group rank limit, which Spark evaluates partially before the shuffle; the running
-character count then runs on at most that many rows per group, and every kept line is cut
-to the budget left before it is collected, so no group -- however hot -- sends more than
-about ``max_chars`` characters to one task.
+``max_chars + 1`` lines of a group can reach the output. That bound is applied in two
+phases so that a hot group never lands whole in one task: rows are first ranked within
+(group, hash salt) -- a hot group is spread over ``salts`` tasks -- and only the first
+``max_chars + 1`` of every salt bucket survive (a superset of the group's first lines);
+the per-group rank, the running character count and the collect then see at most
+``salts x (max_chars + 1)`` rows per group, and every kept line is cut to the budget left
+before it is collected. (Spark's own partial rank limit only applies to limits up to
+``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default, which a context budget
+usually exceeds.)
 """
 
 from __future__ import annotations
@@ -29,12 +33,21 @@ def context_by_group(
     name: F.Column,
     max_chars: int = 30000,
     line_col: str = "line",
+    salts: int = 16,
 ) -> DataFrame:
     """Per group ``--- name ---`` then its lines in order, newline-joined; cut at
     ``max_chars`` characters (mid-line) with the truncation mark appended."""
     order = [F.col(c) for c in order_cols]
+    keep = max_chars + 1
+    if salts > 1:
+        # phase 1: first `keep` rows of every (group, salt) bucket; order columns must be
+        # unique within a group so that ranks (and retries) are deterministic
+        salt = F.pmod(F.xxhash64(*order), F.lit(salts))
+        w_salt = Window.partitionBy(F.col(group_col), F.col("_salt")).orderBy(*order)
+        lines = (lines.withColumn("_salt", salt).withColumn("_r0", F.row_number().over(w_salt))
+                 .filter(F.col("_r0") <= keep).drop("_salt", "_r0"))
     w_rank = Window.partitionBy(group_col).orderBy(*order)
-    ranked = lines.withColumn("_rn", F.row_number().over(w_rank)).filter(F.col("_rn") <= max_chars + 1)
+    ranked = lines.withColumn("_rn", F.row_number().over(w_rank)).filter(F.col("_rn") <= keep)
     header = F.concat(F.lit("--- "), name.cast("string"), F.lit(" ---"))
     ranked = ranked.withColumn("_hdr", header)
     w_run = w_rank.rowsBetween(Window.unboundedPreceding, -1)

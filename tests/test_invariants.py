@@ -117,3 +117,17 @@ def test_stream_equals_batch(spark):
     batch = fx.filter_facts(typed(spark, SF_SMALL)).select("maquina", "data", "turno", "hora", "teep", "oee")
     assert rows(stream) == rows(batch.select([F.round(c, 6).alias(c) if c in ("hora", "teep", "oee") else c
                                               for c in batch.columns]))
+
+
+def test_context_hot_group_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    data = [(1, i, "z" * rnd.randint(0, 9)) for i in range(5000)] + [(2, i, "w") for i in range(3)]
+    df = spark.createDataFrame(data, "g int, pos int, line string").repartition(6)
+    budget = 300
+    got = {r.g: r.context for r in context_by_group(df, "g", ["pos"], F.col("g"), budget, salts=8).collect()}
+    for g in (1, 2):
+        lines = [line for gg, _, line in sorted(data) if gg == g]
+        text = "\n".join([f"--- {g} ---", *lines])
+        assert got[g] == (text[:budget] + "\n...[CONTEXTO TRUNCADO]" if len(text) > budget else text)

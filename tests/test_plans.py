@@ -36,3 +36,8 @@ def test_period_prunes_date_partitions(spark):
 def test_no_single_partition_exchange(spark, name):
     plan = plan_text(QUERIES[name](spark, SF_SMALL))
     assert "SinglePartition" not in plan, name
+
+
+def test_context_limits_each_salt_bucket_before_the_group_shuffle(spark):
+    plan = plan_text(QUERIES["context_by_group"](spark, SF_SMALL))
+    assert plan.count("Exchange hashpartitioning") >= 2 and "_salt" in plan
