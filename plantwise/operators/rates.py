@@ -3,13 +3,18 @@
 For every demand time t: the newest primary quote with ts <= t and age < its limit,
 else the newest secondary quote with ts <= t and age < its limit, else null.
 
-Exact as-of without a range join or a cross product: time is cut into buckets at least
-as wide as every staleness limit, so a usable quote is either in the demand's bucket or
-is the closing quote of the previous bucket. The closing quote of every bucket (one
-aggregation over the quotes only) is re-emitted into the next bucket; quotes and demands
-are unioned and ``last(quote, ignorenulls)`` runs over one window partitioned by
-(pair, bucket) -- one shuffle for all sources, and a hot pair is split into one
-partition per bucket instead of landing in a single task.
+Exact as-of without a range join or a cross product:
+
+1. time is cut into buckets (``bucket_seconds``, any width);
+2. per source, the closing (latest) quote of every bucket is one aggregation over the
+   quotes (partial aggregation map-side);
+3. the *carry* of a bucket -- the latest quote strictly before the bucket starts -- is a
+   running ``last`` over the small table of bucket closings and demand buckets (one row
+   per bucket and pair; it grows with the time span, not with the data);
+4. quotes, carries and demands are unioned and ``last(quote, ignorenulls)`` runs over a
+   window partitioned by (pair, bucket): a hot pair is split into one partition per
+   bucket, and a narrow bucket bounds every window partition by the data rate;
+5. the age check is applied last, so the result is exact for any staleness limit.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+QUOTE = "struct<_us:bigint,quote_id:bigint,rate:double>"
 
 
 def epoch_micros(ts: str) -> Column:
@@ -28,7 +34,7 @@ def asof_sources(
     sources: dict[str, tuple[DataFrame, int]],
     demands: DataFrame,
     key: str = "pair",
-    bucket_seconds: int | None = None,
+    bucket_seconds: int = 300,
 ) -> DataFrame:
     """Newest fresh quote per demand for each source.
 
@@ -37,34 +43,53 @@ def asof_sources(
     Adds ``{name}_rate`` and ``{name}_id`` per source (null when no quote is fresh).
     A quote at exactly t counts; ties on ts are broken by quote id.
     """
-    width_s = bucket_seconds or max(age for _, age in sources.values())
-    if any(age > width_s for _, age in sources.values()):
-        raise ValueError("bucket width must be at least every staleness limit")
-    width = int(width_s) * 1_000_000
-    qstruct = "struct<_us:bigint,quote_id:bigint,rate:double>"
+    width = int(bucket_seconds) * 1_000_000
     names = list(sources)
-    dcols = [c for c in demands.columns if c != "_us"]
+    dcols = [c for c in demands.columns]
+
+    def bucket(df: DataFrame) -> DataFrame:
+        return df.withColumn("_us", epoch_micros("ts")).withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
 
-    def quote_rows(name: str, q: DataFrame) -> DataFrame:
-        q = q.select(key, "quote_id", "rate", epoch_micros("ts").alias("_us"))
-        q = q.withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
+    d = bucket(demands)
+    quotes = {n: bucket(q.select(key, "ts", "quote_id", "rate")) for n, (q, _) in sources.items()}
+
+    # (3) carries: latest closing quote of any earlier bucket, for every demand bucket
+    marks = d.select(key, "_b").distinct().select(key, "_b", F.lit(0).alias("_kind"),
+                                                  *[F.lit(None).cast(QUOTE).alias(f"_c_{n}") for n in names])
+    small = marks
+    for n, q in quotes.items():
         closing = q.groupBy(key, "_b").agg(
-            F.max_by(F.struct("_us", "quote_id", "rate"), F.struct("_us", "quote_id")).alias("c")
-        ).select(key, (F.col("_b") + 1).alias("_b"), "c._us", "c.quote_id", "c.rate")
-        both = q.select(key, "_b", "_us", "quote_id", "rate").unionByName(closing)
-        cols = [F.col(key), F.col("_b"), F.col("_us"), F.lit(0).alias("_kind"), F.col("quote_id").alias("_qid")]
-        cols += [(F.struct("_us", "quote_id", "rate") if n == name else F.lit(None).cast(qstruct)).alias(f"_q_{n}")
-                 for n in names]
-        cols += [F.lit(None).cast(demands.schema[c].dataType).alias(c) for c in dcols if c != key]
-        return both.select(*cols)
-
-    d = demands.withColumn("_us", epoch_micros("ts")).withColumn("_b", F.floor(F.col("_us") / F.lit(width)))
-    dsel = [F.col(key), F.col("_b"), F.col("_us"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_qid")]
-    dsel += [F.lit(None).cast(qstruct).alias(f"_q_{n}") for n in names]
-    dsel += [F.col(c) for c in dcols if c != key]
-    stream = d.select(*dsel)
-    for n, (q, _) in sources.items():
-        stream = stream.unionByName(quote_rows(n, q))
+            F.max_by(F.struct("_us", "quote_id", "rate"), F.struct("_us", "quote_id")).alias("_c")
+        )
+        small = small.unionByName(closing.select(
+            key, "_b", F.lit(1).alias("_kind"),
+            *[(F.col("_c") if m == n else F.lit(None).cast(QUOTE)).alias(f"_c_{m}") for m in names]))
+    w_carry = Window.partitionBy(key).orderBy("_b", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carries = small.select(key, "_b", "_kind", *[F.last(f"_c_{n}", ignorenulls=True).over(w_carry).alias(f"_c_{n}")
+                                                 for n in names]).filter(F.col("_kind") == 0).drop("_kind")
+
+    # (4) one stream per (pair, bucket): carried quotes, quotes, demands
+    def empty_demand_cols():
+        return [F.lit(None).cast(demands.schema[c].dataType).alias(c) for c in dcols if c != key]
+
+    parts = []
+    for n in names:
+        carry = carries.select(key, "_b", F.col(f"_c_{n}").alias("_q")).filter(F.col("_q").isNotNull())
+        parts.append(carry.select(
+            key, "_b", F.col("_q._us").alias("_us"), F.lit(0).alias("_kind"), F.col("_q.quote_id").alias("_qid"),
+            *[(F.col("_q") if m == n else F.lit(None).cast(QUOTE)).alias(f"_q_{m}") for m in names],
+            *empty_demand_cols()))
+        q = quotes[n]
+        parts.append(q.select(
+            key, "_b", "_us", F.lit(0).alias("_kind"), F.col("quote_id").alias("_qid"),
+            *[(F.struct("_us", "quote_id", "rate") if m == n else F.lit(None).cast(QUOTE)).alias(f"_q_{m}")
+              for m in names],
+            *empty_demand_cols()))
+    stream = d.select(key, "_b", "_us", F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_qid"),
+                      *[F.lit(None).cast(QUOTE).alias(f"_q_{n}") for n in names],
+                      *[F.col(c) for c in dcols if c != key])
+    for p in parts:
+        stream = stream.unionByName(p)
     w = (
         Window.partitionBy(key, "_b")
         .orderBy("_us", "_kind", "_qid", "event_id")
@@ -73,6 +98,8 @@ def asof_sources(
     for n in names:
         stream = stream.withColumn(f"_l_{n}", F.last(f"_q_{n}", ignorenulls=True).over(w))
     out = stream.filter(F.col("_kind") == 1)
+
+    # (5) freshness
     sel = [F.col(c) for c in dcols]
     for n, (_, age) in sources.items():
         fresh = (F.col("_us") - F.col(f"_l_{n}._us")) < F.lit(int(age) * 1_000_000)
@@ -88,10 +115,11 @@ def fx_asof(
     primary_max_age: int = 600,
     secondary_max_age: int = 3600,
     key: str = "pair",
+    bucket_seconds: int = 300,
 ) -> DataFrame:
     """Primary quote if fresh, else secondary if fresh, else null; with its source."""
     out = asof_sources({"primary": (primary, primary_max_age), "secondary": (secondary, secondary_max_age)},
-                       demands, key)
+                       demands, key, bucket_seconds)
     return out.withColumns(
         {
             "rate": F.coalesce(F.col("primary_rate"), F.col("secondary_rate")),

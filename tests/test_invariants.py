@@ -86,7 +86,11 @@ def test_context_brute_force(spark):
         assert got[g] == want, g
 
 
-def test_asof_brute_force(spark):
+import pytest  # noqa: E402
+
+
+@pytest.mark.parametrize("bucket", [1, 300, 1000, 86400])
+def test_asof_brute_force(spark, bucket):
     import datetime as dt
 
     from plantwise.operators.rates import fx_asof
@@ -97,7 +101,8 @@ def test_asof_brute_force(spark):
     dm = [("P", base + dt.timedelta(seconds=s), 1000 + i) for i, s in enumerate([0, 599, 1190, 1799, 1800, 3000, 5000, 7300, 9999, 20000])]
     sch_q = "pair string, ts timestamp_ntz, quote_id bigint, rate double"
     out = fx_asof(spark.createDataFrame(q1, sch_q), spark.createDataFrame(q2, sch_q),
-                  spark.createDataFrame(dm, "pair string, ts timestamp_ntz, event_id bigint"), 600, 3600)
+                  spark.createDataFrame(dm, "pair string, ts timestamp_ntz, event_id bigint"), 600, 3600,
+                  bucket_seconds=bucket)
     got = {r.event_id: (r.rate, r.source) for r in out.collect()}
 
     def newest(qs, t, age):
