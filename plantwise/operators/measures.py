@@ -33,6 +33,16 @@ def means_by(facts: DataFrame, keys: Sequence[str], measures: Sequence[str] = ME
     return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *_mean_cols(measures))
 
 
+def means_with_total(facts: DataFrame, key: str, measures: Sequence[str] = MEASURES,
+                     total_label: str = "all") -> DataFrame:
+    """Means per ``key`` plus the overall mean (labelled ``total_label``) in one scan,
+    via grouping sets (key) and ()."""
+    sets = facts.groupingSets([[key], []], key).agg(
+        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n_rows"), *_mean_cols(measures))
+    label = F.when(F.col("_gid") == 0, F.col(key).cast("string")).otherwise(F.lit(total_label))
+    return sets.select(label.alias(key), "n_rows", *[f"{m}_mean" for m in measures])
+
+
 def group_sums(facts: DataFrame, keys: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """Mergeable state: (sum, count) per group."""
     return facts.groupBy(*keys).agg(
@@ -61,21 +71,20 @@ def mean_of_means_two_levels(
     split_key: str = "turno",
     measures: Sequence[str] = MEASURES,
 ) -> DataFrame:
-    """Mean of ``group_key`` means overall (scope 'all') and per ``split_key``, from a
-    single (group, split) aggregate: overall group means are re-derived from sums."""
-    inner = group_sums(facts, [group_key, split_key], measures)
-    per_split = inner.groupBy(F.col(split_key).alias("scope")).agg(
-        F.count(F.lit(1)).alias("n_groups"),
-        *[F.avg(F.col(f"{m}_sum") / F.col("n_rows")).alias(f"{m}_mean") for m in measures],
-    )
-    per_group = inner.groupBy(group_key).agg(
-        F.sum("n_rows").alias("n_rows"), *[F.sum(f"{m}_sum").alias(f"{m}_sum") for m in measures]
+    """Mean of ``group_key`` means overall (scope 'all') and per ``split_key``.
+
+    One scan: grouping sets (group, split) and (group) give the inner (sum, count) of both
+    levels at once; one outer aggregation over that small result gives every scope."""
+    sets = facts.groupingSets([[group_key, split_key], [group_key]], group_key, split_key).agg(
+        F.grouping_id().alias("_gid"),
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.sum(m).alias(f"{m}_sum") for m in measures],
     )
-    overall = per_group.agg(
+    scope = F.when(F.col("_gid") == 0, F.col(split_key).cast("string")).otherwise(F.lit("all"))
+    return sets.groupBy(scope.alias("scope")).agg(
         F.count(F.lit(1)).alias("n_groups"),
         *[F.avg(F.col(f"{m}_sum") / F.col("n_rows")).alias(f"{m}_mean") for m in measures],
-    ).select(F.lit("all").alias("scope"), "*")
-    return overall.unionByName(per_split)
+    )
 
 
 def weighted_group_means(facts: DataFrame, group_key: str = "data", split_key: str = "turno",

@@ -50,18 +50,26 @@ def method_comparison(facts: DataFrame, target: float) -> DataFrame:
     """
     flagged = flag_active(facts, "global", "active")
     act = F.col("active")
-    one = flagged.agg(
-        F.avg("teep").alias("m1"),
-        F.avg(F.when(act, F.col("teep"))).alias("m2"),
-        F.avg(F.when(F.col("teep") > 0, F.col("teep"))).alias("m3"),
+    teep = F.col("teep")
+    # one scan: grouping sets (), (date), (machine) over the flagged rows
+    sets = flagged.groupingSets([[], ["data"], ["maquina"]], "data", "maquina").agg(
+        F.grouping_id().alias("_gid"),
+        F.avg(teep).alias("_all"),
+        F.avg(F.when(act, teep)).alias("_act"),
+        F.avg(F.when(teep > 0, teep)).alias("_pos"),
     )
-    active_rows = flagged.filter(act)
-    daily = active_rows.groupBy("data").agg(F.avg("teep").alias("m")).agg(F.avg("m").alias("m4"))
-    machine = active_rows.groupBy("maquina").agg(F.avg("teep").alias("m")).agg(F.avg("m").alias("m5"))
-    rows = _stack(one, [("1", "'simple'", "m1"), ("2", "'active_slots'", "m2"), ("3", "'teep_positive'", "m3")],
+    # grouping_id bits follow the grouping columns (data, maquina): () = 3, (data) = 1, (maquina) = 2
+    gid = F.col("_gid")
+    wide = sets.agg(
+        F.max(F.when(gid == 3, F.col("_all"))).alias("m1"),
+        F.max(F.when(gid == 3, F.col("_act"))).alias("m2"),
+        F.max(F.when(gid == 3, F.col("_pos"))).alias("m3"),
+        F.avg(F.when(gid == 1, F.col("_act"))).alias("m4"),
+        F.avg(F.when(gid == 2, F.col("_act"))).alias("m5"),
+    )
+    rows = _stack(wide, [("1", "'simple'", "m1"), ("2", "'active_slots'", "m2"), ("3", "'teep_positive'", "m3"),
+                         ("4", "'daily_means'", "m4"), ("5", "'machine_means'", "m5")],
                   ["method_order", "method", "teep"])
-    rows = rows.unionByName(daily.select(F.lit(4).alias("method_order"), F.lit("daily_means").alias("method"), F.col("m4").alias("teep")))
-    rows = rows.unionByName(machine.select(F.lit(5).alias("method_order"), F.lit("machine_means").alias("method"), F.col("m5").alias("teep")))
     return rows.withColumn("diff_points", distance_points(F.col("teep"), target))
 
 
@@ -103,7 +111,11 @@ def activity_mode_fit(facts: DataFrame, targets: dict[str, float]) -> DataFrame:
     aggs = []
     for i, cond in enumerate(modes.values()):
         aggs += [F.count_if(cond).alias(f"n{i}"), F.avg(F.when(cond, F.col("teep"))).alias(f"t{i}")]
-    per_shift = flagged.groupBy("turno").agg(*aggs)
+    # one row per shift: kept in memory so that the per-mode totals and the best mode
+    # below do not rescan the facts
+    from pyspark import StorageLevel
+
+    per_shift = flagged.groupBy("turno").agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
     rows = [(str(i + 1), f"'{m}'", f"n{i}", f"t{i}") for i, m in enumerate(modes)]
     long = per_shift.selectExpr("turno", f"stack({len(rows)}, {', '.join(', '.join(r) for r in rows)}) as (mode_order, mode, n_rows, teep_mean)")
     target_map = F.create_map(*[F.lit(x) for kv in targets.items() for x in (kv[0], float(kv[1]))])

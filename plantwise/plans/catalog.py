@@ -244,9 +244,7 @@ def q_activity_mode_fit(spark, sf_dir):
 def q_tolerance_bands(spark, sf_dir):
     """R5 + R7 on the overall and per-shift verified means."""
     std = standard_facts(spark, sf_dir)
-    overall = ms.overall_means(std, ["teep"]).select(F.lit("all").alias("scope"), "n_rows", "teep_mean")
-    per_shift = ms.means_by(std, ["turno"], ["teep"]).select(F.col("turno").alias("scope"), "n_rows", "teep_mean")
-    values = overall.unionByName(per_shift)
+    values = ms.means_with_total(std, "turno", ["teep"]).withColumnRenamed("turno", "scope")
     targets = {"all": TARGET_OVERALL, **TARGETS_BY_SHIFT}
     tmap = F.create_map(*[F.lit(x) for kv in targets.items() for x in (kv[0], float(kv[1]))])
     values = values.withColumn("target", F.element_at(tmap, F.col("scope")))
