@@ -32,7 +32,8 @@ def test_period_prunes_date_partitions(spark):
     assert "PartitionFilters: [isnotnull(data" in plan
 
 
-@pytest.mark.parametrize("name", ["fx_asof", "context_by_group", "substring_all_columns", "money_by_group"])
+@pytest.mark.parametrize("name", ["fx_asof", "context_by_group", "substring_all_columns", "money_by_group",
+                                  "active_slots_global", "active_slots_shift", "oee_by_day_shift"])
 def test_no_single_partition_exchange(spark, name):
     plan = plan_text(QUERIES[name](spark, SF_SMALL))
     assert "SinglePartition" not in plan, name
@@ -41,3 +42,12 @@ def test_no_single_partition_exchange(spark, name):
 def test_context_limits_each_salt_bucket_before_the_group_shuffle(spark):
     plan = plan_text(QUERIES["context_by_group"](spark, SF_SMALL))
     assert plan.count("Exchange hashpartitioning") >= 2 and "_salt" in plan
+
+
+@pytest.mark.parametrize("name", ["method_comparison", "mean_of_daily", "tolerance_bands"])
+def test_fact_table_scanned_once_outside_the_slot_table(spark, name):
+    # the slot table is cached (its plan is printed inside InMemoryRelation); the facts
+    # themselves are read by one scan thanks to grouping sets
+    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    probe = [line for line in plan.split("\n") if "FileScan" in line and "teep:double" in line]
+    assert len(probe) == 1, (name, probe)
