@@ -620,3 +620,17 @@ def q_stream_slots(spark, sf_dir):
 def q_money_in_documents(spark, sf_dir):
     """T1 robustness over whole document texts: '$' junk yields no amount."""
     return mn.mention_census(fxt.table(spark, sf_dir, "documents"), ("lang",))
+
+
+@register("page_index")
+def q_page_index(spark, sf_dir):
+    """L2 for deep paging: position and page of every order, without a global window."""
+    o = fxt.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return br.page_numbers(o, "o_orderkey", size=20)
+
+
+@register("stream_active_means")
+@rounded
+def q_stream_active_means(spark, sf_dir):
+    """ST2 -> F7 + A2: per-shift means over active slots, from the stream's slot sums."""
+    return st.means_from_slot_sums(st.ingest_slot_sums(spark, _landing(spark, sf_dir), "1 hour"))

@@ -534,3 +534,17 @@ SELECT lang, count(*) AS n_docs, CAST(sum(length(text) - length(replace(text, '$
                            lambda x: regexp_matches(x, '[0-9]')))) AS BIGINT) AS n_parsed
 FROM documents GROUP BY lang
 """)
+add("page_index", """
+SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS row_pos,
+  CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 20) + 1 AS BIGINT) AS page
+FROM orders
+""")
+add("stream_active_means", """
+sev2 AS (SELECT *, CAST(data AS TIMESTAMP) + to_hours(CAST(hora AS BIGINT)) AS event_ts FROM facts),
+mx2 AS (SELECT max(event_ts) AS max_ts FROM sev2),
+fin AS (SELECT sev2.* FROM sev2, mx2 WHERE event_ts + INTERVAL 1 HOUR <= max_ts - INTERVAL 1 HOUR),
+act AS (SELECT data, hora FROM fin GROUP BY data, hora HAVING sum(oee) > 0)
+@@
+SELECT turno, count(*) AS n_rows, avg(teep) AS teep_mean, avg(oee) AS oee_mean
+FROM fin f WHERE EXISTS (SELECT 1 FROM act a WHERE a.data = f.data AND a.hora = f.hora) GROUP BY turno
+""", ("teep_mean", "oee_mean"))

@@ -84,3 +84,18 @@ def ingest_slot_sums(spark: SparkSession, landing: str, delay: str = "1 hour", *
     sums = slot_sums(oee_facts(sheet_stream(spark, landing), **facts_kwargs), delay)
     sink = _run_available_now(sums, "slots", _key(landing, delay, sorted(facts_kwargs.items())))
     return spark.read.parquet(sink)
+
+
+def means_from_slot_sums(sums: DataFrame, split: str = "turno") -> DataFrame:
+    """F7 + A2 from the mergeable slot state: a slot is active when its summed OEE over
+    all shifts is > 0; means per shift are sum / count over active slots. Works on the
+    (small) slot-sums table, never on fact rows."""
+    from pyspark.sql import Window
+
+    total = F.sum("oee_sum").over(Window.partitionBy("data", "hora"))
+    active = sums.withColumn("_slot_oee", total).filter(F.col("_slot_oee") > 0)
+    return active.groupBy(split).agg(
+        F.sum("n_rows").alias("n_rows"),
+        (F.sum("teep_sum") / F.sum("n_rows")).alias("teep_mean"),
+        (F.sum("oee_sum") / F.sum("n_rows")).alias("oee_mean"),
+    )

@@ -136,3 +136,11 @@ def test_context_hot_group_brute_force(spark):
         lines = [line for gg, _, line in sorted(data) if gg == g]
         text = "\n".join([f"--- {g} ---", *lines])
         assert got[g] == (text[:budget] + "\n...[CONTEXTO TRUNCADO]" if len(text) > budget else text)
+
+
+def test_stream_ingest_processes_each_file_once(spark):
+    from plantwise.plans.catalog import QUERIES
+
+    first = QUERIES["stream_ingest"](spark, SF_SMALL).count()
+    again = QUERIES["stream_ingest"](spark, SF_SMALL).count()
+    assert first == again > 0
