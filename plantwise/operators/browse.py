@@ -69,7 +69,7 @@ def page_numbers(df: DataFrame, key: str | Sequence[str], size: int = 20, partit
     from plantwise.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = (
         df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())

@@ -56,6 +56,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         root = spark.conf.get(SHARED_DIR_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is invisible to executors and lost with the driver
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="plantwise-shared-")
         spark.conf.set(SHARED_DIR_KEY, root)
     return root

@@ -33,7 +33,12 @@ def path_identity(spark: SparkSession, paths: list[str]) -> str:
     for path in paths:
         fs, p = _fs(spark, path)
         st = fs.getFileStatus(p)
-        parts.append(f"{path}|{st.getLen()}|{st.getModificationTime()}")
+        if st.isDirectory():
+            # a table folder: total bytes and file count (one summary call) + folder mtime
+            cs = fs.getContentSummary(p)
+            parts.append(f"{path}|{cs.getLength()}|{cs.getFileCount()}|{st.getModificationTime()}")
+        else:
+            parts.append(f"{path}|{st.getLen()}|{st.getModificationTime()}")
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:16]
 
 
