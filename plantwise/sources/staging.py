@@ -19,6 +19,26 @@ from pyspark.sql import DataFrame, SparkSession
 from plantwise.session import shared_dir
 
 STAGE_VERSION = "1"
+# Library files whose code decides what a staged table contains: a change to any of them
+# gives new stage folders, so a stale stage is never read.
+_CODE_DIRS = ("functions", "sources")
+_CODE_FILES = ("operators/facts.py",)
+
+
+def code_fingerprint() -> str:
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    files = []
+    for d in _CODE_DIRS:
+        folder = os.path.join(root, d)
+        files += sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".py"))
+    files += [os.path.join(root, f) for f in _CODE_FILES]
+    h = hashlib.sha1()
+    for f in files:
+        with open(f, "rb") as fh:
+            h.update(fh.read())
+    return h.hexdigest()[:12]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -39,6 +59,7 @@ def path_identity(spark: SparkSession, paths: list[str]) -> str:
             parts.append(f"{path}|{cs.getLength()}|{cs.getFileCount()}|{st.getModificationTime()}")
         else:
             parts.append(f"{path}|{st.getLen()}|{st.getModificationTime()}")
+    parts.append(code_fingerprint())
     return hashlib.sha1("\n".join(parts).encode()).hexdigest()[:16]
 
 

@@ -69,7 +69,11 @@ def _run_available_now(df: DataFrame, name: str, key: str, output_mode: str = "a
 
 
 def _key(*parts: object) -> str:
-    return hashlib.sha1("|".join(map(str, parts)).encode()).hexdigest()[:16]
+    """Sink/checkpoint key: the inputs plus this module's code, so a changed query never
+    resumes from an old checkpoint."""
+    with open(__file__, "rb") as fh:
+        code = hashlib.sha1(fh.read()).hexdigest()[:12]
+    return hashlib.sha1("|".join(map(str, (*parts, code))).encode()).hexdigest()[:16]
 
 
 def ingest_facts(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame:
