@@ -124,7 +124,9 @@ def activity_mode_fit(facts: DataFrame, targets: dict[str, float]) -> DataFrame:
     totals = long.groupBy("mode_order", "mode").agg(F.sum("diff_points").alias("mode_total_diff"))
     # the best mode: one row, joined back by equality on the mode (no global window)
     best = totals.agg(F.min_by("mode", F.struct("mode_total_diff", "mode_order")).alias("_best"))
-    out = long.join(totals, ["mode_order", "mode"]).join(F.broadcast(best), F.col("mode") == F.col("_best"), "left")
+    # totals and best have one row per mode (three modes): bounded broadcasts
+    out = long.join(F.broadcast(totals), ["mode_order", "mode"]).join(
+        F.broadcast(best), F.col("mode") == F.col("_best"), "left")
     return out.withColumn("is_best", F.col("_best").isNotNull()).drop("_best")
 
 
