@@ -144,3 +144,20 @@ def test_stream_ingest_processes_each_file_once(spark):
     first = QUERIES["stream_ingest"](spark, SF_SMALL).count()
     again = QUERIES["stream_ingest"](spark, SF_SMALL).count()
     assert first == again > 0
+
+
+def test_source_profile_shape(spark):
+    import duckdb
+
+    from plantwise.plans.catalog import QUERIES
+    from plantwise.sources.fixtures import RECORD_SHEETS
+
+    got = {r.file_path: r for r in QUERIES["source_profile"](spark, SF_SMALL).collect()}
+    con = duckdb.connect()
+    for name, table in RECORD_SHEETS.items():
+        path = f"{SF_SMALL}/{table}.parquet"
+        n = con.execute(f"SELECT count(*) FROM read_parquet('{path}')").fetchone()[0]
+        width = len(con.execute(f"SELECT * FROM read_parquet('{path}') LIMIT 0").description)
+        r = got[f"sheet-{name}"]
+        assert (r.n_rows, r.n_cols, r.has_machine_column) == (n + 1, width, width > 1), name
+        assert r.modified is not None
