@@ -15,27 +15,62 @@ from pyspark.sql import Column, functions as F
 
 from plantwise.functions.cleaning import PY_WHITESPACE, strip_ws
 
-# Python's whitespace set as a regex character-class body (Java's \s is ASCII only and
-# the (?U) flag that widens it makes every match markedly slower).
-WS = PY_WHITESPACE
-
 # Fixed values that must match the source behaviour.
-# A dollar amount not preceded by "R" (so "R$" amounts are ignored); trailing
-# punctuation is part of the match.
-MONEY_PATTERN = rf"(?<!R)\$[{WS}]?([0-9.,]+)"
+# Regex patterns exactly as the source states them (Python syntax); `java_regex` below
+# turns each into the equivalent Java pattern.
+MONEY_PATTERN_SOURCE = r"(?<!R)\$\s?([\d.,]+)"
+LINK_PATTERN_SOURCE = r"((?:Link de [A-Za-zãõí\s]+:?\s*)?https?://[^\s\)\n]+)"
+LINK_PARTS_PATTERN_SOURCE = r"(?:Link de ([A-Za-zãõí\s]+):?\s*)?(https?://[^\s\)\n]+)"
+URL_TAIL_PATTERN_SOURCE = r"[.\)\]\s]+$"
+DRIVE_LINK_PATTERN = r"https?://drive\.google\.com/file/d/[a-zA-Z0-9_-]+/view\?usp=drive_link"
+IMAGE_LINKS_HEADER_SOURCE = r"Links de imagens:?"
+LEADING_BULLET_SOURCE = r"^[\s\n]*[\*\-]\s*"
 NO_TAX_NOTE = "(valores sem impostos)"
-# Links: optional "Link de <tag>:" then an http(s) URL up to whitespace or ")".
-LINK_PATTERN = rf"(?iu)(?:Link de ([A-Za-zãõí{WS}]+):?[{WS}]*)?(https?://[^{WS})]+)"
 VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".m4v", ".webm", ".mkv")
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp")
 DRIVE_HOST = "drive.google.com"
 DRIVE_IMAGE_TAG_WORDS = ("máquina", "foto", "equipamento", "mídia", "apresentação")
 DRIVE_DOWNLOAD_PREFIX = "https://drive.google.com/uc?export=download&id="
-DRIVE_LINK_PATTERN = r"https?://drive\.google\.com/file/d/[a-zA-Z0-9_-]+/view\?usp=drive_link"
-IMAGE_LINKS_HEADER_PATTERN = r"(?i)Links de imagens:?"
-LEADING_BULLET_PATTERN = r"^\s*[\*\-]\s*"
 TRUNCATION_MARK = "\n...[CONTEXTO TRUNCADO]"
 
+
+def java_regex(py_pattern: str, ignore_case: bool = False) -> str:
+    """Translate a Python ``re`` pattern to the Java pattern with the same matches.
+
+    Python's ``\\s`` is Unicode whitespace and Java's is ASCII: it becomes Python's
+    whitespace set spelled out (cheaper than Java's ``(?U)`` flag). ``\\d`` becomes ASCII
+    ``0-9`` (digits outside ASCII are not accepted; see README). A case-insensitive
+    pattern gets ``(?iu)`` so accented letters fold like in Python.
+    """
+    out, in_class, i = [], False, 0
+    while i < len(py_pattern):
+        ch = py_pattern[i]
+        if ch == "\\" and i + 1 < len(py_pattern):
+            nxt = py_pattern[i + 1]
+            if nxt == "s":
+                out.append(PY_WHITESPACE if in_class else f"[{PY_WHITESPACE}]")
+            elif nxt == "d":
+                out.append("0-9" if in_class else "[0-9]")
+            else:
+                out.append(ch + nxt)
+            i += 2
+            continue
+        if ch == "[" and not in_class:
+            in_class = True
+        elif ch == "]" and in_class:
+            in_class = False
+        out.append(ch)
+        i += 1
+    return ("(?iu)" if ignore_case else "") + "".join(out)
+
+
+MONEY_PATTERN = java_regex(MONEY_PATTERN_SOURCE)
+LINK_SEGMENT_PATTERN = java_regex(LINK_PATTERN_SOURCE, ignore_case=True)
+LINK_PATTERN = java_regex(LINK_PARTS_PATTERN_SOURCE, ignore_case=True)
+URL_TAIL_PATTERN = java_regex(URL_TAIL_PATTERN_SOURCE)
+IMAGE_LINKS_HEADER_PATTERN = java_regex(IMAGE_LINKS_HEADER_SOURCE, ignore_case=True)
+LEADING_BULLET_PATTERN = java_regex(LEADING_BULLET_SOURCE)
+
 _PLAIN_NUMBER = r"^([0-9]+[.]?[0-9]*|[.][0-9]+)$"
 
 
@@ -153,7 +188,7 @@ def rewrite_money_frame(df, text_col: str, rate_col: str, out_col: str = "rewrit
 
 def link_parts(text: Column) -> Column:
     """Array of link matches (optional tag + URL), in text order."""
-    return F.regexp_extract_all(text, F.lit(LINK_PATTERN), 0)
+    return F.regexp_extract_all(text, F.lit(LINK_SEGMENT_PATTERN), 1)
 
 
 def link_tag(link: Column) -> Column:
@@ -164,7 +199,7 @@ def link_tag(link: Column) -> Column:
 def link_url(link: Column) -> Column:
     """URL of a link match without back-ticks and trailing ``. ) ]`` / spaces."""
     url = F.replace(strip_ws(F.regexp_extract(link, LINK_PATTERN, 2)), F.lit("`"), F.lit(""))
-    return F.regexp_replace(url, rf"[.)\]{WS}]+$", "")
+    return F.regexp_replace(url, URL_TAIL_PATTERN, "")
 
 
 def _contains_any(s: Column, needles: Sequence[str]) -> Column:
