@@ -71,7 +71,7 @@ def percent_fraction(c: Column | str, bad_as_zero: bool = True) -> Column:
     return value
 
 
-DATE_SHAPE = r"^([0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|[0-9]{1,2}[-/][0-9]{1,2}[-/]([0-9]{2}|[0-9]{4}))$"
+DATE_SHAPE = r"^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.]([0-9]{2}|[0-9]{4}))$"
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
@@ -84,12 +84,12 @@ def day_first_date(c: Column | str) -> Column:
 
     ``yyyy-mm-dd`` (or ``yyyy/mm/dd``) stays year first; otherwise day first; an impossible
     day-first reading (month > 12) falls back to month first; two-digit years are
-    20yy; ``-`` and ``/`` separators are accepted; time after the first space is
+    20yy; ``-``, ``/`` and ``.`` separators are accepted; time after the first space is
     ignored. Parsing splits the text into numbers and casts an ISO string, so a
     non-matching form costs no exception.
     """
     head = F.substring_index(strip_ws(c), " ", 1)
-    parts = F.split(head, "[-/]")
+    parts = F.split(head, "[-/.]")
     p1, p2, p3 = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
     year = F.when(F.length(p3) == 2, F.concat(F.lit("20"), p3)).otherwise(p3)
     year_first = _ymd(p1, p2, p3)
