@@ -78,3 +78,40 @@ def slot_activity(facts: DataFrame, keys: tuple[str, ...] = SLOT_KEYS["global"],
         "oee_total",
         F.when(F.col("oee_total") > 0, F.lit(ACTIVE_LABEL)).otherwise(F.lit(INACTIVE_LABEL)).alias("status"),
     )
+
+
+def active_means(
+    facts: DataFrame,
+    by: tuple[str, ...] = (),
+    mode: str = "global",
+    measures: tuple[str, ...] = ("teep", "oee"),
+    measure: str = "oee",
+    with_total: bool = False,
+) -> DataFrame:
+    """F7/F8 + A1-A3 in one scan: means over active-slot rows without filtering rows.
+
+    The facts are aggregated (partially, map-side) to (slot keys + ``by``) sums and
+    counts; a slot's activity is a window sum over that small table; the means are
+    sum / count over active slots. No fact row is joined or moved, no size check is
+    needed, and a hot slot is one row. With a single ``by`` key, ``with_total`` adds the
+    overall row (key labelled 'all') through grouping sets. Use ``keep_active`` when the
+    active rows themselves are the output.
+    """
+    from pyspark.sql import Window
+
+    slot = SLOT_KEYS[mode]
+    keys = list(dict.fromkeys([*slot, "turno", *by]))
+    sums = facts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(m).alias(f"_s_{m}") for m in dict.fromkeys([*measures, measure])],
+    )
+    slot_total = F.sum(f"_s_{measure}").over(Window.partitionBy(*slot))
+    active = sums.withColumn("_slot", slot_total).filter(F.col("_slot") > 0)
+    aggs = [F.sum("_n").alias("n_rows"),
+            *[(F.sum(f"_s_{m}") / F.sum("_n")).alias(f"{m}_mean") for m in measures]]
+    if with_total and len(by) == 1:
+        key = by[0]
+        sets = active.groupingSets([[key], []], key).agg(F.grouping_id().alias("_gid"), *aggs)
+        label = F.when(F.col("_gid") == 0, F.col(key).cast("string")).otherwise(F.lit("all"))
+        return sets.select(label.alias(key), "n_rows", *[f"{m}_mean" for m in measures])
+    return active.groupBy(*by).agg(*aggs)

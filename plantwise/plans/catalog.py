@@ -75,6 +75,11 @@ def standard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return act.keep_active(facts, "global")
 
 
+def verified_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Period, Mon-Fri, shifts A/B, hours 6-21 (before the activity filter)."""
+    return fx.filter_facts(typed(spark, sf_dir), period=PERIOD, weekdays_below=5)
+
+
 def period_facts(spark: SparkSession, sf_dir: str, validate: bool = True, weekdays_below=None) -> DataFrame:
     return fx.filter_facts(typed(spark, sf_dir), period=PERIOD, validate=validate, weekdays_below=weekdays_below)
 
@@ -83,20 +88,21 @@ def period_facts(spark: SparkSession, sf_dir: str, validate: bool = True, weekda
 @register("oee_overall")
 @rounded
 def q_oee_overall(spark, sf_dir):
-    """A1 flagship: overall mean TEEP/OEE of the verified population."""
-    return ms.overall_means(standard_facts(spark, sf_dir))
+    """A1 flagship: overall mean TEEP/OEE of the verified population (one scan: slot
+    sums, slot activity on the small table, sums / counts over active slots)."""
+    return act.active_means(verified_population(spark, sf_dir))
 
 
 @register("oee_by_shift")
 @rounded
 def q_oee_by_shift(spark, sf_dir):
-    return ms.means_by(standard_facts(spark, sf_dir), ["turno"])
+    return act.active_means(verified_population(spark, sf_dir), ("turno",))
 
 
 @register("oee_by_day_shift")
 @rounded
 def q_oee_by_day_shift(spark, sf_dir):
-    return ms.means_by(standard_facts(spark, sf_dir), ["data", "turno"])
+    return act.active_means(verified_population(spark, sf_dir), ("data", "turno"))
 
 
 @register("mean_of_daily")
@@ -126,7 +132,7 @@ def q_slot_activity(spark, sf_dir):
 @register("rows_per_date")
 @rounded
 def q_rows_per_date(spark, sf_dir):
-    return ms.rows_per_date(standard_facts(spark, sf_dir))
+    return act.active_means(verified_population(spark, sf_dir), ("data",), measures=()).orderBy("data")
 
 
 @register("shift_sets")
@@ -164,15 +170,13 @@ def q_dates_present(spark, sf_dir):
 @rounded
 def q_active_slots_global(spark, sf_dir):
     """Rows kept by the global slot filter, summarised per shift."""
-    kept = act.keep_active(period_facts(spark, sf_dir, weekdays_below=5), "global")
-    return ms.means_by(kept, ["turno"])
+    return act.active_means(period_facts(spark, sf_dir, weekdays_below=5), ("turno",), "global")
 
 
 @register("active_slots_shift")
 @rounded
 def q_active_slots_shift(spark, sf_dir):
-    kept = act.keep_active(period_facts(spark, sf_dir, weekdays_below=5), "shift")
-    return ms.means_by(kept, ["turno"])
+    return act.active_means(period_facts(spark, sf_dir, weekdays_below=5), ("turno",), "shift")
 
 
 @register("active_hours_one_day")
@@ -243,8 +247,8 @@ def q_activity_mode_fit(spark, sf_dir):
 @rounded
 def q_tolerance_bands(spark, sf_dir):
     """R5 + R7 on the overall and per-shift verified means."""
-    std = standard_facts(spark, sf_dir)
-    values = ms.means_with_total(std, "turno", ["teep"]).withColumnRenamed("turno", "scope")
+    values = act.active_means(verified_population(spark, sf_dir), ("turno",), measures=("teep",),
+                              with_total=True).withColumnRenamed("turno", "scope")
     targets = {"all": TARGET_OVERALL, **TARGETS_BY_SHIFT}
     tmap = F.create_map(*[F.lit(x) for kv in targets.items() for x in (kv[0], float(kv[1]))])
     values = values.withColumn("target", F.element_at(tmap, F.col("scope")))

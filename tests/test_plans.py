@@ -21,11 +21,17 @@ def test_no_python_and_no_cartesian(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_active_slots_are_a_broadcast_semi_join(spark):
-    plan = plan_text(QUERIES["oee_overall"](spark, SF_SMALL))
+def test_active_rows_are_a_broadcast_semi_join(spark):
+    plan = plan_text(QUERIES["active_hours_one_day"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
 
 
+def test_flagship_reads_facts_once_without_a_join(spark):
+    plan = plan_text(QUERIES["oee_overall"](spark, SF_SMALL))
+    assert sum(1 for line in plan.split("\n") if "FileScan" in line) == 1
+    assert "Join" not in plan
+
+
 def test_period_prunes_date_partitions(spark):
     df = QUERIES["oee_by_shift"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
