@@ -2,8 +2,36 @@
 
 from __future__ import annotations
 
+from plantwise.llm.queries import MIX_ALPHA, MIX_SEED
+
 SQL: dict[str, str] = {}
 
 
+def hash_number(seed: int, *parts: str) -> str:
+    joined = " || '|' || ".join([f"'{seed}'", *(f"coalesce(CAST({p} AS VARCHAR), '')" for p in parts)])
+    return f"CAST('0x' || substr(md5({joined}), 1, 13) AS BIGINT)"
+
+
+SQL["op3_poisson_mixture"] = f"""
+WITH sizes AS (
+  SELECT source, CAST(sum(coalesce(strlen(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source),
+weighted AS (SELECT source, size, CASE WHEN size > 0 THEN pow(size, {MIX_ALPHA}) ELSE 0 END AS weight FROM sizes),
+rates AS (
+  SELECT source, CASE WHEN weight > 0 THEN weight / (SELECT sum(weight) FROM weighted) * (SELECT sum(size) FROM weighted) / size
+                      ELSE 0 END AS rate FROM weighted),
+terms AS (
+  SELECT source, k, CASE WHEN k = 0 THEN 0 ELSE ln(k) END AS ln_k, rate
+  FROM (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 40) AS INTEGER) + 1)) AS k FROM rates WHERE rate > 0)),
+probs AS (SELECT source, k, exp(k * ln(rate) - rate - sum(ln_k) OVER (PARTITION BY source ORDER BY k)) AS p FROM terms),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM probs),
+drawn AS (
+  SELECT d.doc_id, count(*) FILTER (WHERE c.c <= d.u) AS n
+  FROM (SELECT doc_id, source, ({hash_number(MIX_SEED, "doc_id")} + 0.5) / pow(16.0, 13) AS u FROM documents) d
+  JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source GROUP BY d.doc_id),
+copies AS (SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM drawn)
+SELECT d.*, copy, {hash_number(MIX_SEED + 1, "doc_id", "copy")} AS shuffle_key FROM copies JOIN documents d USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -17,6 +17,8 @@ from plantwise.llm.common import table
 # Folder of the public vocabulary files; a parameter, as the files are not in this repository.
 TOKENIZER_DIR = os.environ.get("PLANTWISE_TOKENIZERS", "/opt/tokenizers")
 TOKEN_LIMIT = 1024
+MIX_ALPHA = 0.5  # target weight of a source: its size to this power
+MIX_SEED = 17
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,6 +28,13 @@ def query(f):
     return f
 
 
+@query
+def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm.mixture import mix
+
+    return mix(table(spark, sf_dir, "documents"), alpha=MIX_ALPHA, seed=MIX_SEED)
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plantwise.llm.tokens import with_token_counts
