@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plantwise.llm.secrets import RULES
 from plantwise.llm.queries import MIX_ALPHA, MIX_SEED
 
 SQL: dict[str, str] = {}
@@ -33,5 +34,34 @@ SELECT d.*, copy, {hash_number(MIX_SEED + 1, "doc_id", "copy")} AS shuffle_key F
 """
 
 
+def scan_sql() -> str:
+    """Every rule's matches with their positions, from the pieces between them."""
+    parts = []
+    for no, r in enumerate(RULES, 1):
+        pattern = "'" + r.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+SELECT doc_id, {no} AS no, '{r.name}' AS kind, unnest(range(len(hits))) AS i,
+       unnest([length(x) FOR x IN gaps[:len(hits)]]) AS gap, unnest([length(x) FOR x IN hits]) AS size,
+       unnest([length(x) >= {r.least} FOR x IN parts]) AS ok
+FROM (SELECT doc_id, string_split_regex(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}, 0) AS hits,
+             regexp_extract_all(text, {pattern}, {r.group}) AS parts FROM documents)""")
+    return f"""
+WITH pieces AS ({" UNION ALL ".join(parts)}),
+placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, no ORDER BY i) AS stop FROM pieces),
+spans AS (SELECT doc_id, no, kind, CAST(stop - size AS BIGINT) AS start,
+                 kind || ':' || CAST(stop - size AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM placed WHERE ok),
+grouped AS (
+  SELECT doc_id, count(*) FILTER (WHERE no = 1) AS n_assign, count(*) FILTER (WHERE no = 2) AS n_access,
+         count(*) FILTER (WHERE no = 3) AS n_hex,
+         string_agg(span, ',' ORDER BY start, no) FILTER (WHERE no <= 3) AS base, string_agg(span, ',' ORDER BY start, no) AS spans
+  FROM spans GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN grouped g ON g.doc_id = d.doc_id"""
+
+
+SQL["op1_secret_scan"] = scan_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwise.llm.common import table
+from plantwise.llm.common import fresh_folder, table
 
 # Folder of the public vocabulary files; a parameter, as the files are not in this repository.
 TOKENIZER_DIR = os.environ.get("PLANTWISE_TOKENIZERS", "/opt/tokenizers")
@@ -28,6 +28,19 @@ def query(f):
     return f
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm import secrets
+
+    # a ledger of its own: every text of the table is scanned by this call
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), fresh_folder(spark, "secret-ledger"))
+    base = F.filter("spans", lambda s: s["no"] <= len(secrets.BASE))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *(number(r.name).alias(f"n_{r.name}") for r in secrets.BASE),
+        F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
+
+
 @query
 def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plantwise.llm.mixture import mix
