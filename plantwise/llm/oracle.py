@@ -62,6 +62,17 @@ FROM documents d LEFT JOIN grouped g ON g.doc_id = d.doc_id"""
 
 SQL["op1_secret_scan"] = scan_sql()
 
+SQL["op4_mtree_topk"] = """
+WITH v AS (
+  SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -48,6 +48,13 @@ def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), alpha=MIX_ALPHA, seed=MIX_SEED)
 
 
+@query
+def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm.mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plantwise.llm.tokens import with_token_counts
@@ -57,5 +64,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
+@query
+def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "class_distance", "word_distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
