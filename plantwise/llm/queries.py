@@ -41,6 +41,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
 
 
+@query
+def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, max_bits=3)
+
+
 @query
 def op3_poisson_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plantwise.llm.mixture import mix
