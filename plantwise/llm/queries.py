@@ -80,5 +80,16 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "class_distance", "word_distance")
 
 
+@query
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm.pieces import with_ids, with_text
+
+    model = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = with_text(with_ids(docs, model), model, text="decoded")
+    return coded.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
+                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
