@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwise.llm.common import fresh_folder, table
+from plantwise.llm.common import fresh_folder, id_bucket, table
 
 # Folder of the public vocabulary files; a parameter, as the files are not in this repository.
 TOKENIZER_DIR = os.environ.get("PLANTWISE_TOKENIZERS", "/opt/tokenizers")
@@ -71,6 +71,15 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "cut_chars")
 
 
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm import langid
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", id_bucket("doc_id", 5) == 0)
+    model = langid.fit(docs, f"{TOKENIZER_DIR}/piece_bpe_32k.model", learn="not held_out")
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plantwise.llm.quality import judge
@@ -91,5 +100,16 @@ def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+@query
+def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_bucket("doc_id", 4) == 2
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    found = toxicity.with_toxicity(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
