@@ -208,7 +208,7 @@ def with_ids(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "i
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
         codec = worker_codec(shared)
-        found = [None if t is None else codec.encode(t) for t in map(pa.Scalar.as_py, texts)]
+        found = [None if t is None else codec.encode(t) for t in (x.as_py() for x in texts)]
         sizes = [0 if x is None else len(x) for x in found]
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         values = np.concatenate([x for x in found if x is not None] or [np.empty(0, np.int32)]).astype(np.int32)
@@ -225,6 +225,6 @@ def with_text(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "t
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
         codec = worker_codec(shared)
-        return pa.array([None if x is None else codec.decode(x) for x in map(pa.Scalar.as_py, lists)], pa.string())
+        return pa.array([None if x is None else codec.decode(x) for x in (x.as_py() for x in lists)], pa.string())
 
     return docs.withColumn(text, decoded(ids))
