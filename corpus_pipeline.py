@@ -12,11 +12,13 @@ against brute force instead.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plantwise.llm import mixture, pieces, secrets, simhash, toxicity
-from plantwise.llm.common import fresh_folder, id_bucket, staged, table
+from plantwise.llm.common import fresh_folder, id_bucket, ship_code, staged, table
 from plantwise.llm.queries import MIX_ALPHA, MIX_SEED, TOKENIZER_DIR
 
 ORACLE_SQL = None
@@ -58,12 +60,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.withColumn("n_pieces", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
 
 
+def shipped(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("simhash near-dedup", one_of_each_group),
-    ("secret scan", cut_secrets),
-    ("source mixture", to_target_weights),
-    ("piece encoding", encode),
+    ("toxicity", shipped(drop_toxic)),
+    ("simhash near-dedup", shipped(one_of_each_group)),
+    ("secret scan", shipped(cut_secrets)),
+    ("source mixture", shipped(to_target_weights)),
+    ("piece encoding", shipped(encode)),
 ]
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,29 @@ from plantwise.session import shared_dir
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the Python workers by Spark's own file distribution, once per
+    application, so that no worker needs it on its path beforehand."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    import plantwise
+
+    root = os.path.dirname(os.path.abspath(plantwise.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="plantwise-code-"), "plantwise.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("plantwise", os.path.relpath(path, root)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,13 +6,14 @@ contract's digest columns from the operator's own output.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plantwise.llm.common import fresh_folder, id_bucket, table
+from plantwise.llm.common import fresh_folder, id_bucket, ship_code, table
 
 # Folder of the public vocabulary files; a parameter, as the files are not in this repository.
 TOKENIZER_DIR = os.environ.get("PLANTWISE_TOKENIZERS", "/opt/tokenizers")
@@ -24,8 +25,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
@@ -62,6 +68,17 @@ def op4_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm.suffix_dedup import remove_repeats
+
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return cut.select(
+        "doc_id", (removed + F.octet_length("kept")).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plantwise.llm.tokens import with_token_counts
