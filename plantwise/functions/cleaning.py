@@ -29,7 +29,6 @@ TOTAL_HOURS = 24.0
 
 # A plain decimal number: what a strict number parser accepts after trimming.
 # Spark's cast alone also accepts "5d"/"5f" suffixes and "nan"; this guard rejects them.
-PERCENT_DECIMAL = "decimal(30,10)"
 NUMERIC_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -61,17 +60,19 @@ def percent_fraction(c: Column | str, bad_as_zero: bool = True) -> Column:
     """``"41,65%"`` -> 0.4165.  Drop ``%``, comma becomes dot, trim, parse,
     divide by 100. Unparseable (or null) text gives 0 (C1) or null (C2)."""
     text = strip_ws(F.replace(F.replace(_col(c).cast("string"), F.lit("%"), F.lit("")), F.lit(","), F.lit(".")))
-    ok = text.rlike(NUMERIC_TEXT)
-    # Divide in exact decimal arithmetic, then round once to double: "41,7%" gives the
-    # double nearest to 0.417 (a float parse followed by /100 can be one ulp away).
-    exact = (text.try_cast(PERCENT_DECIMAL) / F.lit(100).cast("decimal(3,0)")).cast("double")
-    value = F.when(ok, F.coalesce(exact, text.try_cast("double") / F.lit(100.0)))
+    value = F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double") / F.lit(100.0))
     if bad_as_zero:
         value = F.coalesce(value, F.lit(0.0))
     return value
 
 
 DATE_SHAPE = r"^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.]([0-9]{2}|[0-9]{4}))$"
+COMPACT_DATE = r"^[0-9]{8}$"
+# day month-name year, or month-name day year; English names or their first three letters
+NAMED_DAY_FIRST = r"(?i)^([0-9]{1,2})[ /.-]*([a-z]{3,9})[ ,/.-]*([0-9]{4}|[0-9]{2})$"
+NAMED_MONTH_FIRST = r"(?i)^([a-z]{3,9})[ /.-]*([0-9]{1,2})[ ,/.-]+([0-9]{4}|[0-9]{2})$"
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+TIME_TAIL = r"(?i)([ t]+[0-9]{1,2}:[0-9]{2}.*)$"  # a time of day and what follows it
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
@@ -79,23 +80,48 @@ def _ymd(y: Column, m: Column, d: Column) -> Column:
     return F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
 
 
+def _full_year(y: Column) -> Column:
+    """Two-digit years: 69 to 99 are 19yy, 00 to 68 are 20yy."""
+    return F.when(F.length(y) != 2, y).when(y >= "69", F.concat(F.lit("19"), y)).otherwise(F.concat(F.lit("20"), y))
+
+
+def _month_number(name: Column) -> Column:
+    """Number of an English month name or its first three letters, as text; else null."""
+    low = F.lower(name)
+    out = None
+    for i, month in enumerate(MONTHS, 1):
+        hit = low.isin(month, month[:3], *(["sept"] if month == "september" else []))
+        out = F.when(hit, F.lit(str(i))) if out is None else out.when(hit, F.lit(str(i)))
+    return out
+
+
 def day_first_date(c: Column | str) -> Column:
     """Mixed-format, day-first date text -> DATE, bad -> null.
 
     ``yyyy-mm-dd`` (or ``yyyy/mm/dd``) stays year first; otherwise day first; an impossible
-    day-first reading (month > 12) falls back to month first; two-digit years are
-    20yy; ``-``, ``/`` and ``.`` separators are accepted; time after the first space is
-    ignored. Parsing splits the text into numbers and casts an ISO string, so a
-    non-matching form costs no exception.
+    day-first reading (month > 12) falls back to month first; two-digit years are 1969 to
+    2068; ``-``, ``/`` and ``.`` separators are accepted; ``yyyymmdd`` and English month names,
+    too; a time of day after a space or ``T`` is ignored. Parsing splits the text into
+    numbers and casts an ISO string, so a non-matching form costs no exception.
     """
-    head = F.substring_index(strip_ws(c), " ", 1)
+    head = F.regexp_replace(strip_ws(c), TIME_TAIL, "")
     parts = F.split(head, "[-/.]")
     p1, p2, p3 = F.get(parts, 0), F.get(parts, 1), F.get(parts, 2)
-    year = F.when(F.length(p3) == 2, F.concat(F.lit("20"), p3)).otherwise(p3)
+    year = _full_year(p3)
     year_first = _ymd(p1, p2, p3)
     day_first = F.coalesce(_ymd(year, p2, p1), _ymd(year, p1, p2))
-    shaped = head.rlike(DATE_SHAPE)
-    return F.when(shaped, F.when(F.length(p1) == 4, year_first).otherwise(day_first))
+    compact = _ymd(head.substr(1, 4), head.substr(5, 2), head.substr(7, 2))
+
+    def named(pattern: str, day: int, month: int) -> Column:
+        y, m, d = (F.regexp_extract(head, pattern, i) for i in (3, month, day))
+        return _ymd(_full_year(y), _month_number(m), d)
+
+    return (
+        F.when(head.rlike(DATE_SHAPE), F.when(F.length(p1) == 4, year_first).otherwise(day_first))
+        .when(head.rlike(COMPACT_DATE), compact)
+        .when(head.rlike(NAMED_DAY_FIRST), named(NAMED_DAY_FIRST, 1, 2))
+        .when(head.rlike(NAMED_MONTH_FIRST), named(NAMED_MONTH_FIRST, 2, 1))
+    )
 
 
 def shift_code(c: Column | str) -> Column:
@@ -128,16 +154,17 @@ def oee_product(availability: Column | str, performance: Column | str, quality:
     """OEE = A x P x Q; optionally rounded half-even like pandas/numpy."""
     if decimals is None:
         return _col(availability) * _col(performance) * _col(quality)
-    # Round half-even on the decimal value of the product (ties are decided on the
-    # decimal digits, not on the binary approximation).
-    dec = "decimal(12,6)"
-    prod = _col(availability).cast(dec) * _col(performance).cast(dec) * _col(quality).cast(dec)
-    return F.bround(prod, decimals).cast("double")
-
-
-def teep_from_oee(oee: Column | str, scheduled: float = SCHEDULED_HOURS, total: float = TOTAL_HOURS) -> Column:
-    """TEEP = OEE x scheduled/total (the per-row form the authors rejected)."""
-    return _col(oee) * (F.lit(float(scheduled)) / F.lit(float(total)))
+    # Half-even on the decimal value of the product where the inputs have at most six decimals, up
+    # to the last bits of a division by 100 (ties are then decided on decimal digits); any other
+    # value rounds as a double.
+    factors = [_col(c) for c in (availability, performance, quality)]
+    short = [f.try_cast("decimal(12,6)") for f in factors]
+    exact = F.lit(True)
+    for f, d in zip(factors, short):
+        exact = exact & (F.abs(d.cast("double") - f) < 1e-12)
+    product = short[0] * short[1] * short[2]
+    plain = factors[0] * factors[1] * factors[2]
+    return F.when(F.coalesce(exact, F.lit(False)), F.bround(product, decimals).cast("double")).otherwise(F.bround(plain, decimals))
 
 
 def zero_as_null(c: Column | str) -> Column:

@@ -31,6 +31,7 @@ IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".gif", ".bmp")
 DRIVE_HOST = "drive.google.com"
 DRIVE_IMAGE_TAG_WORDS = ("máquina", "foto", "equipamento", "mídia", "apresentação")
 DRIVE_DOWNLOAD_PREFIX = "https://drive.google.com/uc?export=download&id="
+DRIVE_VIDEO_PREFIX = "https://drive.google.com/uc?id="
 TRUNCATION_MARK = "\n...[CONTEXTO TRUNCADO]"
 
 
@@ -74,10 +75,6 @@ LEADING_BULLET_PATTERN = java_regex(LEADING_BULLET_SOURCE)
 _PLAIN_NUMBER = r"^([0-9]+[.]?[0-9]*|[.][0-9]+)$"
 
 
-def _count(s: Column, ch: str) -> Column:
-    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
-
-
 def parse_money(mention: Column) -> Column:
     """Locale-free amount parse of a mention such as ``$1,234.56`` or ``$ 1.234,56``.
 
@@ -86,27 +83,7 @@ def parse_money(mention: Column) -> Column:
     characters after it is a thousands mark, else decimal. Several dots: thousands.
     Anything that is not then a plain number gives null.
     """
-    s0 = strip_ws(mention)
-    s1 = F.when(s0.startswith("$"), s0.substr(F.lit(2), F.length(s0))).otherwise(s0)
-    s = F.replace(s1, F.lit(" "), F.lit(""))
-    dots, commas = _count(s, "."), _count(s, ",")
-    rev = F.reverse(s)
-    comma_is_last = F.locate(",", rev) < F.locate(".", rev)
-    after_last_comma = F.length(F.substring_index(s, ",", -1))
-    after_last_dot = F.length(F.substring_index(s, ".", -1))
-    no_dots = F.replace(s, F.lit("."), F.lit(""))
-    no_commas = F.replace(s, F.lit(","), F.lit(""))
-    comma_to_dot = F.replace(s, F.lit(","), F.lit("."))
-    t = (
-        F.when((commas > 0) & (dots > 0),
-               F.when(comma_is_last, F.replace(no_dots, F.lit(","), F.lit("."))).otherwise(no_commas))
-        .when(commas > 0, F.when((commas == 1) & (after_last_comma <= 2), comma_to_dot).otherwise(no_commas))
-        .when(dots == 1, F.when(after_last_dot == 3, no_dots).otherwise(s))
-        .when(dots > 1, no_dots)
-        .otherwise(s)
-    )
-    t = strip_ws(t)
-    return F.when(t.rlike(_PLAIN_NUMBER), t.try_cast("double"))
+    return F.get(parse_money_array(F.array(mention)), 0)
 
 
 def format_brl(n: Column) -> Column:
@@ -127,7 +104,7 @@ def parse_money_array(mentions: Column) -> Column:
     elimination, so the single-expression parse would recompute shared pieces many times
     per element; each step here references its input once or twice."""
     cleaned = F.transform(mentions, lambda m: F.replace(
-        F.when(strip_ws(m).startswith("$"), F.substring(strip_ws(m), 2, 1 << 20)).otherwise(strip_ws(m)),
+        F.when(strip_ws(m).startswith("$"), strip_ws(m).substr(F.lit(2), F.length(m))).otherwise(strip_ws(m)),
         F.lit(" "), F.lit("")))
     shaped = F.transform(cleaned, lambda s: F.struct(
         s.alias("s"),
@@ -241,8 +218,11 @@ def drive_id(url: Column) -> Column:
     return F.nullif(out, F.lit(""))
 
 
-def drive_direct_url(url: Column) -> Column:
-    return F.concat(F.lit(DRIVE_DOWNLOAD_PREFIX), drive_id(url))
+def drive_direct_url(url: Column, kind: Column) -> Column:
+    """Direct form of a Drive URL by its render kind (videos are streamed, anything else
+    is downloaded); null for other hosts and without an id."""
+    prefix = F.when(kind == "video", F.lit(DRIVE_VIDEO_PREFIX)).otherwise(F.lit(DRIVE_DOWNLOAD_PREFIX))
+    return F.when(url.contains(DRIVE_HOST), F.concat(prefix, drive_id(url)))
 
 
 def strip_drive_links(text: Column) -> Column:

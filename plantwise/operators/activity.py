@@ -1,18 +1,17 @@
 """Active-slot filters.
 
 A slot is (date, hour) -- or (date, shift, hour) per shift -- and it is active when the
-summed OEE of its rows is > 0. The slot table is built by an aggregation (partial sums
-map-side, so only one small row per slot and partition crosses the shuffle), staged in
-the shared checkpoint folder, counted, and broadcast into a ``left_semi`` join only when
-that count is under the broadcast limit. The fact rows themselves are never shuffled
-for this filter, so a hot slot holding a third of all rows costs nothing extra.
+summed OEE of its rows is > 0. Figures over active slots come from ``slot_state``: one scan,
+aggregated (partially, map-side) to sums and counts per slot, with activity decided by
+windows over that small table. Only where the active rows themselves are the output
+(``keep_active``) are the facts joined with the slot table, by a plain semi join whose kind
+adaptive execution chooses by the table's measured size. Nothing is persisted and no job runs
+while a query is built, so results always reflect the files as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-from plantwise.plans.broadcast import materialize_and_size
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SLOT_KEYS = {"global": ("data", "hora"), "shift": ("data", "turno", "hora")}
 # Fixed labels of the slot activity table.
@@ -34,35 +33,21 @@ def keep_active(facts: DataFrame, mode: str = "global", measure: str = "oee") ->
     """F7 (mode='global') / F8 (mode='shift'); mode='none' returns the input."""
     if mode == "none":
         return facts
-    slots = materialize_and_size(active_slots(facts, mode, measure))
-    return facts.join(slots, list(SLOT_KEYS[mode]), "left_semi")
+    return facts.join(active_slots(facts, mode, measure), list(SLOT_KEYS[mode]), "left_semi")
 
 
-def flag_active(facts: DataFrame, mode: str = "global", name: str = "active", measure: str = "oee") -> DataFrame:
-    """Keep every row and add a boolean activity flag (one scan serves filtered and
-    unfiltered figures)."""
-    keys = SLOT_KEYS[mode]
-    slots = active_slots(facts, mode, measure).withColumn(name, F.lit(True))
-    slots = materialize_and_size(slots)
-    return facts.join(slots, list(keys), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-
-
-def flag_both_modes(facts: DataFrame, global_name: str = "act_global", shift_name: str = "act_shift",
-                    measure: str = "oee") -> DataFrame:
-    """Global and per-shift activity flags from a single slot aggregate: sums per
-    (date, shift, hour) are computed once, the global (date, hour) sums are derived from
-    them by a window over that small table, and one broadcast join on (date, shift,
-    hour) adds both flags."""
-    from pyspark.sql import Window
-
-    per_shift = slot_totals(facts, SLOT_KEYS["shift"], measure)
-    # window over the small per-shift aggregate (one row per slot and shift), not over facts
-    g = F.sum("oee_total").over(Window.partitionBy(*SLOT_KEYS["global"]))
-    flags = per_shift.select(
-        *SLOT_KEYS["shift"], (g > 0).alias(global_name), (F.col("oee_total") > 0).alias(shift_name)
-    )
-    flags = materialize_and_size(flags)
-    return facts.join(flags, list(SLOT_KEYS["shift"]), "left")
+def slot_state(facts: DataFrame, sums: dict[str, Column], by: tuple[str, ...] = (), measure: str = "oee",
+               counted: Column | None = None) -> DataFrame:
+    """Sums per (date, hour, shift) and ``by``, with ``act_global`` and ``act_shift``: whether the
+    slot's total of ``measure`` -- of the rows where ``counted`` holds, if given -- is > 0."""
+    keys = list(dict.fromkeys([*SLOT_KEYS["shift"], *by]))
+    total = F.col(measure) if counted is None else F.when(counted, F.col(measure))
+    state = facts.groupBy(*keys).agg(*(F.sum(c).alias(n) for n, c in sums.items()), F.sum(total).alias("_slot"))
+
+    def active(mode: str) -> Column:
+        return F.coalesce(F.sum("_slot").over(Window.partitionBy(*SLOT_KEYS[mode])) > 0, F.lit(False))
+
+    return state.withColumns({"act_global": active("global"), "act_shift": active("shift")}).drop("_slot")
 
 
 def active_hours_one_day(facts: DataFrame, day: str, measure: str = "oee") -> DataFrame:
@@ -97,8 +82,6 @@ def active_means(
     overall row (key labelled 'all') through grouping sets. Use ``keep_active`` when the
     active rows themselves are the output.
     """
-    from pyspark.sql import Window
-
     slot = SLOT_KEYS[mode]
     keys = list(dict.fromkeys([*slot, "turno", *by]))
     sums = facts.groupBy(*keys).agg(

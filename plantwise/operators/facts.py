@@ -156,8 +156,3 @@ def oee_facts(
     if hours is not None:
         facts = facts.filter(F.col("hora").between(float(hours[0]), float(hours[1])))
     return facts
-
-
-def raw_population(raw: DataFrame, period=None, shifts=SHIFTS, hours=WORK_HOURS, weekdays_below=None) -> DataFrame:
-    """F1': the same filters without the machine test (subtotal rows take part)."""
-    return oee_facts(raw, period=period, shifts=shifts, hours=hours, weekdays_below=weekdays_below, validate=False)

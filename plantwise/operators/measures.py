@@ -1,4 +1,4 @@
-"""Aggregations over typed facts.
+"""Aggregations over typed facts.
 
 Means of means keep (sum, count) per inner group (SURVEY 4.1 law 5), so an outer level
 can be derived from the inner one without rescanning; several figures that the source
@@ -12,9 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plantwise.functions.cleaning import weekday_index, weekday_name, weekday_name_pt
-from plantwise.operators.activity import SLOT_KEYS, active_slots
+from plantwise.operators.activity import slot_state
 from plantwise.operators.facts import SHIFTS, WORK_HOURS, in_period
-from plantwise.plans.broadcast import materialize_and_size
 
 MEASURES = ("teep", "oee")
 
@@ -23,46 +22,15 @@ def _mean_cols(measures: Sequence[str] = MEASURES) -> list[Column]:
     return [F.avg(m).alias(f"{m}_mean") for m in measures]
 
 
-def overall_means(facts: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """A1: row count and plain means."""
-    return facts.agg(F.count(F.lit(1)).alias("n_rows"), *_mean_cols(measures))
-
-
 def means_by(facts: DataFrame, keys: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
     """A2 (keys=turno) / A3 (keys=data, turno)."""
     return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *_mean_cols(measures))
 
 
-def means_with_total(facts: DataFrame, key: str, measures: Sequence[str] = MEASURES,
-                     total_label: str = "all") -> DataFrame:
-    """Means per ``key`` plus the overall mean (labelled ``total_label``) in one scan,
-    via grouping sets (key) and ()."""
-    sets = facts.groupingSets([[key], []], key).agg(
-        F.grouping_id().alias("_gid"), F.count(F.lit(1)).alias("n_rows"), *_mean_cols(measures))
-    label = F.when(F.col("_gid") == 0, F.col(key).cast("string")).otherwise(F.lit(total_label))
-    return sets.select(label.alias(key), "n_rows", *[f"{m}_mean" for m in measures])
-
-
-def group_sums(facts: DataFrame, keys: Sequence[str], measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Mergeable state: (sum, count) per group."""
-    return facts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.sum(m).alias(f"{m}_sum") for m in measures]
-    )
-
-
-def mean_of_means(
-    facts: DataFrame,
-    inner_keys: Sequence[str],
-    outer_keys: Sequence[str] = (),
-    measures: Sequence[str] = MEASURES,
-) -> DataFrame:
-    """A4/A5: mean per inner group first, then the plain mean of those means per outer
-    group. ``n_groups`` counts inner groups."""
-    inner = group_sums(facts, list(outer_keys) + [k for k in inner_keys if k not in outer_keys], measures)
-    return inner.groupBy(*outer_keys).agg(
-        F.count(F.lit(1)).alias("n_groups"),
-        *[F.avg(F.col(f"{m}_sum") / F.col("n_rows")).alias(f"{m}_mean") for m in measures],
-    )
+def _active_sums(facts: DataFrame, measures: Sequence[str], by: tuple[str, ...]) -> DataFrame:
+    """Sums and counts per slot, shift and ``by`` of the rows in active slots (one scan)."""
+    sums = {"n_rows": F.lit(1), **{f"{m}_sum": F.col(m) for m in measures}}
+    return slot_state(facts, sums, by).filter("act_global")
 
 
 def mean_of_means_two_levels(
@@ -71,14 +39,14 @@ def mean_of_means_two_levels(
     split_key: str = "turno",
     measures: Sequence[str] = MEASURES,
 ) -> DataFrame:
-    """Mean of ``group_key`` means overall (scope 'all') and per ``split_key``.
-
-    One scan: grouping sets (group, split) and (group) give the inner (sum, count) of both
-    levels at once; one outer aggregation over that small result gives every scope."""
-    sets = facts.groupingSets([[group_key, split_key], [group_key]], group_key, split_key).agg(
+    """A4/A5: over active slots, the mean of ``group_key`` means overall (scope 'all') and per
+    ``split_key``. One scan: grouping sets (group, split) and (group) of the slot sums give
+    the inner (sum, count) of both levels at once."""
+    sets = _active_sums(facts, measures, (group_key, split_key)).groupingSets(
+        [[group_key, split_key], [group_key]], group_key, split_key).agg(
         F.grouping_id().alias("_gid"),
-        F.count(F.lit(1)).alias("n_rows"),
-        *[F.sum(m).alias(f"{m}_sum") for m in measures],
+        F.sum("n_rows").alias("n_rows"),
+        *[F.sum(f"{m}_sum").alias(f"{m}_sum") for m in measures],
     )
     scope = F.when(F.col("_gid") == 0, F.col(split_key).cast("string")).otherwise(F.lit("all"))
     return sets.groupBy(scope.alias("scope")).agg(
@@ -89,10 +57,10 @@ def mean_of_means_two_levels(
 
 def weighted_group_means(facts: DataFrame, group_key: str = "data", split_key: str = "turno",
                          measure: str = "teep") -> DataFrame:
-    """Per split, the simple mean of group means next to the count-weighted one
-    (sum(mean * n) / sum(n), which equals the plain row mean)."""
-    inner = facts.groupBy(split_key, group_key).agg(
-        F.avg(measure).alias("m"), F.count(F.lit(1)).alias("n")
+    """Over active slots, per split the simple mean of group means next to the
+    count-weighted one (sum(mean * n) / sum(n), which equals the plain row mean)."""
+    inner = _active_sums(facts, (measure,), (group_key, split_key)).groupBy(split_key, group_key).agg(
+        (F.sum(f"{measure}_sum") / F.sum("n_rows")).alias("m"), F.sum("n_rows").alias("n")
     )
     return inner.groupBy(split_key).agg(
         F.count(F.lit(1)).alias("n_groups"),
@@ -102,11 +70,6 @@ def weighted_group_means(facts: DataFrame, group_key: str = "data", split_key: s
     )
 
 
-def rows_per_date(facts: DataFrame) -> DataFrame:
-    """Rows per date, ordered by date."""
-    return facts.groupBy("data").agg(F.count(F.lit(1)).alias("n_rows")).orderBy("data")
-
-
 def _sorted_text_set(c: Column) -> Column:
     return F.array_join(F.array_sort(F.collect_set(c)), ",")
 
@@ -134,24 +97,24 @@ def filter_funnel(
 ) -> DataFrame:
     """Rows left after each filter (period, shift, hour, activity) in one scan.
 
-    Activity is decided on the rows that pass period, shift and hour, and joined back as
-    a flag so that the earlier stages can still be counted in the same pass. Input: the
-    typed sheet (``facts.typed_sheet``).
-    """
+    Period, shift and hour are functions of the slot keys, so the counts of every stage and the
+    activity of the surviving population come from one table of slot sums. Input: the typed
+    sheet (``facts.typed_sheet``)."""
     facts = typed.filter(F.col("machine_ok")).drop("machine_ok")
     in_p = in_period("data", period[0], period[1])
-    in_s = F.col("turno").isin(*shifts)
-    in_h = F.col("hora").between(float(hours[0]), float(hours[1]))
-    population = facts.filter(in_p & in_s & in_h)
-    slots = materialize_and_size(active_slots(population, "global").withColumn("_active", F.lit(True)))
-    flagged = facts.join(slots, list(SLOT_KEYS["global"]), "left")
-    act = F.coalesce(F.col("_active"), F.lit(False))
-    return flagged.agg(
-        F.count(F.lit(1)).alias("n_valid"),
-        F.count_if(in_p).alias("n_period"),
-        F.count_if(in_p & in_s).alias("n_shift"),
-        F.count_if(in_p & in_s & in_h).alias("n_hour"),
-        F.count_if(in_p & in_s & in_h & act).alias("n_active"),
+    in_s = in_p & F.col("turno").isin(*shifts)
+    in_h = in_s & F.col("hora").between(float(hours[0]), float(hours[1]))
+    state = slot_state(facts, {"n": F.lit(1)}, counted=in_h)
+
+    def rows(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+
+    return state.agg(
+        rows(F.lit(True)).alias("n_valid"),
+        rows(in_p).alias("n_period"),
+        rows(in_s).alias("n_shift"),
+        rows(in_h).alias("n_hour"),
+        rows(in_h & F.col("act_global")).alias("n_active"),
     )
 
 

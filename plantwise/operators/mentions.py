@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from plantwise.functions.text import money_mentions, parse_money, rewrite_money_frame
-from plantwise.plans.broadcast import materialize_and_size
 
 
 def explode_mentions(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -31,18 +30,16 @@ def converted_by_group(
 ) -> DataFrame:
     """T5: converted spend per group = sum(amount x rate of the day).
 
-    Amounts and rates are summed in exact decimal arithmetic (two decimals x one
-    decimal), so the total does not depend on summation order. The rate table has one
-    row per day; it is staged, counted and broadcast only when small.
+    Amounts and rates keep their given precision (doubles, as parsed and as T4 converts
+    them). The rate table has one row per day; the join's kind is left to its measured size.
     """
-    r = materialize_and_size(rates.select(F.col(rate_date_col).alias(date_col), "rate"))
+    r = rates.select(F.col(rate_date_col).alias(date_col), "rate")
     joined = mentions.join(r, [date_col], "left")
-    value = F.col("amount").cast("decimal(20,2)") * F.col("rate").cast("decimal(6,2)")
     return joined.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("n_mentions"),
         F.count("amount").alias("n_parsed"),
-        F.sum(F.col("amount").cast("decimal(20,2)")).cast("double").alias("usd_total"),
-        F.sum(value).cast("double").alias("brl_total"),
+        F.sum("amount").alias("usd_total"),
+        F.sum(F.col("amount") * F.col("rate")).alias("brl_total"),
     )
 
 

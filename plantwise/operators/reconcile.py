@@ -1,17 +1,17 @@
 """Reconciliation of computed means against published targets.
 
-All figures come from one or two scans of the facts; method tables are tiny frames
-that are unioned, never collected.
+Every report is one scan of the facts: sums and counts per slot, activity flags on that small
+table, and conditional sums of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantwise.functions.cleaning import SCHEDULED_HOURS, TOTAL_HOURS, weekday_index
-from plantwise.operators.activity import flag_active, flag_both_modes
+from plantwise.operators.activity import slot_state
 from plantwise.operators.facts import in_period
 from plantwise.operators.measures import _stack
 
@@ -42,21 +42,32 @@ def band(diff_points: Column, bands: Sequence[tuple[float, str]], otherwise: str
     return out.otherwise(F.lit(otherwise))
 
 
+def _mean(total: str, n: str, cond: Column | None = None) -> Column:
+    """Mean of rows from slot sums, over the slots where ``cond`` holds (null without rows)."""
+    if cond is None:
+        return F.sum(total) / F.nullif(F.sum(n), F.lit(0))
+    return F.sum(F.when(cond, F.col(total))) / F.nullif(F.sum(F.when(cond, F.col(n))), F.lit(0))
+
+
+def _rows(n: str, cond: Column) -> Column:
+    return F.coalesce(F.sum(F.when(cond, F.col(n))), F.lit(0)).cast("bigint")
+
+
 def method_comparison(facts: DataFrame, target: float) -> DataFrame:
     """Five means of TEEP with their distance to the target.
 
     simple | active slots | TEEP > 0 | mean of daily means (active rows) | mean of
     machine means (active rows).
     """
-    flagged = flag_active(facts, "global", "active")
-    act = F.col("active")
     teep = F.col("teep")
-    # one scan: grouping sets (), (date), (machine) over the flagged rows
-    sets = flagged.groupingSets([[], ["data"], ["maquina"]], "data", "maquina").agg(
+    state = slot_state(facts, {"n": F.lit(1), "teep": teep, "n_pos": (teep > 0).cast("int"), "pos": F.when(teep > 0, teep)}, ("maquina",))
+    act = F.col("act_global")
+    # grouping sets (), (date), (machine) over the slot sums
+    sets = state.groupingSets([[], ["data"], ["maquina"]], "data", "maquina").agg(
         F.grouping_id().alias("_gid"),
-        F.avg(teep).alias("_all"),
-        F.avg(F.when(act, teep)).alias("_act"),
-        F.avg(F.when(teep > 0, teep)).alias("_pos"),
+        _mean("teep", "n").alias("_all"),
+        _mean("teep", "n", act).alias("_act"),
+        _mean("pos", "n_pos").alias("_pos"),
     )
     # grouping_id bits follow the grouping columns (data, maquina): () = 3, (data) = 1, (maquina) = 2
     gid = F.col("_gid")
@@ -84,18 +95,18 @@ def daytype_activity_grid(facts: DataFrame, target: float) -> DataFrame:
 
     Date-only predicates do not change a slot's sum, so one activity flag serves all six
     cells; the grid is one conditional aggregate."""
-    flagged = flag_active(facts, "global", "active")
+    state = slot_state(facts, {"n": F.lit(1), "teep": F.col("teep")})
     wd = weekday_index("data")
     day_types = {"all": F.lit(True), "mon_fri": wd < 5, "mon_sat": wd < 6}
     cells = []
     for dname, dcond in day_types.items():
-        for aname, acond in (("active", F.col("active")), ("unfiltered", F.lit(True))):
+        for aname, acond in (("active", F.col("act_global")), ("unfiltered", F.lit(True))):
             cells.append((dname, aname, dcond & acond))
     aggs = []
     for i, (_, _, cond) in enumerate(cells):
-        aggs += [F.count_if(cond).alias(f"n{i}"), F.avg(F.when(cond, F.col("teep"))).alias(f"t{i}")]
+        aggs += [_rows("n", cond).alias(f"n{i}"), _mean("teep", "n", cond).alias(f"t{i}")]
     rows = [(str(i + 1), f"'{d}'", f"'{a}'", f"n{i}", f"t{i}") for i, (d, a, _) in enumerate(cells)]
-    grid = _stack(flagged.agg(*aggs), rows, ["cell_order", "day_type", "activity", "n_rows", "teep_mean"])
+    grid = _stack(state.agg(*aggs), rows, ["cell_order", "day_type", "activity", "n_rows", "teep_mean"])
     diff = distance_points(F.col("teep_mean"), target)
     return grid.withColumns(
         {"diff_points": diff, "mark": F.when(diff < F.lit(MARK_LIMIT), F.lit(MARK)).otherwise(F.lit(""))}
@@ -106,28 +117,22 @@ def activity_mode_fit(facts: DataFrame, targets: dict[str, float]) -> DataFrame:
     """Mean TEEP per shift under three activity modes (per-shift slots, global
     slots, none), each shift's distance to its own target, the summed distance per mode
     and the best mode (smallest sum)."""
-    flagged = flag_both_modes(facts, "act_global", "act_shift")
+    state = slot_state(facts, {"n": F.lit(1), "teep": F.col("teep")})
     modes = {"shift": F.col("act_shift"), "global": F.col("act_global"), "none": F.lit(True)}
     aggs = []
     for i, cond in enumerate(modes.values()):
-        aggs += [F.count_if(cond).alias(f"n{i}"), F.avg(F.when(cond, F.col("teep"))).alias(f"t{i}")]
-    # one row per shift: kept in memory so that the per-mode totals and the best mode
-    # below do not rescan the facts
-    from pyspark import StorageLevel
-
-    per_shift = flagged.groupBy("turno").agg(*aggs).persist(StorageLevel.MEMORY_AND_DISK)
+        aggs += [_rows("n", cond).alias(f"n{i}"), _mean("teep", "n", cond).alias(f"t{i}")]
+    per_shift = state.groupBy("turno").agg(*aggs)
     rows = [(str(i + 1), f"'{m}'", f"n{i}", f"t{i}") for i, m in enumerate(modes)]
     long = per_shift.selectExpr("turno", f"stack({len(rows)}, {', '.join(', '.join(r) for r in rows)}) as (mode_order, mode, n_rows, teep_mean)")
     target_map = F.create_map(*[F.lit(x) for kv in targets.items() for x in (kv[0], float(kv[1]))])
     long = long.withColumn("target", F.element_at(target_map, F.col("turno")))
     long = long.withColumn("diff_points", distance_points(F.col("teep_mean"), F.col("target")))
-    totals = long.groupBy("mode_order", "mode").agg(F.sum("diff_points").alias("mode_total_diff"))
-    # the best mode: one row, joined back by equality on the mode (no global window)
-    best = totals.agg(F.min_by("mode", F.struct("mode_total_diff", "mode_order")).alias("_best"))
-    # totals and best have one row per mode (three modes): bounded broadcasts
-    out = long.join(F.broadcast(totals), ["mode_order", "mode"]).join(
-        F.broadcast(best), F.col("mode") == F.col("_best"), "left")
-    return out.withColumn("is_best", F.col("_best").isNotNull()).drop("_best")
+    # windows over one row per shift and mode
+    total = F.sum("diff_points").over(Window.partitionBy("mode_order", "mode"))
+    out = long.withColumn("mode_total_diff", total)
+    best = F.min(F.struct("mode_total_diff", "mode_order")).over(Window.partitionBy())
+    return out.withColumn("is_best", F.col("mode_order") == best["mode_order"])
 
 
 def tolerance_bands(values: DataFrame, value_col: str, target: Column | float,
@@ -161,18 +166,18 @@ def period_sensitivity(facts: DataFrame, periods: dict[str, tuple[str, str, str]
     """TEEP over several period definitions ``name -> (start, end, closed)`` with the
     first and last date present (before the activity filter). One scan with one
     activity flag (date predicates commute with slot activity)."""
-    flagged = flag_active(facts, "global", "active")
+    state = slot_state(facts, {"n": F.lit(1), "teep": F.col("teep")})
     aggs = []
     for i, (start, end, closed) in enumerate(periods.values()):
         inp = in_period("data", start, end, closed)
         aggs += [
-            F.count_if(inp & F.col("active")).alias(f"n{i}"),
-            F.avg(F.when(inp & F.col("active"), F.col("teep"))).alias(f"t{i}"),
+            _rows("n", inp & F.col("act_global")).alias(f"n{i}"),
+            _mean("teep", "n", inp & F.col("act_global")).alias(f"t{i}"),
             F.min(F.when(inp, F.col("data"))).alias(f"f{i}"),
             F.max(F.when(inp, F.col("data"))).alias(f"l{i}"),
         ]
     rows = [(str(i + 1), f"'{name}'", f"n{i}", f"t{i}", f"f{i}", f"l{i}") for i, name in enumerate(periods)]
-    return _stack(flagged.agg(*aggs), rows, ["period_order", "period", "n_rows", "teep_mean", "first_date", "last_date"])
+    return _stack(state.agg(*aggs), rows, ["period_order", "period", "n_rows", "teep_mean", "first_date", "last_date"])
 
 
 def teep_formula_variants(facts: DataFrame, target_teep: float, scheduled: float = SCHEDULED_HOURS,
@@ -180,14 +185,14 @@ def teep_formula_variants(facts: DataFrame, target_teep: float, scheduled: float
     """R8 + R9: the sheet's TEEP column, mean(OEE) x 16/24, mean of per-row OEE x 16/24,
     mean(OEE over active slots) x 16/24, and the OEE a target TEEP implies."""
     factor = F.lit(float(scheduled)) / F.lit(float(total))
-    flagged = flag_active(facts, "global", "active")
-    agg = flagged.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("active")).alias("n_active"),
-        F.avg("teep").alias("teep_file"),
-        F.avg("oee").alias("oee_mean"),
-        F.avg(F.col("oee") * factor).alias("teep_per_row"),
-        F.avg(F.when(F.col("active"), F.col("oee"))).alias("oee_active_mean"),
+    act = F.col("act_global")
+    agg = slot_state(facts, {"n": F.lit(1), "teep": F.col("teep"), "oee": F.col("oee")}).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        _rows("n", act).alias("n_active"),
+        _mean("teep", "n").alias("teep_file"),
+        _mean("oee", "n").alias("oee_mean"),
+        (_mean("oee", "n") * factor).alias("teep_per_row"),
+        _mean("oee", "n", act).alias("oee_active_mean"),
     )
     return agg.select(
         "*",

@@ -1,51 +1,21 @@
-"""Broadcast only behind a size check.
+"""Broadcast only behind a proven bound.
 
-Small dimension-like tables (active slots, targets, thresholds, periods, quotes of a day)
-are broadcast when their size is *proven*: either a static bound that follows from the
-parameters, or a measured row count of a table that was first materialised in the shared
-checkpoint folder. Beyond the limit the plain join stays, so Spark falls back to a
-shuffled join (with AQE skew handling) instead of shipping a large table to every
-executor.
+A table is hinted for broadcast only where an upper bound on its rows follows from the
+parameters (targets, modes, columns) and fits the session's own broadcast threshold. Any
+other join carries no hint: Catalyst and adaptive execution choose by measured size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# Rows we are willing to ship to every executor for a narrow key table.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
 
 def max_broadcast_rows(df: DataFrame, row_bytes: int = 64) -> int:
-    """Row limit derived from the session's broadcast threshold (bytes)."""
-    raw = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        threshold = int(str(raw).lower().replace("b", "")) if raw else 10485760
-    except ValueError:
-        threshold = 10485760
-    threshold = max(threshold, 8 * 1024 * 1024)
-    return min(DEFAULT_MAX_BROADCAST_ROWS, threshold // row_bytes)
+    """Row limit derived from the session's broadcast threshold; 0 where it is switched off."""
+    jvm_conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return max(0, int(jvm_conf.autoBroadcastJoinThreshold())) // row_bytes
 
 
-def broadcast_if_bounded(df: DataFrame, bound_rows: int | None, limit_rows: int | None = None) -> DataFrame:
+def broadcast_if_bounded(df: DataFrame, bound_rows: int) -> DataFrame:
     """Hint a broadcast when a static upper bound on the rows is known and small."""
-    limit = limit_rows if limit_rows is not None else max_broadcast_rows(df)
-    if bound_rows is not None and bound_rows <= limit:
-        return F.broadcast(df)
-    return df
-
-
-def materialize_and_size(df: DataFrame, limit_rows: int | None = None) -> DataFrame:
-    """Persist a (small, aggregated) table, count it, and broadcast it only if the count
-    is under the limit; otherwise return it for a shuffled join.
-
-    The count is the proof of size. Persisting keeps the aggregate from being computed
-    twice (count, then broadcast build); a lost cached block is recomputed from lineage.
-    Use only on tables that are the result of an aggregation, never on raw facts.
-    """
-    from pyspark import StorageLevel
-
-    limit = limit_rows if limit_rows is not None else max_broadcast_rows(df)
-    staged = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = staged.count()
-    return F.broadcast(staged) if n <= limit else staged
+    return F.broadcast(df) if bound_rows <= max_broadcast_rows(df) else df

@@ -69,12 +69,6 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed_sheet_table(spark, sf_dir)
 
 
-def standard_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verified population: period, Mon-Fri, shifts A/B, hours 6-21, active slots."""
-    facts = fx.filter_facts(typed(spark, sf_dir), period=PERIOD, weekdays_below=5)
-    return act.keep_active(facts, "global")
-
-
 def verified_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Period, Mon-Fri, shifts A/B, hours 6-21 (before the activity filter)."""
     return fx.filter_facts(typed(spark, sf_dir), period=PERIOD, weekdays_below=5)
@@ -108,19 +102,19 @@ def q_oee_by_day_shift(spark, sf_dir):
 @register("mean_of_daily")
 @rounded
 def q_mean_of_daily(spark, sf_dir):
-    return ms.mean_of_means_two_levels(standard_facts(spark, sf_dir), "data", "turno")
+    return ms.mean_of_means_two_levels(verified_population(spark, sf_dir), "data", "turno")
 
 
 @register("mean_of_machine")
 @rounded
 def q_mean_of_machine(spark, sf_dir):
-    return ms.mean_of_means_two_levels(standard_facts(spark, sf_dir), "maquina", "turno")
+    return ms.mean_of_means_two_levels(verified_population(spark, sf_dir), "maquina", "turno")
 
 
 @register("weighted_daily")
 @rounded
 def q_weighted_daily(spark, sf_dir):
-    return ms.weighted_group_means(standard_facts(spark, sf_dir), "data", "turno", "teep")
+    return ms.weighted_group_means(verified_population(spark, sf_dir), "data", "turno", "teep")
 
 
 @register("slot_activity")
@@ -179,6 +173,20 @@ def q_active_slots_shift(spark, sf_dir):
     return act.active_means(period_facts(spark, sf_dir, weekdays_below=5), ("turno",), "shift")
 
 
+@register("active_rows_global")
+@rounded
+def q_active_rows_global(spark, sf_dir):
+    """the rows themselves that the global slot filter keeps."""
+    return act.keep_active(verified_population(spark, sf_dir), "global").select("maquina", "data", "turno", "hora", "teep", "oee")
+
+
+@register("active_rows_shift")
+@rounded
+def q_active_rows_shift(spark, sf_dir):
+    """F8: the rows themselves that the per-shift slot filter keeps."""
+    return act.keep_active(verified_population(spark, sf_dir), "shift").select("maquina", "data", "turno", "hora", "teep", "oee")
+
+
 @register("active_hours_one_day")
 @rounded
 def q_active_hours_one_day(spark, sf_dir):
@@ -364,7 +372,6 @@ from plantwise.operators import context as ctx  # noqa: E402
 from plantwise.operators import links as lk  # noqa: E402
 from plantwise.operators import mentions as mn  # noqa: E402
 from plantwise.operators import rates as rt  # noqa: E402
-from plantwise.plans.broadcast import materialize_and_size  # noqa: E402
 from plantwise.sources import fixtures as fxt  # noqa: E402
 
 CONTEXT_BUDGET = 1000
@@ -372,7 +379,7 @@ CONTEXT_BUDGET = 1000
 
 def _texts_with_rate(spark, sf_dir):
     texts = fxt.money_text(spark, sf_dir)
-    rates = materialize_and_size(fxt.daily_rates(spark, sf_dir).withColumnRenamed("rate_date", "order_date"))
+    rates = fxt.daily_rates(spark, sf_dir).withColumnRenamed("rate_date", "order_date")
     return texts.join(rates, ["order_date"], "left")
 
 
@@ -404,7 +411,8 @@ def q_money_rewrite(spark, sf_dir):
 @rounded
 def q_money_by_group(spark, sf_dir):
     m = mn.explode_mentions(fxt.money_text(spark, sf_dir), keep=("o_orderpriority", "order_date"))
-    return mn.converted_by_group(m, fxt.daily_rates(spark, sf_dir), ("o_orderpriority",))
+    out = mn.converted_by_group(m, fxt.daily_rates(spark, sf_dir), ("o_orderpriority",))
+    return out.withColumns({c: F.round(c, 3) for c in ("usd_total", "brl_total")})
 
 
 @register("fx_asof")
@@ -444,6 +452,12 @@ def q_strip_drive_links(spark, sf_dir):
     return fxt.link_text(spark, sf_dir).select("page_id", T.strip_drive_links(F.col("text")).alias("text"))
 
 
+@register("answer_parts")
+def q_answer_parts(spark, sf_dir):
+    """T6 + T12 + T4: answers as ordered text and link parts, amounts converted."""
+    return lk.answer_parts(fxt.answer_text(spark, sf_dir), keep=("page_id",))
+
+
 @register("answer_cleanup")
 def q_answer_cleanup(spark, sf_dir):
     conv = fxt.table(spark, sf_dir, "conversations")
@@ -507,19 +521,29 @@ def q_scan_headerless(spark, sf_dir):
     return br.distinct_values(rows, "c1", "machine")
 
 
+@register("scan_from_first_row")
+def q_scan_from_first_row(spark, sf_dir):
+    """S2 with no row skipped: every line of a headerless sheet, title lines included."""
+    return sh.read_sheet_csv(spark, _production_sheet_path(spark, sf_dir), 3)
+
+
 @register("source_profile")
 def q_source_profile(spark, sf_dir):
-    """S3: every record sheet file with rows, width and modification time."""
+    """S3: every record sheet with rows, width and whether a modification time is known
+    (the time itself differs from run to run)."""
     paths = [fxt.record_sheet_path(spark, sf_dir, name) for name in fxt.RECORD_SHEETS]
-    prof = sh.source_profile(spark, paths, 8)
-    return prof.withColumn("file_path", F.regexp_extract("file_path", r"(sheet-[a-z]+)-", 1))
+    prof = sh.source_profile(spark, paths)
+    sheet = F.regexp_extract("file_path", r"(sheet-[a-z]+)-", 1)
+    # a sheet landed as several files has a header in each
+    return prof.groupBy(sheet.alias("file_path")).agg(
+        (F.sum("n_rows") - F.count(F.lit(1))).alias("n_records"), F.max("n_cols").alias("n_cols"),
+        F.bool_and(F.col("modified").isNotNull()).alias("has_time"), F.bool_and("has_machine_column").alias("has_machine_column"))
 
 
 @register("record_scan")
 def q_record_scan(spark, sf_dir):
     """A record sheet read from its header row, all values text."""
-    df = sh.read_record_sheet(spark, fxt.record_sheet_path(spark, sf_dir, "erros"), "erros")
-    return df.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return sh.read_record_sheet(spark, fxt.record_sheet_path(spark, sf_dir, "erros"), "erros")
 
 
 @register("table_scan")
@@ -590,7 +614,7 @@ def q_substring_one(spark, sf_dir):
 @register("substring_all_columns")
 def q_substring_all_columns(spark, sf_dir):
     cust = fxt.table(spark, sf_dir, "customer")
-    return br.substring_all_columns(cust, "12", 5, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    return br.substring_all_columns(cust, "12", 5, cust.columns)
 
 
 # ---------------------------------------------------------------- ST: streams
@@ -616,8 +640,8 @@ def q_stream_ingest(spark, sf_dir):
 @register("stream_slots")
 @rounded
 def q_stream_slots(spark, sf_dir):
-    """ST2: finalized hourly (slot, shift) sums from the stream."""
-    return st.ingest_slot_sums(spark, _landing(spark, sf_dir), "1 hour")
+    """ST2: (date, hour, shift) sums of everything landed, from the stream."""
+    return st.ingest_slot_sums(spark, _landing(spark, sf_dir))
 
 
 @register("money_in_documents")
@@ -637,4 +661,4 @@ def q_page_index(spark, sf_dir):
 @rounded
 def q_stream_active_means(spark, sf_dir):
     """ST2 -> F7 + A2: per-shift means over active slots, from the stream's slot sums."""
-    return st.means_from_slot_sums(st.ingest_slot_sums(spark, _landing(spark, sf_dir), "1 hour"))
+    return st.means_from_slot_sums(st.ingest_slot_sums(spark, _landing(spark, sf_dir)))

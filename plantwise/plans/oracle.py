@@ -347,10 +347,10 @@ FROM mt2
 """)
 add("money_by_group", MONEY + """@@
 SELECT o_orderpriority, count(*) AS n_mentions, count(amount) AS n_parsed,
-  CAST(sum(CAST(amount AS DECIMAL(20, 2))) AS DOUBLE) AS usd_total,
-  CAST(sum(CAST(amount AS DECIMAL(20, 2)) * CAST(rate AS DECIMAL(6, 2))) AS DOUBLE) AS brl_total
+  round(CAST(sum(CAST(amount AS DECIMAL(20, 2))) AS DOUBLE), 3) AS usd_total,
+  round(CAST(sum(CAST(amount AS DECIMAL(20, 2)) * CAST(rate AS DECIMAL(6, 2))) AS DOUBLE), 3) AS brl_total
 FROM mt2 WHERE mention IS NOT NULL GROUP BY o_orderpriority
-""", ("usd_total", "brl_total"))
+""")
 add("fx_asof", """
 q1 AS (SELECT ts AS q_ts, event_id AS q_id, 4.0::DOUBLE + value / 1000.0::DOUBLE AS q_rate FROM events WHERE event_type = 'view'),
 q2 AS (SELECT ts AS q_ts, event_id AS q_id, 4.0::DOUBLE + value / 1000.0::DOUBLE AS q_rate FROM events WHERE event_type = 'signup'),
@@ -405,9 +405,36 @@ add("media_type", LINKS + "@@\nSELECT page_id, url, media_type FROM lk3")
 add("render_kind", LINKS + "@@\nSELECT page_id, tag, media_type, render_kind FROM lk3")
 add("drive_id", LINKS + """@@
 SELECT page_id, drive_id,
-  CASE WHEN media_type = 'drive' THEN 'https://drive.google.com/uc?export=download&id=' || drive_id END AS direct_url
+  CASE WHEN contains(url, 'drive.google.com') THEN
+    'https://drive.google.com/uc?' || CASE WHEN render_kind = 'video' THEN 'id=' ELSE 'export=download&id=' END || drive_id END AS direct_url
 FROM lk3
 """)
+add("answer_parts", LINKS + """,
+first_link AS (SELECT page_id, tag, url, media_type, render_kind, drive_id FROM lk3),
+base AS (
+  SELECT p.page_id, p.page_id % 6 AS k, p.url, '- Item ' || p.page_id || ' por $ ' || p.page_id || ' cada:' AS plain,
+         'Item ' || p.page_id || ' por \\$ ' || p.page_id || ' (R\\$ ' || translate(format('{:,.2f}', p.page_id * 2.0), ',.', '.,') || ') cada:' AS lead
+  FROM pages p),
+parts AS (
+  SELECT page_id, CASE WHEN k = 5 THEN 0 ELSE 0 END AS pos, 'text' AS kind,
+    lead || CASE k WHEN 3 THEN ' Link de Máquina:' WHEN 5 THEN ' sem link e ainda' ELSE '' END || chr(10) || '(valores sem impostos)' AS text,
+    NULL AS tag, NULL AS url, NULL AS media_type, NULL AS render_kind, NULL AS direct_url FROM base
+  UNION ALL
+  SELECT f.page_id, 1, 'link', NULL, f.tag, f.url, f.media_type, f.render_kind,
+    CASE WHEN contains(f.url, 'drive.google.com') THEN
+      'https://drive.google.com/uc?' || CASE WHEN f.render_kind = 'video' THEN 'id=' ELSE 'export=download&id=' END || f.drive_id END
+  FROM first_link f
+  UNION ALL
+  SELECT page_id, 2, 'text', CASE k WHEN 1 THEN '). e ainda' ELSE 'e ainda' END, NULL, NULL, NULL, NULL, NULL FROM base WHERE k <> 5
+  UNION ALL
+  SELECT page_id, CASE WHEN k = 5 THEN 1 ELSE 3 END, 'link', NULL, 'foto', url || '.jpg',
+    CASE WHEN regexp_matches(lower(url), '\\.(mp4|mov|avi|m4v|webm|mkv)') THEN 'video' ELSE 'image' END,
+    CASE WHEN regexp_matches(lower(url), '\\.(mp4|mov|avi|m4v|webm|mkv)') THEN 'video' ELSE 'image' END, NULL FROM base
+  UNION ALL
+  SELECT page_id, CASE WHEN k = 5 THEN 2 ELSE 4 END, 'text', 'fim', NULL, NULL, NULL, NULL, NULL FROM base)
+@@
+SELECT page_id, CAST(pos AS INTEGER) AS pos, kind, text, tag, url, media_type, render_kind, direct_url FROM parts
+""".replace("\\\\", "\\"))
 add("strip_drive_links", LINKS + r"""@@
 SELECT page_id, regexp_replace(text, 'https?://drive\.google\.com/file/d/[a-zA-Z0-9_-]+/view\?usp=drive_link', '', 'g') AS text
 FROM lt2
@@ -447,9 +474,20 @@ SELECT maquina, data_text AS data, turno_text AS turno, hora_text AS hora, disp_
 """)
 add("scan_headerless", "SELECT DISTINCT s_name AS machine FROM supplier WHERE s_name IS NOT NULL")
 add("record_scan", """
-SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
+  CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment, 'peca "' || c_name || '", furo,' || chr(10) || 'fim' AS nota
 FROM customer
 """)
+add("scan_from_first_row", """
+SELECT CAST(s_suppkey AS VARCHAR) AS c0, s_name AS c1, CAST(s_nationkey AS VARCHAR) AS c2 FROM supplier
+UNION ALL VALUES ('PRODUCAO', NULL, NULL), (NULL, NULL, NULL), ('Cod', 'Maquina', 'Setor')
+""")
+add("source_profile", """
+SELECT 'sheet-erros' AS file_path, count(*) AS n_records, 6::INTEGER AS n_cols, true AS has_time, true AS has_machine_column FROM customer
+UNION ALL SELECT 'sheet-dacen', count(*), 4, true, true FROM supplier
+UNION ALL SELECT 'sheet-psi', count(*), 3, true, true FROM nation
+UNION ALL SELECT 'sheet-gerais', count(*), 2, true, true FROM region
+""")
 add("table_scan", """
 SELECT p_partkey AS id, p_brand AS referencia, p_name AS produto, CAST(NULL AS VARCHAR) AS decoracao,
   CAST(NULL AS VARCHAR) AS data_cadastro, CAST(NULL AS DOUBLE) AS tempo_s,
@@ -507,6 +545,7 @@ lng AS (
   SELECT 'c_custkey' AS column_name, CAST(c_custkey AS VARCHAR) AS value FROM customer
   UNION ALL SELECT 'c_name', c_name FROM customer
   UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM customer
   UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer),
 hits AS (SELECT column_name, value, count(*) AS c FROM lng WHERE contains(value, '12') GROUP BY ALL),
 rk AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value) AS rn FROM hits)
@@ -520,12 +559,8 @@ FROM rk GROUP BY column_name
 # ---------------------------------------------------------------- streams
 add("stream_ingest", "SELECT maquina, data, turno, hora, teep, oee FROM facts", ("hora", "teep", "oee"))
 add("stream_slots", """
-sev AS (SELECT *, CAST(data AS TIMESTAMP) + to_hours(CAST(hora AS BIGINT)) AS event_ts FROM facts),
-mx AS (SELECT max(event_ts) AS max_ts FROM sev)
-@@
 SELECT data, hora, turno, sum(oee) AS oee_sum, sum(teep) AS teep_sum, count(*) AS n_rows
-FROM sev, mx WHERE event_ts + INTERVAL 1 HOUR <= max_ts - INTERVAL 1 HOUR
-GROUP BY data, hora, turno
+FROM facts GROUP BY data, hora, turno
 """, ("hora", "oee_sum", "teep_sum"))
 # n_parsed here counts mentions that contain a digit; that equals the decision-table parse
 # on this corpus (its "$" runs carry no digits), not in general -- the parse itself is
@@ -543,11 +578,15 @@ SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS row_pos
 FROM orders
 """)
 add("stream_active_means", """
-sev2 AS (SELECT *, CAST(data AS TIMESTAMP) + to_hours(CAST(hora AS BIGINT)) AS event_ts FROM facts),
-mx2 AS (SELECT max(event_ts) AS max_ts FROM sev2),
-fin AS (SELECT sev2.* FROM sev2, mx2 WHERE event_ts + INTERVAL 1 HOUR <= max_ts - INTERVAL 1 HOUR),
-act AS (SELECT data, hora FROM fin GROUP BY data, hora HAVING sum(oee) > 0)
+act AS (SELECT data, hora FROM facts GROUP BY data, hora HAVING sum(oee) > 0)
 @@
 SELECT turno, count(*) AS n_rows, avg(teep) AS teep_mean, avg(oee) AS oee_mean
-FROM fin f WHERE EXISTS (SELECT 1 FROM act a WHERE a.data = f.data AND a.hora = f.hora) GROUP BY turno
+FROM facts f WHERE EXISTS (SELECT 1 FROM act a WHERE a.data = f.data AND a.hora = f.hora) GROUP BY turno
 """, ("teep_mean", "oee_mean"))
+add("active_rows_global", "SELECT maquina, data, turno, hora, teep, oee FROM std", ("hora", "teep", "oee"))
+add("active_rows_shift", """
+by_shift AS (SELECT data, turno, hora FROM pf_wd GROUP BY data, turno, hora HAVING sum(oee) > 0)
+@@
+SELECT maquina, data, turno, hora, teep, oee FROM pf_wd f
+WHERE EXISTS (SELECT 1 FROM by_shift s WHERE s.data = f.data AND s.turno = f.turno AND s.hora = f.hora)
+""", ("hora", "teep", "oee"))

@@ -206,6 +206,7 @@ def link_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Record sheet name -> driver table it is rendered from.
 RECORD_SHEETS = {"erros": "customer", "dacen": "supplier", "psi": "nation", "gerais": "region"}
 MISSING_SHEET = "trabalhos"
+NOTE_SHEET = "erros"
 # Ink columns of the spec sheet, their multiplier in the test rule, and friendly names.
 INKS = [("cyan", 3, "Ciano"), ("magenta", 5, "Magenta"), ("yellow", 7, "Amarelo"),
         ("black", 11, "Preto"), ("white", 13, "Branco"), ("varnish", 17, "Verniz")]
@@ -219,8 +220,27 @@ def record_sheet_path(spark: SparkSession, sf_dir: str, name: str) -> str | None
         return None
     tname = RECORD_SHEETS[name]
     src = os.path.join(sf_dir, f"{tname}.parquet")
-    return stage_once(spark, f"sheet-{name}", [src], lambda: table(spark, sf_dir, tname), fmt="csv",
-                      options={"header": "true"})
+
+    def build():
+        rows = table(spark, sf_dir, tname)
+        if name != NOTE_SHEET:
+            return rows
+        # a cell with doubled quotes, a separator and a line break
+        note = F.concat(F.lit('peca "'), F.col("c_name"), F.lit('", furo,\nfim'))
+        return rows.withColumn("nota", note)
+
+    return stage_once(spark, f"sheet-{name}", [src], build, fmt="csv", options={"header": "true", "escape": '"'})
+
+
+def answer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with an amount, one or two links and text around them: the body of
+    ``link_text`` after a price, then a second link. ``rate`` is 2."""
+    pid = F.col("page_id").cast("string")
+    body = F.expr("substr(text, instr(text, '. ') + 2)")
+    url = table(spark, sf_dir, "pages").select("page_id", "url")
+    text = F.concat(F.lit("- Item "), pid, F.lit(" por $ "), pid, F.lit(" cada: "), body, F.lit(" e ainda Link de Foto: "),
+                    F.col("url"), F.lit(".jpg fim"))
+    return link_text(spark, sf_dir).join(url, "page_id").select("page_id", text.alias("text"), F.lit(2.0).alias("rate"))
 
 
 def spec_table_path(spark: SparkSession, sf_dir: str) -> str:

@@ -22,6 +22,7 @@ def read_sheet_csv(spark: SparkSession, path: str | list[str], n_cols: int, head
         spark.read.schema(positional_schema(n_cols))
         .option("header", "true" if header else "false")
         .option("mode", "PERMISSIVE")
+        .option("escape", '"')
         .csv(path)
     )
 
@@ -36,14 +37,21 @@ def read_record_sheet(spark: SparkSession, path: str | None, name: str = "") ->
     if not path or not exists(spark, path):
         warnings.warn(f"record sheet {name or path!r} not found; using an empty frame", stacklevel=2)
         return spark.createDataFrame([], StructType([]))
+    # cells may hold line breaks and doubled quotes; such files can't be split, so large record
+    # sheets should be landed as many files
     return (
-        spark.read.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE").csv(path)
+        spark.read.option("header", "true").option("inferSchema", "false").option("mode", "PERMISSIVE")
+        .option("multiLine", "true").option("quote", '"').option("escape", '"').csv(path)
     )
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | None = None, fmt: str = "parquet") -> DataFrame:
     """``SELECT *`` of a stored table with a declared schema (missing columns come
-    back null; extra columns are not read)."""
+    back null; extra columns are not read). An absent table with a declared schema is empty."""
+    from plantwise.sources.staging import exists
+
+    if schema is not None and not exists(spark, path):
+        return spark.createDataFrame([], schema)
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
@@ -60,14 +68,23 @@ def source_counts(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def source_profile(spark: SparkSession, folder: str | list[str], n_cols: int) -> DataFrame:
-    """S3: every file of a folder of sheets: rows, widest row (shape guard: the machine
-    column is only meaningful when the sheet has more than one column) and modification
-    time, from the file metadata column."""
-    raw = read_sheet_csv(spark, folder, n_cols).select("*", "_metadata.file_path", "_metadata.file_modification_time")
-    width = F.size(F.filter(F.array(*[F.col(f"c{i}") for i in range(n_cols)]), lambda x: x.isNotNull()))
-    return raw.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.max(width).alias("n_cols"),
+def source_profile(spark: SparkSession, folder: str | list[str]) -> DataFrame:
+    """S3: every file of a folder of sheets: rows, widest row in fields, blank ones included
+    (shape guard: the machine column is only meaningful when the sheet has more than one
+    column), and modification time, from the file's lines and metadata. Separators and line
+    breaks inside quoted cells don't count; a quoted cell's lines are one row."""
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    outside = F.regexp_replace(line, '"[^"]*"', "")
+    fields = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1
+    lines = spark.read.text(folder).select(
+        "value", "_metadata.file_path", "_metadata.file_modification_time", quotes.alias("quotes"), fields.alias("fields"))
+    # a line with an odd number of quotes opens or closes a cell of several lines
+    odd = (F.col("quotes") % 2).cast("bigint")
+    return lines.groupBy("file_path").agg(
+        F.count(F.lit(1)).alias("_lines"),
+        F.sum(odd).alias("_odd"),
+        F.max(F.when(odd == 0, F.col("fields"))).alias("n_cols"),
         F.max("file_modification_time").alias("modified"),
-    ).withColumn("has_machine_column", F.col("n_cols") > 1)
+    ).select("file_path", (F.col("_lines") - F.floor(F.col("_odd") / 2)).cast("bigint").alias("n_rows"), "n_cols", "modified",
+             (F.col("n_cols") > 1).alias("has_machine_column"))

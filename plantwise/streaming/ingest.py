@@ -3,8 +3,8 @@
 ST1 picks up new sheet files from a landing folder and appends their cleaned fact rows
 to a parquet table, each file exactly once (the checkpoint remembers processed files).
 ST2 keeps the mergeable state behind the active-slot filter and the means -- sum of
-OEE, sum of TEEP and row count per (hour slot, shift) -- with a watermark, so that a
-slot is emitted once no more rows for it can arrive.
+OEE, sum of TEEP and row count per (date, hour, shift) -- as partial sums of each
+micro-batch, so that rows count whenever they arrive.
 
 Both run with ``Trigger.AvailableNow``: process what is there, then stop; schedule the
 same call again to pick up new files. Sink and checkpoint live in the shared folder.
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plantwise.operators.facts import oee_facts
 from plantwise.session import shared_dir
 from plantwise.sources.sheets import positional_schema
+from plantwise.sources.staging import exists
 
 
 def sheet_stream(spark: SparkSession, landing: str, n_cols: int = 12, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -28,29 +29,13 @@ def sheet_stream(spark: SparkSession, landing: str, n_cols: int = 12, max_files_
     return reader.csv(landing)
 
 
-def slot_event_time(facts: DataFrame) -> DataFrame:
-    """Event time of a fact row = its date plus its hour, as an epoch-based timestamp
-    (independent of the session time zone)."""
-    secs = F.unix_date("data").cast("bigint") * 86400 + (F.col("hora") * 3600).cast("bigint")
-    return facts.withColumn("event_ts", F.timestamp_seconds(secs))
+SLOT_SUMS = "data date, hora double, turno string, oee_sum double, teep_sum double, n_rows bigint"
 
 
-def slot_sums(facts: DataFrame, delay: str = "1 hour", slot: str = "1 hour") -> DataFrame:
-    """ST2: per (hour slot, shift) sums with a watermark; append mode emits a slot once the
-    watermark has passed its end."""
-    ev = slot_event_time(facts).withWatermark("event_ts", delay)
-    agg = ev.groupBy(F.window("event_ts", slot).alias("w"), "turno").agg(
-        F.sum("oee").alias("oee_sum"), F.sum("teep").alias("teep_sum"), F.count(F.lit(1)).alias("n_rows")
-    )
-    secs = F.unix_seconds(F.col("w.start"))
-    return agg.select(
-        F.date_from_unix_date((secs / 86400).cast("int")).alias("data"),
-        ((secs % 86400) / F.lit(3600.0)).alias("hora"),
-        "turno",
-        "oee_sum",
-        "teep_sum",
-        "n_rows",
-    )
+def slot_sums(facts: DataFrame) -> DataFrame:
+    """Sums and counts per (date, hour, shift): partial states that merge by adding."""
+    return facts.groupBy("data", "hora", "turno").agg(
+        F.sum("oee").alias("oee_sum"), F.sum("teep").alias("teep_sum"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def _run_available_now(df: DataFrame, name: str, key: str, output_mode: str = "append") -> str:
@@ -83,11 +68,29 @@ def ingest_facts(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame
     return spark.read.parquet(sink)
 
 
-def ingest_slot_sums(spark: SparkSession, landing: str, delay: str = "1 hour", **facts_kwargs) -> DataFrame:
-    """ST2: landing folder -> finalized (slot, shift) sums; returns the table."""
-    sums = slot_sums(oee_facts(sheet_stream(spark, landing), **facts_kwargs), delay)
-    sink = _run_available_now(sums, "slots", _key(landing, delay, sorted(facts_kwargs.items())))
-    return spark.read.parquet(sink)
+def ingest_slot_sums(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame:
+    """ST2: landing folder -> sums per (date, hour, shift) of everything landed so far.
+
+    Every micro-batch writes its own partial sums into a folder named by its batch id. A batch
+    that is run again after a failure overwrites that folder, so each file counts once, and
+    no row is ever too late: the reader adds the partial sums of all batches."""
+    base = shared_dir(spark, f"plantwise-streams/slots-{_key(landing, sorted(facts_kwargs.items()))}")
+    sink = f"{base}/data"
+
+    def write_partial(batch: DataFrame, batch_id: int) -> None:
+        slot_sums(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    facts = oee_facts(sheet_stream(spark, landing), **facts_kwargs)
+    query = (
+        facts.writeStream.foreachBatch(write_partial).option("checkpointLocation", f"{base}/_checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    if not exists(spark, sink):
+        return spark.createDataFrame([], SLOT_SUMS)
+    partial = spark.read.schema(SLOT_SUMS).parquet(f"{sink}/batch=*")
+    return partial.groupBy("data", "hora", "turno").agg(
+        F.sum("oee_sum").alias("oee_sum"), F.sum("teep_sum").alias("teep_sum"), F.sum("n_rows").alias("n_rows"))
 
 
 def means_from_slot_sums(sums: DataFrame, split: str = "turno") -> DataFrame:

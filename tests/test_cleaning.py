@@ -25,9 +25,10 @@ def test_percent_bad_as_null(spark):
     assert got == [None, None, None, 0.855]
 
 
-def test_percent_is_exact_decimal(spark):
-    # "41,7%" must be the double nearest to 0.417, the same as 417 / 1000
-    assert col_values(spark, ["41,7%"], C.percent_fraction) == [417 / 1000]
+def test_percent_is_the_number_over_100(spark):
+    # tiny and long values keep their digits
+    assert col_values(spark, ["41,7%", "1e-11", "41,123456789012345%"], C.percent_fraction) == [
+        41.7 / 100, 1e-11 / 100, 41.123456789012345 / 100]
 
 
 def test_day_first_date(spark):

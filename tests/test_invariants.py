@@ -49,14 +49,14 @@ def test_teep_variants_two_and_three_agree(spark):
 def test_weighted_daily_equals_plain_shift_mean(spark):
     facts = fx.filter_facts(typed(spark, SF_SMALL), period=PERIOD)
     w = {r.turno: r.weighted_mean for r in ms.weighted_group_means(facts).collect()}
-    p = {r.turno: r.teep_mean for r in ms.means_by(facts, ["turno"], ["teep"]).collect()}
+    p = {r.turno: r.teep_mean for r in ms.means_by(act.keep_active(facts), ["turno"], ["teep"]).collect()}
     assert w.keys() == p.keys() and all(abs(w[k] - p[k]) < 1e-12 for k in w)
 
 
 def test_mean_of_means_from_sums_equals_direct(spark):
     facts = fx.filter_facts(typed(spark, SF_SMALL), period=PERIOD)
     two = {r.scope: r.teep_mean for r in ms.mean_of_means_two_levels(facts, "data").collect()}
-    direct = facts.groupBy("data").agg(F.avg("teep").alias("m")).agg(F.avg("m")).first()[0]
+    direct = act.keep_active(facts).groupBy("data").agg(F.avg("teep").alias("m")).agg(F.avg("m")).first()[0]
     assert abs(two["all"] - direct) < 1e-12
 
 
@@ -146,18 +146,69 @@ def test_stream_ingest_processes_each_file_once(spark):
     assert first == again > 0
 
 
-def test_source_profile_shape(spark):
-    import duckdb
+def test_source_profile_counts_fields_and_quoted_lines(spark, tmp_path):
+    from plantwise.sources.sheets import source_profile
 
-    from plantwise.plans.catalog import QUERIES
-    from plantwise.sources.fixtures import RECORD_SHEETS
-
-    got = {r.file_path: r for r in QUERIES["source_profile"](spark, SF_SMALL).collect()}
-    con = duckdb.connect()
-    for name, table in RECORD_SHEETS.items():
-        path = f"{SF_SMALL}/{table}.parquet"
-        n = con.execute(f"SELECT count(*) FROM read_parquet('{path}')").fetchone()[0]
-        width = len(con.execute(f"SELECT * FROM read_parquet('{path}') LIMIT 0").description)
-        r = got[f"sheet-{name}"]
-        assert (r.n_rows, r.n_cols, r.has_machine_column) == (n + 1, width, width > 1), name
-        assert r.modified is not None
+    (tmp_path / "wide.csv").write_text(",".join(f"h{i}" for i in range(12)) + "\n" + "," * 11 + "\n")
+    (tmp_path / "blank.csv").write_text("a,\nb,\n")
+    (tmp_path / "quoted.csv").write_text('x\n"one, ""two"",\nthree"\ny\n')
+    got = {r.file_path.rsplit("/", 1)[1]: (r.n_rows, r.n_cols, r.has_machine_column) for r in source_profile(spark, str(tmp_path)).collect()}
+    assert got == {"wide.csv": (2, 12, True), "blank.csv": (2, 2, True), "quoted.csv": (3, 1, False)}
+
+
+def test_record_cells_keep_line_breaks_and_quotes(spark, tmp_path):
+    from plantwise.sources.sheets import read_record_sheet
+
+    (tmp_path / "r.csv").write_text('k,v\n1,"peca ""A"", furo\nfim"\n2,plain\n')
+    rows_ = [tuple(r) for r in read_record_sheet(spark, str(tmp_path / "r.csv")).orderBy("k").collect()]
+    assert rows_ == [("1", 'peca "A", furo\nfim'), ("2", "plain")]
+
+
+def test_absent_table_is_empty_and_typed(spark, tmp_path):
+    from plantwise.operators.browse import SPEC_SCHEMA
+    from plantwise.sources.sheets import read_table
+
+    df = read_table(spark, str(tmp_path / "none"), SPEC_SCHEMA)
+    assert df.schema == SPEC_SCHEMA and df.count() == 0
+
+
+def test_active_rows_follow_files_added_between_calls(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    schema = "maquina string, data string, turno string, hora double, oee double, teep double"
+
+    def kept():
+        return act.keep_active(spark.read.schema(schema).parquet(path), "global").count()
+
+    spark.createDataFrame([("m", "2024-01-02", "Turno A", 6.0, 0.5, 0.3)], schema).write.parquet(path)
+    assert kept() == 1
+    spark.createDataFrame([("m", "2024-01-02", "Turno A", 7.0, 0.5, 0.3)], schema).write.mode("append").parquet(path)
+    assert kept() == 2
+
+
+def test_slot_sums_lose_no_row_over_runs_out_of_order(spark, tmp_path):
+    from plantwise.streaming.ingest import ingest_slot_sums
+
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    # the newest day lands first and the oldest last, with a second file for a known slot
+    for n, (day, oee) in enumerate([("20/01/2024", "50%"), ("10/01/2024", "40%"), ("20/01/2024", "10%")]):
+        (landing / f"f{n}.csv").write_text(f"{n},m1,{day},1,7,x,,50%,50%,50%,30%,{oee}\n")
+        got = {(str(r.data), r.hora, r.turno): (round(r.oee_sum, 9), r.n_rows) for r in ingest_slot_sums(spark, str(landing)).collect()}
+    assert got == {("2024-01-20", 7.0, "Turno A"): (0.6, 2), ("2024-01-10", 7.0, "Turno A"): (0.4, 1)}
+
+
+def test_converted_totals_keep_precision_and_never_fail(spark):
+    from plantwise.operators.mentions import converted_by_group, explode_mentions
+
+    texts = spark.createDataFrame([("a", "2024-01-01", "custa $1.2345 hoje"), ("b", "2024-01-02", "custa $" + "9" * 25)], "g string, d string, text string")
+    rates = spark.createDataFrame([("2024-01-01", 5.4321), ("2024-01-02", 12345.6)], "rate_date string, rate double")
+    out = converted_by_group(explode_mentions(texts, keep=("g", "d")), rates, ("g",), date_col="d").collect()
+    total = {r.g: r.brl_total for r in out}
+    assert abs(total["a"] - 6.70592745) < 1e-9 and total["b"] > 1e28
+
+
+def test_oee_product_takes_any_size(spark):
+    from plantwise.functions.cleaning import oee_product
+
+    df = spark.createDataFrame([(2_000_000.0, 1.0, 1.0), (0.25, 0.5, 0.89)], "a double, p double, q double")
+    assert [r[0] for r in df.select(oee_product("a", "p", "q", decimals=4)).collect()] == [2_000_000.0, 0.1112]

@@ -3,17 +3,17 @@
 import pytest
 
 import __spark_entry__ as E
+from plantwise.plans import catalog, oracle
 from tests.conftest import SF_SMALL
 from tools.oracle_check import compare
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 
 
-def test_every_query_has_an_oracle_or_is_declared_rows_only():
-    rows_only = {"source_profile"}
-    assert set(QUERIES) - set(SQL) == rows_only
-    assert set(SQL) <= set(QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 def test_entry_runs(spark):

@@ -1,12 +1,12 @@
-"""Plan shape: no Python in the hot path, no cross products, no single-partition
-exchanges where the data grows, and the slot filter as a broadcast semi join."""
+"""Plan shape: no Python in the hot path, no cross products, no single-partition exchanges
+where the data grows, one scan of the facts for every report, and nothing persisted."""
 
 import pytest
 
-import __spark_entry__ as E
+from plantwise.plans import catalog
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
+QUERIES = catalog.queries()
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 
 
@@ -21,9 +21,10 @@ def test_no_python_and_no_cartesian(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_active_rows_are_a_broadcast_semi_join(spark):
-    plan = plan_text(QUERIES["active_hours_one_day"](spark, SF_SMALL))
-    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+@pytest.mark.parametrize("name", ["active_hours_one_day", "active_rows_global", "active_rows_shift"])
+def test_active_rows_are_a_semi_join(spark, name):
+    plan = plan_text(QUERIES[name](spark, SF_SMALL))
+    assert "LeftSemi" in plan and "InMemoryTableScan" not in plan
 
 
 def test_flagship_reads_facts_once_without_a_join(spark):
@@ -50,10 +51,12 @@ def test_context_limits_each_salt_bucket_before_the_group_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") >= 2 and "_salt" in plan
 
 
-@pytest.mark.parametrize("name", ["method_comparison", "mean_of_daily", "tolerance_bands"])
-def test_fact_table_scanned_once_outside_the_slot_table(spark, name):
-    # the slot table is cached (its plan is printed inside InMemoryRelation); the facts
-    # themselves are read by one scan thanks to grouping sets
-    plan = QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    probe = [line for line in plan.split("\n") if "FileScan" in line and "teep:double" in line]
-    assert len(probe) == 1, (name, probe)
+REPORTS = ["method_comparison", "closest_method", "daytype_activity_grid", "activity_mode_fit", "period_sensitivity",
+           "teep_formula_variants", "filter_funnel", "mean_of_daily", "mean_of_machine", "weighted_daily", "tolerance_bands"]
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_reports_scan_the_facts_once(spark, name):
+    plan = plan_text(QUERIES[name](spark, SF_SMALL))
+    assert sum(1 for line in plan.split("\n") if "FileScan" in line) == 1
+    assert "Join" not in plan and "InMemoryTableScan" not in plan
