@@ -70,3 +70,41 @@ def context_by_group(
                F.concat(F.substring(F.concat(F.col("_body"), F.lit("\n")), 1, max_chars), F.lit(TRUNCATION_MARK)))
         .otherwise(F.col("_body")).alias("context"),
     )
+
+
+def context_all_sources(sources: Sequence[tuple[str, DataFrame]], order_cols: Sequence[str], max_chars: int = 30000,
+                        line_col: str = "line") -> DataFrame:
+    """One context over all sources under one budget: per source that has rows
+    ``--- name ---`` and its lines in order, newline-joined, cut at ``max_chars`` characters with the
+    truncation mark appended. One row, ``context``.
+
+    Only order keys and lengths are ranked: a line adds at least its newline, so each source's first
+    ``max_chars + 1`` lengths (a top-k per task) decide which lines reach the budget, and only
+    those lines are fetched, at most ``max_chars + 1`` of them, already cut to the room left."""
+    limit = max_chars + 1
+    keyed, sized = None, None
+    for no, (name, lines) in enumerate(sources):
+        own = lines.select(F.lit(no).alias("_no"), *order_cols, F.coalesce(F.col(line_col), F.lit("")).alias("_line"))
+        top = own.select("_no", *order_cols, F.length("_line").alias("_n")).orderBy(*order_cols).limit(limit)
+        head = F.lit(f"--- {name} ---")
+        top = top.withColumn("_head", head)
+        keyed = own if keyed is None else keyed.unionByName(own)
+        sized = top if sized is None else sized.unionByName(top)
+    # at most (max_chars + 1) rows of numbers per source stand in this one window
+    order = Window.partitionBy(F.lit(0)).orderBy("_no", *order_cols)
+    first = F.row_number().over(Window.partitionBy("_no").orderBy(*order_cols)) == 1
+    marked = sized.withColumn("_head", F.when(first, F.col("_head")))
+    width = F.col("_n") + 1 + F.when(F.col("_head").isNotNull(), F.length("_head") + 1).otherwise(0)
+    placed = marked.withColumn("_end", F.sum(width).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    placed = placed.withColumn("_start", F.col("_end") - F.col("_n")).withColumn("_rank", F.row_number().over(order))
+    begins = F.col("_start") - F.when(F.col("_head").isNotNull(), F.length("_head") + 1).otherwise(0)
+    inside = placed.filter(begins < max_chars)
+    total = placed.agg(F.max("_end").alias("_total"))
+    fetched = keyed.join(inside, ["_no", *order_cols]).select(
+        "_rank", F.concat_ws("\n", "_head", F.expr(f"substring(_line, 1, greatest({max_chars} - _start, 0))")).alias("_piece"))
+    body = fetched.agg(F.array_sort(F.collect_list(F.struct("_rank", "_piece"))).alias("_pieces")).select(
+        F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "\n").alias("_body"))
+    # one row each
+    return body.join(F.broadcast(total)).select(
+        F.when(F.col("_total") > max_chars, F.concat(F.substring(F.concat("_body", F.lit("\n")), 1, max_chars), F.lit(TRUNCATION_MARK)))
+        .otherwise(F.col("_body")).alias("context"))

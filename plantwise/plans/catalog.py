@@ -617,6 +617,17 @@ def q_substring_all_columns(spark, sf_dir):
     return br.substring_all_columns(cust, "12", 5, cust.columns)
 
 
+@register("context_all_sources")
+def q_context_all_sources(spark, sf_dir):
+    """Every column of every record sheet in one context of 30,000 characters; an absent
+    sheet is skipped."""
+    sources = []
+    for name in fxt.RECORD_SHEETS:
+        sheet = sh.read_record_sheet(spark, fxt.record_sheet_path(spark, sf_dir, name), name)
+        sources.append((name, sheet.select(F.col(sheet.columns[0]).cast("bigint").alias("key"), T.row_line(sheet.columns).alias("line"))))
+    return ctx.context_all_sources(sources, ["key"])
+
+
 # ---------------------------------------------------------------- ST: streams
 from plantwise.streaming import ingest as st  # noqa: E402
 

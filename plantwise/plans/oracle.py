@@ -467,6 +467,22 @@ SELECT conv_id, CASE WHEN length(full_text) > 1000 THEN substr(full_text, 1, 100
 """)
 
 
+add("context_all_sources", """
+ln AS (
+  SELECT 0 AS no, c_custkey AS key, 'c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_nationkey: ' || c_nationkey
+    || ' | c_acctbal: ' || c_acctbal || ' | c_mktsegment: ' || c_mktsegment || ' | nota: peca "' || c_name || '", furo,' || chr(10) || 'fim' AS line FROM customer
+  UNION ALL SELECT 1, s_suppkey, 's_suppkey: ' || s_suppkey || ' | s_name: ' || s_name || ' | s_nationkey: ' || s_nationkey
+    || ' | s_acctbal: ' || s_acctbal FROM supplier
+  UNION ALL SELECT 2, n_nationkey, 'n_nationkey: ' || n_nationkey || ' | n_name: ' || n_name || ' | n_regionkey: ' || n_regionkey FROM nation
+  UNION ALL SELECT 3, r_regionkey, 'r_regionkey: ' || r_regionkey || ' | r_name: ' || r_name FROM region),
+per_source AS (
+  SELECT no, '--- ' || ['erros', 'dacen', 'psi', 'gerais'][no + 1] || ' ---' || chr(10) || string_agg(line, chr(10) ORDER BY key) AS part FROM ln GROUP BY no),
+whole AS (SELECT string_agg(part, chr(10) ORDER BY no) AS body FROM per_source)
+@@
+SELECT CASE WHEN length(body) > 30000 THEN substr(body, 1, 30000) || chr(10) || '...[CONTEXTO TRUNCADO]' ELSE body END AS context FROM whole
+""")
+
+
 # ---------------------------------------------------------------- sources and browsing
 add("scan_sheet", """
 SELECT maquina, data_text AS data, turno_text AS turno, hora_text AS hora, disp_text AS disponibilidade,

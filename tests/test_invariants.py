@@ -212,3 +212,14 @@ def test_oee_product_takes_any_size(spark):
 
     df = spark.createDataFrame([(2_000_000.0, 1.0, 1.0), (0.25, 0.5, 0.89)], "a double, p double, q double")
     assert [r[0] for r in df.select(oee_product("a", "p", "q", decimals=4)).collect()] == [2_000_000.0, 0.1112]
+
+
+def test_context_over_all_sources_brute_force(spark):
+    from plantwise.operators.context import context_all_sources
+
+    data = {"um": [(i, "x" * (i % 5)) for i in range(40)], "vazio": [], "dois": [(1, "curta"), (2, "z" * 30)]}
+    sources = [(n, spark.createDataFrame(rows_, "k int, line string")) for n, rows_ in data.items()]
+    text = "\n".join(part for n, rows_ in data.items() if rows_ for part in [f"--- {n} ---", *(line for _, line in rows_)])
+    for budget in (5, 12, 13, 60, len(text) - 1, len(text), 1000):
+        want = text[:budget] + "\n...[CONTEXTO TRUNCADO]" if len(text) > budget else text
+        assert context_all_sources(sources, ["k"], budget).first()[0] == want, budget
