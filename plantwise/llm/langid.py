@@ -71,18 +71,14 @@ def word_loglik(word: str, pieces: dict[str, int], longest: int, probs: np.ndarr
     alpha = np.zeros((n + 1, probs.shape[1]))
     alpha[0] = 1.0
     log = np.zeros(probs.shape[1])
-    done = 0
-    for start, end, piece in [*arcs(word, pieces, longest), (0, n + 1, 0)]:
-        if end > done + 1 or end > n:  # all arcs into ``done + 1`` are summed
-            done += 1
-            if done >= n:
-                break
-            scale = alpha[done].copy()
-            scale[scale == 0] = 1.0
-            alpha[max(0, done - longest):done + 1] /= scale
-            log += np.log(scale)
+    found = arcs(word, pieces, longest)
+    for at, (start, end, piece) in enumerate(found):
         alpha[end] += alpha[start] * probs[piece]
-    return log + np.log(np.maximum(alpha[n], 1e-300))
+        if at + 1 == len(found) or found[at + 1][1] > end:  # all arcs into ``end`` are summed
+            scale = np.maximum(alpha[end], 1e-300)
+            alpha[max(0, end - longest):end + 1] /= scale
+            log += np.log(scale)
+    return log
 
 
 class Scorer:

@@ -188,11 +188,19 @@ class PrefixCounter(dict):
             return len(text)
         # beyond the first pre-token that starts over budget + 1 no prefix can fit again: a
         # prefix keeps all tokens before its last two pre-tokens
-        over = next((i for i, x in enumerate(index) if x[1] > budget + 1), len(index))
-        upper = index[over][0] + 1 if over < len(index) else len(text)
-        for chars in range(min(upper, len(text)), -1, -1):
-            if self.count_at(text, index, chars) <= budget:
-                return chars
+        over = next((i for i, x in enumerate(index) if x[1] > budget + 1), len(index) - 1)
+        for start, before, piece in reversed(index[:over + 1]):
+            inside = self.prefix_counts(piece.encode())
+            at = len(piece.encode())
+            # special strings and contractions split otherwise when cut, as does a space that
+            # its word no longer follows
+            exact = piece[0] == "'" or self.special is not None and self.special.fullmatch(piece) is not None
+            for chars in range(len(piece), 0, -1):
+                alone = exact or chars == 1 and piece[0] == " "
+                n = self.count_at(text, index, start + chars) if alone else before + inside[at]
+                if n <= budget:
+                    return start + chars
+                at -= len(piece[chars - 1].encode())
         return 0
 
 
