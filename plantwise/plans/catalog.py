@@ -648,6 +648,13 @@ def q_stream_ingest(spark, sf_dir):
     return st.ingest_facts(spark, _landing(spark, sf_dir)).select("maquina", "data", "turno", "hora", "teep", "oee")
 
 
+@register("landing_refresh")
+@rounded
+def q_landing_refresh(spark, sf_dir):
+    """The landing folder's files, each in its newest version."""
+    return st.refresh_landing(spark, _landing(spark, sf_dir)).select("maquina", "data", "turno", "hora", "teep", "oee")
+
+
 @register("stream_slots")
 @rounded
 def q_stream_slots(spark, sf_dir):

@@ -574,6 +574,7 @@ FROM rk GROUP BY column_name
 
 # ---------------------------------------------------------------- streams
 add("stream_ingest", "SELECT maquina, data, turno, hora, teep, oee FROM facts", ("hora", "teep", "oee"))
+add("landing_refresh", "SELECT maquina, data, turno, hora, teep, oee FROM facts", ("hora", "teep", "oee"))
 add("stream_slots", """
 SELECT data, hora, turno, sum(oee) AS oee_sum, sum(teep) AS teep_sum, count(*) AS n_rows
 FROM facts GROUP BY data, hora, turno

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantwise.operators.facts import oee_facts
 from plantwise.session import shared_dir
-from plantwise.sources.sheets import positional_schema
+from plantwise.sources.sheets import positional_schema, read_sheet_csv
 from plantwise.sources.staging import exists
 
 
@@ -68,6 +68,31 @@ def ingest_facts(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame
     return spark.read.parquet(sink)
 
 
+def refresh_landing(spark: SparkSession, landing: str, n_cols: int = 12, **facts_kwargs) -> DataFrame:
+    """Landing folder -> facts of the newest version of every file.
+
+    A file stream knows files by name only; sheets are also copied over old ones. Here a file is
+    known by name, time and size: new versions are read (only those) and appended as raw rows
+    with their version, and the reader keeps each file's newest. A run that fails before its
+    append is simply repeated. Files that vanish keep their last version."""
+    sink = shared_dir(spark, f"plantwise-landings/{_key(landing, n_cols)}")
+    version = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_modification_time", "file_size")]
+    names = ["file_path", "file_modification_time", "file_size"]
+    # file names, times and sizes only: the content column is never read
+    files = spark.read.format("binaryFile").load(landing).select(*version)
+    if exists(spark, sink):
+        files = files.join(spark.read.parquet(sink).select(*names).distinct(), names, "left_anti")
+    changed = [r.file_path for r in files.select("file_path").collect()]  # names of changed files, as any file scan lists them
+    if changed:
+        read_sheet_csv(spark, changed, n_cols).select("*", *version).write.mode("append").parquet(sink)
+    if not exists(spark, sink):
+        return oee_facts(spark.createDataFrame([], positional_schema(n_cols)), **facts_kwargs)
+    rows = spark.read.parquet(sink)
+    newest = rows.groupBy("file_path").agg(F.max(F.struct("file_modification_time", "file_size")).alias("v")).select(
+        "file_path", "v.file_modification_time", "v.file_size")
+    return oee_facts(rows.join(newest, names, "left_semi").select(*positional_schema(n_cols).names), **facts_kwargs)
+
+
 def ingest_slot_sums(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame:
     """ST2: landing folder -> sums per (date, hour, shift) of everything landed so far.
 
