@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, against brute force, round trips and held-out accuracy."""
 
+import functools
 import math
 import random
 import re
@@ -257,6 +258,7 @@ def test_forward_sums_all_segmentations():
     rnd = np.random.default_rng(0)
     probs = np.concatenate([rnd.random((7, 2)), [[1e-9, 1e-9]]])
 
+    @functools.cache
     def total(s):
         if not s:
             return np.ones(2)
