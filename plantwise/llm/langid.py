@@ -21,7 +21,9 @@ or id are never learned from.
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -38,9 +40,11 @@ TRAIN_DOCS = 1000  # of each language
 ROUNDS = 2
 SMOOTHING = 0.1  # added to every piece's expected count
 UNSEEN = 1e-9  # probability of a character without a piece, in every language
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+PORTION = 200_000  # words of several texts whose new ones are learned together
 SHORT = 24  # longer words take the scaled path
-LETTERS = regex.compile(r"\p{L}+")
+GROUP = 20_000  # words whose forward steps are taken together
+LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
@@ -87,68 +91,98 @@ class Scorer:
     def __init__(self, model: dict):
         self.langs, self.pieces, self.probs = model["langs"], model["pieces"], model["probs"]
         self.longest = max(map(len, self.pieces), default=1)
+        # pieces and, as -1, what longer pieces begin with
+        self.begins = {t[:n]: -1 for t in self.pieces for n in range(1, len(t))} | self.pieces
         self.row: dict[str, int] = {}
         self.values = np.zeros((1024, len(self.langs)))
 
     def learn(self, words: list[str]) -> None:
-        """Rows for new words: those of one length together, one forward step per arc place."""
-        if len(self.row) + len(words) > CACHE_WORDS:
-            self.row.clear()
+        """Rows for new words, one forward step for all words and each place of an arc."""
         need = len(self.row) + len(words)
         if need > len(self.values):
             self.values = np.concatenate([self.values, np.zeros((max(need, len(self.values)), len(self.langs)))])
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w) + 1, []).append(w)
         at = len(self.row)
-        unseen = len(self.probs) - 1
-        get, longest = self.pieces.get, self.longest
-        for n, group in by_length.items():
-            if n > SHORT:
-                for w in group:
-                    self.values[at] = word_loglik(" " + w, self.pieces, longest, self.probs)
-                    self.row[w] = at
-                    at += 1
-                continue
-            spaced = [" " + w for w in group]
-            alpha = np.zeros((n + 1, len(group), len(self.langs)))
+        for w in [w for w in words if len(w) >= SHORT]:
+            self.values[at] = word_loglik(" " + w, self.pieces, self.longest, self.probs)
+            self.row[w] = at
+            at += 1
+        short = [w for w in words if len(w) < SHORT]
+        for begin in range(0, len(short), GROUP):
+            group = short[begin:begin + GROUP]
+            place, owner, piece = self.arcs_of(group)
+            order = np.argsort(place, kind="stable")
+            place, owner, piece = place[order], owner[order], piece[order]
+            edges = [*np.flatnonzero(np.diff(place, prepend=-1)).tolist(), len(place)]
+            alpha = np.zeros((SHORT + 1, len(group), len(self.langs)))
             alpha[0] = 1.0
-            for end in range(1, n + 1):
-                for start in range(max(0, end - longest), end):
-                    found = np.array([get(w[start:end], -2) for w in spaced])
-                    if start == end - 1:
-                        found[found < 0] = unseen
-                    hit = np.flatnonzero(found >= 0)
-                    if len(hit):
-                        alpha[end][hit] += alpha[start][hit] * self.probs[found[hit]]
-            self.values[at:at + len(group)] = np.log(np.maximum(alpha[n], 1e-300))
-            for w in group:
-                self.row[w] = at
-                at += 1
+            for lo, hi in zip(edges, edges[1:]):  # by end, then start
+                end, start = divmod(int(place[lo]), SHORT + 1)
+                own = owner[lo:hi]
+                alpha[end][own] += alpha[start][own] * self.probs[piece[lo:hi]]
+            ends = np.array([len(w) + 1 for w in group])
+            self.values[at:at + len(group)] = np.log(np.maximum(alpha[ends, np.arange(len(group))], 1e-300))
+            self.row.update(zip(group, range(at, at + len(group))))
+            at += len(group)
+
+    def arcs_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs of many words: place (end and start in one number), number of the word, piece."""
+        place, owner, piece = array("i"), array("i"), array("i")
+        get, unseen = self.begins.get, len(self.probs) - 1
+        for i, w in enumerate(words):
+            w = " " + w
+            n = len(w)
+            for start in range(n):
+                found = get(w[start], -1)
+                place.append((start + 1) * (SHORT + 1) + start)
+                owner.append(i)
+                piece.append(found if found >= 0 else unseen)
+                for end in range(start + 2, n + 1):
+                    found = get(w[start:end])
+                    if found is None:  # no piece begins like this
+                        break
+                    if found >= 0:
+                        place.append(end * (SHORT + 1) + start)
+                        owner.append(i)
+                        piece.append(found)
+        return tuple(np.array(x, dtype=np.int64) for x in (place, owner, piece))
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Rows of the words; all new ones are learned together."""
+        new = [w for w in set(words) if w not in self.row]
+        if new:
+            if len(self.row) + len(new) > CACHE_WORDS:
+                self.row.clear()
+                new = list(set(words))
+            self.learn(new)
+        return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def logliks(self, texts: list[str]) -> list[np.ndarray | None]:
         """Per text: the log likelihoods of the languages, or None without a letter."""
-        out: list[np.ndarray | None] = []
-        for text in texts:
-            words = LETTERS.findall(text.lower())
-            if not words:
-                out.append(None)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        words: list[str] = []
+        owners: list[tuple[int, int]] = []  # text and number of its words in this portion
+
+        def settle() -> None:
+            rows, at = self.known(words), 0
+            for i, n in owners:
+                sums = self.values[rows[at:at + n]].sum(axis=0)
+                out[i] = sums if out[i] is None else out[i] + sums
+                at += n
+            words.clear()
+            owners.clear()
+
+        for i, text in enumerate(texts):
+            found = LETTERS.findall(text.lower())
+            if not any(c.isalpha() for w in found for c in w):  # the pattern also takes signs like a superscript two
                 continue
-            total = np.zeros(len(self.langs))
-            for at in range(0, len(words), 100_000):
-                some = words[at:at + 100_000]
-                try:
-                    rows = [self.row[w] for w in some]
-                except KeyError:
-                    kinds = set(some)
-                    new = [w for w in kinds if w not in self.row]
-                    if len(self.row) + len(new) > CACHE_WORDS:
-                        self.row.clear()
-                        new = list(kinds)
-                    self.learn(new)
-                    rows = [self.row[w] for w in some]
-                total += self.values[rows].sum(axis=0)
-            out.append(total)
+            for at in range(0, len(found), PORTION):
+                some = found[at:at + PORTION]
+                words += some
+                owners.append((i, len(some)))
+                if len(words) >= PORTION:
+                    settle()
+        if owners:
+            settle()
         return out
 
 
@@ -253,8 +287,8 @@ def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def identified(texts: pa.Array) -> pa.Array:
         scorer = worker_scorer(shared)
         names, scores = [], []
-        for value in texts:
-            loglik = scorer.logliks([value.as_py() or ""])[0] if scorer.langs else None
+        values = [t.as_py() or "" for t in texts]
+        for loglik in scorer.logliks(values) if scorer.langs else [None] * len(values):
             if loglik is None:
                 names.append(UNDETERMINED), scores.append(0.0)
                 continue
