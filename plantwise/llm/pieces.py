@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 MARKER = "▁"
 PENALTY = 10.0  # below the lowest score, for a character without a piece
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 CACHED_LENGTH = 48
 CUTS = "\n\t"
 # Where a best sequence can be cut: around CUTS, before a space that follows another character,
@@ -186,7 +186,13 @@ class Codec(dict):
         """Ids outside the vocabulary and control ids stand for nothing; bytes that are no
         valid UTF-8 become replacement characters."""
         raw = self.raw
-        text = b"".join([raw[i] for i in ids if i is not None and 0 <= i < len(raw)]).decode("utf-8", "replace")
+        try:
+            found = b"".join(map(raw.__getitem__, ids)) if min(ids, default=0) >= 0 else None
+        except (IndexError, TypeError):
+            found = None
+        if found is None:
+            found = b"".join([raw[i] for i in ids if i is not None and 0 <= i < len(raw)])
+        text = found.decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -225,6 +231,10 @@ def with_text(docs: DataFrame, vocabulary: str, ids: str = "ids", text: str = "t
     @F.arrow_udf("string")
     def decoded(lists: pa.Array) -> pa.Array:
         codec = worker_codec(shared)
-        return pa.array([None if x is None else codec.decode(x) for x in (x.as_py() for x in lists)], pa.string())
+        if lists.values.null_count:
+            return pa.array([None if x is None else codec.decode(x) for x in lists.to_pylist()], pa.string())
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+        there = lists.is_valid().to_pylist()
+        return pa.array([codec.decode(values[a:b].tolist()) if v else None for a, b, v in zip(offsets, offsets[1:], there)], pa.string())
 
     return docs.withColumn(text, decoded(ids))
