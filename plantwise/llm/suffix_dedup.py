@@ -29,7 +29,7 @@ surroundings. Stretches are told equal by two independent 64-bit hashes.
 
 Defined cases: null text is empty. Rows of one id and text are one document, reported alike.
 Texts that share an id count in the order of their hashes, and one after another as parts
-of that document for "further left". A null id comes after all others.
+of that document for "further left". Texts without an id come after all others, by their hashes.
 """
 
 from __future__ import annotations
@@ -46,9 +46,10 @@ from plantwise.llm.suffixes import END, common_prefixes, sorted_starts
 
 LENGTH = 100
 BUCKET = 8 << 20  # bytes of text per bucket
+BATCH = 12 << 20  # bytes of text whose anchors a task lists at a time
 HOT = 64
-PART = 36  # a text's number under its id is kept above this many bits of its positions
-LAST_ID = (1 << 63) - 1
+PART = 31  # a text's number under its id (65,536 at most) is kept above this many bits of its positions
+NO_ID = 1 << 62  # texts without an id are numbered by their hashes from here on
 
 ENTRY = {"gram": np.uint64, "context": np.uint64, "doc": np.int64, "first": np.int64, "span": np.uint8, "off": np.uint8, "many": np.uint8}
 REPEAT = {"doc": np.int64, "first": np.int64, "span": np.uint8}
@@ -74,8 +75,8 @@ def unpacked(rows: list[list[bytes]], kinds: dict) -> dict[str, np.ndarray]:
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """__doc, __part (position offset of this text under its id) and the columns of ``docs``."""
-    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
     print_ = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(print_, 2))
     marked = docs.withColumn("__doc", doc).withColumn("__print", print_)
     texts = marked.select("__doc", "__print").distinct()
     several = texts.groupBy("__doc").agg(F.count("*").alias("n")).where("n > 1").select("__doc")
@@ -85,6 +86,24 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return marked.join(parts, ["__doc", "__print"], "left").withColumn("__part", F.coalesce("__part", F.lit(0).cast("long"))).drop("__print")
 
 
+def portions(batches):
+    """The rows of Arrow batches in portions of about BATCH bytes of text, or of one text."""
+    for batch in batches:
+        ends = np.cumsum(lengths(batch.column("raw")))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + BATCH, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.binary_length(column).to_numpy(zero_copy_only=False)
+
+
 def listed(batch: dict[str, list], n_buckets: int):
     """Entries and known repeats of a batch of (doc, part, bytes), by bucket of the anchor."""
     found = []
@@ -227,7 +246,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.octet_length("raw") >= LENGTH)
 
     def list_anchors(batches):
-        for batch in batches:
+        for batch in portions(batches):
             rows = list(listed(batch.to_pydict(), n_buckets))
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([r[0] for r in rows], pa.int32()), "entries": pa.array([r[1] for r in rows], pa.list_(pa.binary())),
@@ -245,7 +264,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches):
             b = batch.to_pydict()
             doc, ranges, out = [], [], []
             for d, part, raw, found in zip(b["doc"], b["part"], b["raw"], b["marks"]):
