@@ -37,7 +37,8 @@ from plantwise.llm.components import components
 SEED = 42
 SAMPLE = 8192
 SHARD = 16384
-LEAF = 256
+LEAF = 4096
+STEP = 32  # points of a leaf compared with the others at a time
 CHUNK = 1 << 16  # shingles counted at a time
 
 
@@ -70,21 +71,21 @@ def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) ->
 
 
 def distances(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
-    return np.bitwise_count(points ^ vantage).astype(np.int64)
+    return np.bitwise_count(points ^ vantage)
 
 
 def best_radius(dist: np.ndarray, max_bits: int) -> int | None:
-    """The split with the least expected work if work grows with the power 1.5 of a branch;
-    None if no radius makes both branches smaller."""
-    per = np.bincount(dist, minlength=66)
+    """The split with the least pairs left to compare; None if no radius makes both branches
+    smaller."""
+    per = np.bincount(dist, minlength=66).astype(float)
     within = np.cumsum(per)
     n = within[-1]
-    best, cost = None, 0.98 * n ** 1.5
+    best, cost = None, 0.98 * n ** 2
     for radius in range(65):
         inner = within[radius]
         band = inner - (within[radius - max_bits] if radius >= max_bits else 0)
         outer = n - inner + band
-        if 0 < inner < n and outer < n and (c := inner ** 1.5 + outer ** 1.5) < cost:
+        if 0 < inner < n and outer < n and (c := inner ** 2 + outer ** 2) < cost:
             best, cost = radius, c
     return best
 
@@ -103,7 +104,7 @@ class VantageTree:
                 radius = best_radius(dist, self.max_bits)
                 if radius is not None:
                     inner = self.grow(points[dist <= radius], leaf)
-                    return vantage, radius, inner, self.grow(points[dist > radius - self.max_bits], leaf)
+                    return vantage, radius, inner, self.grow(points[dist + self.max_bits > radius], leaf)
         self.shards += 1
         return self.shards - 1
 
@@ -119,22 +120,31 @@ class VantageTree:
                 vantage, radius, inner, outer = node
                 dist = distances(points[own], vantage)
                 stack.append((inner, own[dist <= radius]))
-                stack.append((outer, own[dist > radius - self.max_bits]))
+                stack.append((outer, own[dist + self.max_bits > radius]))
         return out
 
 
 def leaf_links(points: np.ndarray, names: np.ndarray, max_bits: int, out: list) -> None:
     """Links (name, name) that connect exactly the points that chains of near pairs connect."""
-    left = np.arange(len(points))
-    while len(left):
-        front, left = left[:1], left[1:]
-        while len(front) and len(left):
-            p, front = front[0], front[1:]
-            near = distances(points[left], points[p]) <= max_bits
-            if near.any():
-                joined, left = left[near], left[~near]
-                out.append((np.full(len(joined), names[p]), names[joined]))
-                front = np.concatenate([front, joined])
+    while len(points) > 1:
+        block = points[:STEP]
+        near = np.bitwise_count(block[:, None] ^ points[None, :]) <= max_bits
+        np.fill_diagonal(near, False)
+        linked = np.flatnonzero(near.any(axis=1))
+        if not len(linked):
+            points, names = points[STEP:], names[STEP:]
+            continue
+        # grow the group of the first linked point; those before it have no neighbour left
+        seed = linked[0]
+        front, front_names = points[seed:seed + 1], names[seed:seed + 1]
+        points, names = points[seed + 1:], names[seed + 1:]
+        while len(front) and len(points):
+            joins = np.bitwise_count(points ^ front[0]) <= max_bits
+            name, front, front_names = front_names[0], front[1:], front_names[1:]
+            if joins.any():
+                out.append((np.full(int(joins.sum()), name), names[joins]))
+                front, front_names = np.concatenate([front, points[joins]]), np.concatenate([front_names, names[joins]])
+                points, names = points[~joins], names[~joins]
 
 
 def shard_links(points: np.ndarray, names: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +159,7 @@ def shard_links(points: np.ndarray, names: np.ndarray, max_bits: int) -> tuple[n
                 dist = distances(points[own], vantage)
                 radius = best_radius(dist, max_bits)
                 if radius is not None:
-                    stack += [own[dist <= radius], own[dist > radius - max_bits]]
+                    stack += [own[dist <= radius], own[dist + max_bits > radius]]
                     break
         if radius is None:
             leaf_links(points[own], names[own], max_bits, found)
@@ -178,7 +188,9 @@ def near_links(classes: DataFrame, max_bits: int) -> DataFrame:
         a, b = shard_links(points, shard["name"].combine_chunks().to_numpy(), max_bits)
         return pa.table({"a": a, "b": b})
 
-    return classes.withColumn("shard", F.explode(shards_of("fingerprint"))).groupBy("shard").applyInArrow(linked, "a bigint, b bigint")
+    # a partition for each shard: their rows are few, but a task's work is not in its bytes
+    dealt = classes.withColumn("shard", F.explode(shards_of("fingerprint"))).repartition(tree.shards, "shard")
+    return dealt.groupBy("shard").applyInArrow(linked, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
