@@ -98,13 +98,11 @@ def context_all_sources(sources: Sequence[tuple[str, DataFrame]], order_cols: Se
     placed = marked.withColumn("_end", F.sum(width).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     placed = placed.withColumn("_start", F.col("_end") - F.col("_n")).withColumn("_rank", F.row_number().over(order))
     begins = F.col("_start") - F.when(F.col("_head").isNotNull(), F.length("_head") + 1).otherwise(0)
-    inside = placed.filter(begins < max_chars)
-    total = placed.agg(F.max("_end").alias("_total"))
+    inside = placed.withColumn("_total", F.max("_end").over(Window.partitionBy(F.lit(0)))).filter(begins < max_chars)
     fetched = keyed.join(inside, ["_no", *order_cols]).select(
-        "_rank", F.concat_ws("\n", "_head", F.expr(f"substring(_line, 1, greatest({max_chars} - _start, 0))")).alias("_piece"))
-    body = fetched.agg(F.array_sort(F.collect_list(F.struct("_rank", "_piece"))).alias("_pieces")).select(
-        F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "\n").alias("_body"))
-    # one row each
-    return body.join(F.broadcast(total)).select(
+        "_rank", "_total", F.concat_ws("\n", "_head", F.expr(f"substring(_line, 1, greatest({max_chars} - _start, 0))")).alias("_piece"))
+    body = fetched.agg(F.array_sort(F.collect_list(F.struct("_rank", "_piece"))).alias("_pieces"), F.max("_total").alias("_total"))
+    body = body.select("_total", F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "\n").alias("_body"))
+    return body.select(
         F.when(F.col("_total") > max_chars, F.concat(F.substring(F.concat("_body", F.lit("\n")), 1, max_chars), F.lit(TRUNCATION_MARK)))
         .otherwise(F.col("_body")).alias("context"))
