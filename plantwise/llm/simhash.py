@@ -36,7 +36,7 @@ from plantwise.llm.components import components
 
 SEED = 42
 SAMPLE = 8192
-SHARD = 16384
+SHARD = 65536
 LEAF = 4096
 STEP = 32  # points of a leaf compared with the others at a time
 CHUNK = 1 << 16  # shingles counted at a time
