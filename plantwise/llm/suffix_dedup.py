@@ -14,18 +14,19 @@ and neighbouring strings mostly share one, which leaves one entry per 35 bytes o
    batch is known to repeat, too: one entry says so and the stretches skip this shuffle.
 2. Entries meet by anchor. One that stands alone is dropped, equal stretches become
    repeats of their first, and different stretches of one anchor go on to be compared.
-3. The stretches to compare are cut out of the texts and dealt by their anchor's bytes, or, for
-   an anchor with many, by twice as many bytes to the left or right, which any two
-   equal strings also share.
+3. The stretches to compare are cut out of the texts and dealt by their anchor's bytes. Those of
+   an anchor with many are sorted where they are cut out, as in 4, at most ``BUCKET`` bytes
+   at a time; the first of each run is dealt on by two hashes of its whole ``length`` bytes, the
+   others are repeats.
 4. Each shard sorts the suffixes at the starts of its strings in two stages (``suffixes``),
    compares neighbours, and finds runs with a common prefix of ``length``; all but the
-   first of each run are repeats.
+   first of each run are repeats. Firsts of runs with equal hashes count as one run.
 5. Repeats become byte ranges, collected per document and cut out.
 
-What crosses a shuffle: about 20 bytes per anchor, the different stretches of shared anchors,
-and the texts twice (to cut stretches, to cut repeats). No group is larger than a bucket of
-``BUCKET`` bytes of text, but for a single phrase of 2 x GRAM bytes in very many different
-surroundings. Stretches are told equal by two independent 64-bit hashes.
+What crosses a shuffle: about 20 bytes per anchor, the different stretches of shared anchors (32
+bytes per start where an anchor has many), and the texts twice (to cut stretches, to cut repeats).
+A passage in very many different surroundings is one entry per string and ``BUCKET`` bytes in its
+group. Stretches, and strings of anchors with many, are told equal by two independent 64-bit hashes.
 
 Defined cases: null text is empty. Rows of one id and text are one document, reported alike.
 Texts that share an id count in the order of their hashes, and one after another as parts
@@ -48,11 +49,13 @@ LENGTH = 100
 BUCKET = 8 << 20  # bytes of text per bucket
 BATCH = 12 << 20  # bytes of text whose anchors a task lists at a time
 HOT = 64
+STRING_SHARDS = 8  # shards of single strings per bucket
 PART = 31  # a text's number under its id (65,536 at most) is kept above this many bits of its positions
 NO_ID = 1 << 62  # texts without an id are numbered by their hashes from here on
 
 ENTRY = {"gram": np.uint64, "context": np.uint64, "doc": np.int64, "first": np.int64, "span": np.uint8, "off": np.uint8, "many": np.uint8}
 REPEAT = {"doc": np.int64, "first": np.int64, "span": np.uint8}
+STRING = {"low": np.uint64, "high": np.uint64, "doc": np.int64, "position": np.int64}
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -105,7 +108,10 @@ def lengths(column: pa.Array) -> np.ndarray:
 
 
 def listed(batch: dict[str, list], n_buckets: int):
-    """Entries and known repeats of a batch of (doc, part, bytes), by bucket of the anchor."""
+    """Entries of a batch of (doc, part, bytes) by bucket of the anchor, and, as they wait for no
+    other batch, its known repeats and skipping stretches in a bucket that the batch picks."""
+    import xxhash
+
     found = []
     for doc, part, raw in zip(batch["doc"], batch["part"], batch["raw"]):
         gram, context, first, last, place = anchors(np.frombuffer(raw, dtype=np.uint8), LENGTH)
@@ -123,16 +129,21 @@ def listed(batch: dict[str, list], n_buckets: int):
     # an anchor with very many stretches: its first entry stands for it, the others go straight on
     enters = leads & (~many | other_gram)
     bucket = (gram >> np.uint64(20)) % np.uint64(n_buckets)
-    for b in np.unique(bucket):
-        here = bucket == b
-        e, r, s = here & enters, here & ~leads, here & leads & ~enters
+    nothing = packed({n: np.empty(0, k) for n, k in REPEAT.items()}, REPEAT)
+    for b in np.unique(bucket[enters]):
+        e = (bucket == b) & enters
         entries = {"gram": gram[e], "context": context[e], "doc": doc[e], "first": first[e], "span": span[e], "off": off[e], "many": many[e]}
-        yield (int(b), packed(entries, ENTRY), packed({"doc": doc[r], "first": first[r], "span": span[r]}, REPEAT),
+        yield int(b), packed(entries, ENTRY), nothing, b""
+    r, s = ~leads, leads & ~enters
+    if r.any() or s.any():
+        own = xxhash.xxh64_intdigest(pack(doc[:1]) + pack(first[:1])) % n_buckets
+        blank = packed({n: np.empty(0, k) for n, k in ENTRY.items()}, ENTRY)
+        yield (own, blank, packed({"doc": doc[r], "first": first[r], "span": span[r]}, REPEAT),
                marks(doc[s], first[s], span[s], off[s], np.full(s.sum(), 2)))
 
 
 def marks(doc, first, span, off, kind) -> bytes:
-    """Instructions (doc, mark) as bytes; kind 0: repeat, 1: compare, 2: compare by longer keys."""
+    """Instructions (doc, mark) as bytes; kind 0: repeat, 1: compare, 2: compare string by string."""
     mark = (first << 16) | (span.astype(np.int64) << 9) | (off.astype(np.int64) << 2) | kind
     return pack(doc.astype(np.int64)) + pack(mark)
 
@@ -174,7 +185,8 @@ def by_document(doc: np.ndarray, part: np.ndarray, values: np.ndarray) -> pa.Tab
 
 
 def cut_out(raw: bytes, part: int, doc: int, found: np.ndarray, n_shards: int):
-    """Ranges of the known repeats of one text, and (shard, doc, first, starts, bytes) to compare."""
+    """Ranges of the known repeats of one text, and (shard, doc, first, starts, bytes) to compare,
+    without a shard where strings are compared one by one."""
     import xxhash
 
     kind, off, span, first = found & 3, (found >> 2) & 127, (found >> 9) & 127, (found >> 16) - part
@@ -182,19 +194,36 @@ def cut_out(raw: bytes, part: int, doc: int, found: np.ndarray, n_shards: int):
     ranges = np.stack([first[known], first[known] + span[known] + LENGTH], axis=1)
     out = []
     for k, o, s, f in zip(kind[~known].tolist(), off[~known].tolist(), span[~known].tolist(), first[~known].tolist()):
-        place = f + o
-        if k == 1:
-            pieces = [(f, f + s, place, place + GRAM)]
-        else:  # strings with more of them left of the anchor, and the others
-            side = (LENGTH - GRAM) // 2
-            edge = place - side
-            pieces = [(f, min(f + s, edge), edge, place + GRAM), (max(f, edge + 1), f + s, place, place + GRAM + side)]
-        for a, b, lo, hi in pieces:
-            if a <= b:
-                out.append((xxhash.xxh64_intdigest(raw[lo:hi], k) % n_shards, doc, a + part, b - a + 1, raw[a:b + LENGTH]))
+        shard = xxhash.xxh64_intdigest(raw[f + o:f + o + GRAM], k) % n_shards if k == 1 else None
+        out.append((shard, doc, f + part, s + 1, raw[f:f + s + LENGTH]))
     return ranges, out
 
 
+def single_strings(stretches: list[tuple], n_shards: int):
+    """(doc, position) of the repeats among stretches of (shard, doc, first, starts, bytes), and
+    (shard, strings) of the first of each run, by shard of the string."""
+    import xxhash
+
+    docs, positions, rows = [], [], []
+    ends = np.cumsum([len(x[4]) for x in stretches])
+    at = 0
+    while at < len(stretches):  # BUCKET bytes at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BUCKET, side="right")))
+        _, doc, first, starts, texts = zip(*stretches[at:to])
+        at = to
+        whole, places, doc, position, lead, later = sorted_runs(np.array(doc), np.array(first), np.array(starts), list(texts))
+        docs.append(doc[later]), positions.append(position[later])
+        digests = b"".join(xxhash.xxh3_128_digest(whole[p:p + LENGTH]) for p in places[lead].tolist())
+        low, high = np.frombuffer(digests, dtype=np.uint64).reshape(-1, 2).T
+        doc, position = doc[lead], position[lead]
+        shard = low % np.uint64(n_shards)
+        order = np.lexsort((position, doc, shard))
+        edges = np.flatnonzero(np.diff(shard[order])) + 1
+        for own in np.split(order, edges):
+            rows.append((int(shard[own[0]]), packed({"low": low[own], "high": high[own], "doc": doc[own], "position": position[own]}, STRING)))
+    return np.concatenate(docs or [np.empty(0, np.int64)]), np.concatenate(positions or [np.empty(0, np.int64)]), rows
+
+
 def merged(ranges: np.ndarray) -> np.ndarray:
     """Sorted, maximal, disjoint ranges (n x 2)."""
     if not len(ranges):
@@ -206,13 +235,24 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return np.stack([ranges[starts, 0], reach[np.concatenate([starts[1:] - 1, [len(ranges) - 1]])]], axis=1)
 
 
-def repeated_starts(doc: np.ndarray, first: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, position) of every start whose string stands earlier in this shard."""
+def by_age(run: np.ndarray, doc: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order by run and age, and there: who leads a run, and who repeats its leader."""
+    order = np.lexsort((position, doc, run))
+    run, doc, position = run[order], doc[order], position[order]
+    lead = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.empty(0, bool)
+    # an equal string of the same document and place is the same string
+    head = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(run) else np.empty(0, int)
+    return order, lead, (doc != doc[head]) | (position != position[head])
+
+
+def sorted_runs(doc: np.ndarray, first: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> tuple:
+    """The joined texts, and of all starts by string and age: place there, document, position,
+    whether it leads its run of equal strings and whether it repeats that leader."""
     sizes = np.array([len(t) + 1 for t in texts])
     at = np.concatenate([[0], np.cumsum(sizes)])
     text = np.full(at[-1], END, dtype=np.int16)
-    whole = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    text[:] = whole
+    joined = b"\0".join(texts) + b"\0"
+    text[:] = np.frombuffer(joined, dtype=np.uint8)
     text[at[1:] - 1] = END
     inside = np.arange(at[-1]) - np.repeat(at[:-1], sizes)
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -220,13 +260,28 @@ def repeated_starts(doc: np.ndarray, first: np.ndarray, starts: np.ndarray, text
     prefix = common_prefixes(text, order, LENGTH)
     run = np.cumsum(prefix < LENGTH) if len(order) else order
     o, position = doc[owner[order]], first[owner[order]] + inside[order]
-    by_age = np.lexsort((position, o, run))
-    run, o, position = run[by_age], o[by_age], position[by_age]
-    lead = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.empty(0, bool)
-    # an equal string of the same document and place is the same string
-    head = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(run) else np.empty(0, int)
-    later = (o != o[head]) | (position != position[head])
-    return o[later], position[later]
+    aged, lead, later = by_age(run, o, position)
+    return joined, order[aged], o[aged], position[aged], lead, later
+
+
+def repeated_strings(strings: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, position) of every single string that stands earlier in this shard."""
+    low, high, doc, position = (strings[n] for n in STRING)
+    order = np.lexsort((high, low))
+    low, high, doc, position = low[order], high[order], doc[order], position[order]
+    run = np.cumsum(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])[:len(low)])
+    aged, _, later = by_age(run, doc, position)
+    return doc[aged][later], position[aged][later]
+
+
+def starts_as_rows(doc: np.ndarray, position: np.ndarray) -> pa.Table:
+    """Ranges of the strings at these starts, per (doc, part)."""
+    order = np.lexsort((position, doc))
+    doc, position = doc[order], position[order]
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (position[1:] > position[:-1] + LENGTH)]) if len(doc) else np.empty(0, bool)
+    heads = np.flatnonzero(new)
+    ends = position[np.concatenate([heads[1:] - 1, [len(doc) - 1]])] + LENGTH if len(doc) else position
+    return as_rows(doc[heads], np.stack([position[heads], ends], axis=1))
 
 
 def as_rows(doc: np.ndarray, ranges: np.ndarray) -> pa.Table:
@@ -273,38 +328,39 @@ def repeats(docs: DataFrame) -> DataFrame:
                 doc.append(np.full(len(known), d)), ranges.append(known)
                 out += compare
             known = as_rows(np.concatenate(doc), np.concatenate(ranges)) if doc else None
-            out.sort(key=lambda x: x[0])
+            repeat_doc, repeat_at, strings = single_strings([x for x in out if x[0] is None], STRING_SHARDS * n_buckets)
+            if known:
+                known = pa.concat_tables([known, starts_as_rows(repeat_doc, repeat_at)])
+            out = sorted((x for x in out if x[0] is not None), key=lambda x: x[0])
             shard = [x[0] for x in out]
             at = [i for i in range(len(out)) if i == 0 or shard[i] != shard[i - 1]]
             groups = [out[i:j] for i, j in zip(at, [*at[1:], len(out)])]
             n = known.num_rows if known else 0
-            blank = [None] * len(groups)
+            blank, alone = [None] * (len(groups) + len(strings)), [None] * len(strings)
             yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([None] * n + [g[0][0] for g in groups], pa.int32()),
+                "shard": pa.array([None] * n + [g[0][0] for g in groups] + [n_buckets + s for s, _ in strings], pa.int32()),
                 "doc": pa.array((known["doc"].to_pylist() if n else []) + blank, pa.int64()),
                 "part": pa.array((known["part"].to_pylist() if n else []) + blank, pa.int64()),
                 "ranges": pa.array((known["ranges"].to_pylist() if n else []) + blank, pa.list_(pa.int64())),
                 "stretches": pa.array([None] * n + [[pack(np.array([x[1] for x in g])), pack(np.array([x[2] for x in g])),
-                                                     pack(np.array([x[3] for x in g]))] for g in groups], pa.list_(pa.binary())),
-                "texts": pa.array([None] * n + [[x[4] for x in g] for g in groups], pa.list_(pa.binary()))})
+                                                     pack(np.array([x[3] for x in g]))] for g in groups] + alone, pa.list_(pa.binary())),
+                "texts": pa.array([None] * n + [[x[4] for x in g] for g in groups] + alone, pa.list_(pa.binary())),
+                "strings": pa.array([None] * (n + len(groups)) + [s for _, s in strings], pa.list_(pa.binary()))})
 
     cuts = staged(
         texts.join(told, ["doc", "part"]).select("doc", "part", "raw", "marks").mapInArrow(
-            cut, "shard int, doc bigint, part bigint, ranges array<bigint>, stretches array<binary>, texts array<binary>"),
+            cut, "shard int, doc bigint, part bigint, ranges array<bigint>, stretches array<binary>, texts array<binary>, strings array<binary>"),
         fresh_folder(spark, "suffix-cuts"))
 
     def sort_shard(key, shard):
         rows = shard.to_pydict()
+        if rows["strings"][0] is not None:
+            return starts_as_rows(*repeated_strings(unpacked(rows["strings"], STRING)))
         doc, first, starts = (np.concatenate([unpack(s[i], np.int64) for s in rows["stretches"]]) for i in range(3))
-        o, position = repeated_starts(doc, first, starts, [t for texts in rows["texts"] for t in texts])
-        order = np.lexsort((position, o))
-        o, position = o[order], position[order]
-        new = np.concatenate([[True], (o[1:] != o[:-1]) | (position[1:] > position[:-1] + LENGTH)]) if len(o) else np.empty(0, bool)
-        heads = np.flatnonzero(new)
-        ends = position[np.concatenate([heads[1:] - 1, [len(o) - 1]])] + LENGTH if len(o) else position
-        return as_rows(o[heads], np.stack([position[heads], ends], axis=1))
-
-    sorted_ = cuts.where("shard IS NOT NULL").select("shard", "stretches", "texts").groupBy("shard").applyInArrow(
+        _, _, doc, position, _, later = sorted_runs(doc, first, starts, [t for texts in rows["texts"] for t in texts])
+        return starts_as_rows(doc[later], position[later])
+
+    sorted_ = cuts.where("shard IS NOT NULL").select("shard", "stretches", "texts", "strings").groupBy("shard").applyInArrow(
         sort_shard, "doc bigint, part bigint, ranges array<bigint>")
     known = cuts.where("shard IS NULL").select("doc", "part", "ranges")
     return known.unionByName(sorted_).groupBy("doc", "part").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))

@@ -213,6 +213,29 @@ def test_repeats_equal_brute_force_with_hot_passages(spark, monkeypatch):
         assert got[i] == bytes(b for b, g in zip(raw, gone) if not g), i
 
 
+def test_passage_in_many_surroundings_is_no_single_group(spark, monkeypatch, tmp_path):
+    ship_code(spark)
+    rnd = np.random.default_rng(8)
+    passage = bytes(rnd.integers(97, 123, 150).astype(np.uint8))
+    around = lambda: bytes(rnd.integers(97, 123, 150).astype(np.uint8))
+    rows = [(i, (around() + passage + around()).decode()) for i in range(2000)]
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 1 << 14)
+    monkeypatch.setattr(suffix_dedup, "fresh_folder", lambda _, name: str(tmp_path / name))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.remove_repeats(docs).collect()}
+    seen = set()
+    for i, t in rows:
+        gone = {p for k in range(351) if t[k:k + 100] in seen for p in range(k, k + 100)}
+        seen |= {t[k:k + 100] for k in range(351)}
+        assert got[i] == "".join(c for p, c in enumerate(t) if p not in gone)
+    columns = [c for c in ("stretches", "texts", "strings") if c in spark.read.parquet(str(tmp_path / "suffix-cuts")).columns]
+    held = [F.coalesce(F.aggregate(c, F.lit(0), lambda a, b: a + F.octet_length(b)), F.lit(0)) for c in columns]
+    groups = spark.read.parquet(str(tmp_path / "suffix-cuts")).where("shard IS NOT NULL").groupBy("shard").agg(
+        F.sum(functools.reduce(lambda a, b: a + b, held)).alias("n"))
+    # 8 * HOT different stretches of one anchor are the most that go to a shard together
+    assert groups.agg(F.max("n")).first()[0] < 8 * suffix_dedup.HOT * 192 + (1 << 14)
+
+
 # ---------------------------------------------------------------- 6 tokens
 def test_counts_at_every_prefix_equal_the_library():
     from tokenizers import Tokenizer
