@@ -8,8 +8,10 @@ the scores of sentences. ``locate`` then gives the sentences that offend.
 A word's weight is the sum of the weights of the word and of its beginnings of 3 to 6
 characters, so that inflected and compound forms share what their stem has learned.
 
-Training takes at most ``TRAIN_DOCS`` labelled documents, the first by a hash of their ids (a
-documented bound; only these reach the driver). Features seen in ``LEAST_DOCS`` documents or
+Training takes at most ``TRAIN_DOCS`` labelled documents (a documented bound; only these reach
+the driver): the first ``RARE_DOCS`` toxic and as many clean ones by a hash of their ids, so that
+a rare label is in it, and then the first of all others. Where one label is missing, nothing can
+be learned: every text with a word scores 0 (or 1, if all are toxic), however long it is. Features seen in ``LEAST_DOCS`` documents or
 more are fitted by Adam on the whole sample, with a penalty on absolute weights that leaves most at 0,
 and the others are broadcast. Scoring is one pass over whole texts without a shuffle. Null, empty and wordless
 texts score 0. A label that is null counts as none; of several labels of one document the
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from plantwise.llm.common import fresh_folder, staged
 
 TRAIN_DOCS = 6_000
+RARE_DOCS = 500
 LEAST_DOCS = 5
 BEGINNINGS = range(3, 7)
 ROUNDS = 200
@@ -81,9 +84,9 @@ def noisy_or(p: np.ndarray) -> float:
 
 
 def train(texts: list[str], labels: np.ndarray) -> tuple[dict[str, float], float]:
-    """Weights of features and the bias."""
-    if not len(labels) or labels.min() == labels.max():
-        return {}, 4.0 if len(labels) and labels.max() == 1 else -8.0
+    """Weights of features and the bias, which is infinite if there is one class only."""
+    if not (labels == 1).any() or (labels == 1).all():
+        return {}, float("inf") if len(labels) and labels[0] == 1 else float("-inf")
     number: dict[str, int] = {}  # of each distinct word
     token, sentence, doc, types_of = [], [], [], []
     for d, text in enumerate(texts):
@@ -133,9 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "true", doc_id: str = "
     spark = docs.sparkSession
     marked = labels.where(F.expr(learn) & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(
         F.col(doc_id).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
-    present = marked.join(docs.select(F.col(doc_id).alias("__id")), "__id", "left_semi")
-    chosen = staged(present.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(TRAIN_DOCS),
-                    fresh_folder(spark, "toxicity-chosen"))
+    present = staged(marked.join(docs.select(F.col(doc_id).alias("__id")), "__id", "left_semi").withColumn(
+        "__order", F.xxhash64(F.col("__id").cast("string"))), fresh_folder(spark, "toxicity-present"))
+    first = lambda rows, n, own: rows.orderBy("__order", "__id").limit(n).withColumn("__own", F.lit(own))
+    toxic = F.col("__label") == 1
+    likely = first(present.where(toxic), RARE_DOCS, 0).unionByName(first(present.where(~toxic), RARE_DOCS, 0)).unionByName(
+        first(present, TRAIN_DOCS, 1))
+    # at most TRAIN_DOCS + 2 RARE_DOCS rows from here on
+    chosen = staged(likely.groupBy("__id", "__label", "__order").agg(F.min("__own").alias("__own")).orderBy(
+        "__own", "__order", "__id").limit(TRAIN_DOCS).select("__id", "__label"), fresh_folder(spark, "toxicity-chosen"))
 
     # at most TRAIN_DOCS ids, so the broadcast and the result have a proven bound
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(
@@ -156,6 +165,8 @@ def worker_weights(model: dict) -> Weights:
 
 def score_text(text: str, weights: Weights, bias: float) -> float:
     sums = weights.sentence_sums(text)
+    if np.isinf(bias):
+        return float(len(sums) > 0 and bias > 0)
     return noisy_or(logistic(bias + sums)) if len(sums) else 0.0
 
 

@@ -89,3 +89,22 @@ def test_stages_take_edge_rows_and_empty_tables(spark, docs, empty, tmp_path, st
     assert [f.dataType for f in out.schema][:5] == [f.dataType for f in own.schema]
     assert out.count() > 0
     assert run(spark, empty.select(*columns), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("label, predicted", [(None, 0), (0, 0), (1, 1)])
+def test_toxicity_of_one_class_is_the_same_at_any_length(spark, label, predicted):
+    ship_code(spark)
+    own = spark.createDataFrame([(1, "short and clean."), (2, "a clean line. " * 20_000)], "doc_id long, text string")
+    marks = own.select("doc_id", F.lit(label).cast("int").alias("toxic"))
+    out = toxicity.with_toxicity(own, toxicity.fit(own, marks)).collect()
+    assert [r.predicted for r in out] == [predicted] * 2 and len({r.score for r in out}) == 1
+
+
+def test_rare_toxic_labels_are_learned_from(spark, monkeypatch):
+    ship_code(spark)
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 60)
+    monkeypatch.setattr(toxicity, "RARE_DOCS", 20, raising=False)
+    rows = [(i, "you vile thing." if i % 100 == 0 else "a fine day.", int(i % 100 == 0)) for i in range(1000)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.with_toxicity(own, toxicity.fit(own, own)).collect()
+    assert {r.doc_id for r in out if r.predicted} == set(range(0, 1000, 100))
