@@ -314,6 +314,18 @@ def test_quality_counts_and_clean_documents(spark):
     assert all(r.kept for r in judged)
 
 
+def test_quality_rejects_other_languages_and_texts_without_common_words(spark):
+    words = {"en": "the of and to in is it for that was on as".split(), "de": "der die und in den von zu das mit sich des auf".split()}
+    rnd = random.Random(6)
+    rare = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(5, 9)))
+    text = lambda own, n: " ".join(rnd.choice(own) if rnd.random() < 0.25 else rare() for _ in range(n))
+    rows = [(f"{lang} {i}", lang, text(words[lang], 60 + i)) for lang in words for i in range(0, 600, 3)]
+    rows += [(f"other {i}", "en", text(words["de"], 150 + i)) for i in range(5)]
+    rows += [(f"rare {i}", "de", " ".join(rare() for _ in range(150 + i))) for i in range(5)]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id string, lang string, text string")).collect()
+    assert all(r.kept == (r.doc_id.split()[0] in words) and not r.base_failed for r in out)
+
+
 def test_jensen_shannon_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     got = spark.range(1).select(quality.jensen_shannon(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
