@@ -96,5 +96,64 @@ SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BI
 FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id"""
 
 
+# CRC-32 of decimal digits, bit by bit: a byte is xored in, then eight shifts
+CRC = """xor(list_reduce(flatten([[CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295), 4294967295)"""
+
+
+def leaf_sql(n_chars: str) -> str:
+    parts = (f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || CAST({v} AS VARCHAR) END"
+             for v in ("doc_id", "source", "lang", n_chars, "text"))
+    return f"sha256({' || '.join(parts)})"
+
+
+def tree_sql(name: str, leaves: str) -> str:
+    """All levels (tree, level, idx, h) over ``leaves`` (tree, idx, h)."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS level, idx, h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, sha256(h || coalesce(next, '')) FROM (
+    SELECT tree, level, idx, h, lead(h) OVER (PARTITION BY tree ORDER BY idx) AS next, count(*) OVER (PARTITION BY tree) AS n FROM {name})
+  WHERE n > 1 AND idx % 2 = 0)"""
+
+
+def climb_sql(name: str, start: str, tree: str) -> str:
+    """From ``start`` (id, tree, idx, folded, proof) up to the tops of ``tree``."""
+    return f"""
+{name} AS (
+  SELECT id, tree, 0 AS level, idx, folded, proof FROM {start}
+  UNION ALL
+  SELECT c.id, c.tree, c.level + 1, c.idx // 2,
+         sha256(CASE WHEN s.h IS NULL THEN c.folded WHEN c.idx % 2 = 1 THEN s.h || c.folded ELSE c.folded || s.h END),
+         c.proof || coalesce(s.h, '')
+  FROM {name} c JOIN (SELECT tree, max(level) AS height FROM {tree} GROUP BY tree) t ON t.tree = c.tree AND c.level < t.height
+  LEFT JOIN {tree} s ON s.tree = c.tree AND s.level = c.level AND s.idx = xor(c.idx, 1))"""
+
+
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf_sql("n_chars")} AS leaf,
+         CASE WHEN {CRC} % 7 = 0 THEN {leaf_sql("(n_chars + 1)")} ELSE {leaf_sql("n_chars")} END AS claimed FROM documents),
+leaves AS (
+  SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS id FROM hashed),
+{tree_sql("levels", "leaves")},
+subroots AS (SELECT tree AS name, '^' AS tree, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx
+             FROM (SELECT tree, arg_max(h, level) AS h FROM levels GROUP BY tree)),
+{tree_sql("tops", "subroots")},
+root AS (SELECT arg_max(h, level) AS root FROM tops),
+bottom AS (SELECT id, tree, idx, claimed AS folded, '' AS proof FROM leaves),
+{climb_sql("climbed", "bottom", "levels")},
+at_subroot AS (
+  SELECT id, '^' AS tree, s.idx, s.h AS subroot, folded, proof FROM
+  (SELECT id, arg_max(tree, level) AS name, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM climbed GROUP BY id)
+  JOIN subroots s USING (name)),
+{climb_sql("arrived", "at_subroot", "tops")},
+done AS (SELECT id, arg_max(folded, level) AS folded_root, arg_max(proof, level) AS proof FROM arrived GROUP BY id)
+SELECT doc_id, leaf, subroot, root, sha256(done.proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN at_subroot USING (id) JOIN done USING (id) CROSS JOIN root"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -128,5 +128,19 @@ def op10_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
 
 
+MANIFEST_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from plantwise.llm import merkle
+
+    n_chars = F.col("n_chars")
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    one_more = F.when(touched, n_chars.cast("decimal(38,0)") + 1).otherwise(n_chars.cast("decimal(38,0)"))
+    found = merkle.verified(table(spark, sf_dir, "documents"), MANIFEST_COLUMNS, "lang", tampered={"n_chars": one_more})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
