@@ -53,13 +53,14 @@ def typed_facts(
     bad_percent_as_zero: bool = True,
     keep_raw_shift: bool = False,
     helpers: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Clean the positional sheet into typed rows.
 
     ``validate`` applies F1's machine test (F1' = ``validate=False`` keeps subtotal rows).
-    Rows whose date text does not parse are always dropped.
+    Rows whose date text does not parse are always dropped. Columns ``carry`` go along.
     """
-    named = positional(raw)
+    named = raw.select(*(F.col(f"c{i}").alias(name) for i, name in FACT_POSITIONS.items()), *carry)
     if validate:
         named = named.filter(valid_machine("maquina"))
     cols: list[Column] = [
@@ -69,7 +70,7 @@ def typed_facts(
         hour_value("hora").alias("hora"),
     ]
     cols += [percent_fraction(c, bad_percent_as_zero).alias(c) for c in PERCENT_COLUMNS]
-    facts = named.select(*cols).filter(F.col("data").isNotNull())
+    facts = named.select(*cols, *carry).filter(F.col("data").isNotNull())
     if helpers:
         facts = facts.withColumns(
             {"performance_nz": zero_as_null("performance"), "qualidade_nz": zero_as_null("qualidade")}
@@ -142,11 +143,12 @@ def oee_facts(
     bad_percent_as_zero: bool = True,
     closed: str = "both",
     helpers: bool = False,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """F1-F6 over the typed sheet: valid rows, shift in ``shifts``, ``hours`` window
     (inclusive), weekday index below ``weekdays_below`` (5 = Mon-Fri, 6 = Mon-Sat),
     ``period`` on the date."""
-    facts = typed_facts(raw, validate=validate, bad_percent_as_zero=bad_percent_as_zero, helpers=helpers)
+    facts = typed_facts(raw, validate=validate, bad_percent_as_zero=bad_percent_as_zero, helpers=helpers, carry=carry)
     if period is not None:
         facts = facts.filter(in_period("data", period[0], period[1], closed))
     if weekdays_below is not None:

@@ -662,6 +662,25 @@ def q_stream_slots(spark, sf_dir):
     return st.ingest_slot_sums(spark, _landing(spark, sf_dir))
 
 
+@register("landing_replaced")
+@rounded
+def q_landing_replaced(spark, sf_dir):
+    """S7 on a landing whose files are shrunk, emptied, restored and replaced by older copies, with a
+    refresh after every step."""
+    found = []
+    fxt.replayed_landing(spark, sf_dir, lambda folder: found.append(st.refresh_landing(spark, folder)))
+    return found[-1].select("maquina", "data", "turno", "hora", "teep", "oee")
+
+
+@register("stream_slots_replaced")
+@rounded
+def q_stream_slots_replaced(spark, sf_dir):
+    """ST2 on the same sequence: sums of replaced file versions are retracted."""
+    found = []
+    fxt.replayed_landing(spark, sf_dir, lambda folder: found.append(st.ingest_slot_sums(spark, folder)))
+    return found[-1]
+
+
 @register("money_in_documents")
 def q_money_in_documents(spark, sf_dir):
     """T1 robustness over whole document texts: '$' junk yields no amount."""

@@ -579,6 +579,17 @@ add("stream_slots", """
 SELECT data, hora, turno, sum(oee) AS oee_sum, sum(teep) AS teep_sum, count(*) AS n_rows
 FROM facts GROUP BY data, hora, turno
 """, ("hora", "oee_sum", "teep_sum"))
+# what the replayed landing ends with: the last version of every file
+LANDED = """
+landed AS (
+  SELECT * FROM facts WHERE CASE row_id % 8 WHEN 2 THEN false WHEN 3 THEN row_id % 3 = 1 WHEN 4 THEN row_id % 3 = 2 ELSE true END)
+@@
+"""
+add("landing_replaced", LANDED + "SELECT maquina, data, turno, hora, teep, oee FROM landed", ("hora", "teep", "oee"))
+add("stream_slots_replaced", LANDED + """
+SELECT data, hora, turno, sum(oee) AS oee_sum, sum(teep) AS teep_sum, count(*) AS n_rows
+FROM landed GROUP BY data, hora, turno
+""", ("hora", "oee_sum", "teep_sum"))
 # n_parsed here counts mentions that contain a digit; that equals the decision-table parse
 # on this corpus (its "$" runs carry no digits), not in general -- the parse itself is
 # checked exactly by money_parse and by the property tests.

@@ -126,6 +126,54 @@ def render_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# File of a sheet row and, per replacement of the landing: (file, kept third of its rows, age in days
+# of the copy); None keeps all rows, -1 none. The last entry of a file is what counts.
+LANDING_FILES = 8
+REPLACEMENTS = [
+    [(1, 0, 0), (2, -1, 0), (3, 1, 400)],  # shrunk, emptied, replaced by an older copy
+    [(1, None, 30), (4, 2, 0), (2, 0, 10)],  # restored, shrunk, filled again
+    [(2, -1, 0), (5, 2, 0), (5, None, 500)],  # emptied again, changed and restored before the refresh
+]
+
+
+def replayed_landing(spark: SparkSession, sf_dir: str, refresh) -> None:
+    """Land the sheet as LANDING_FILES files in a new folder, then copy other versions over them
+    step by step, as REPLACEMENTS lists them; ``refresh(folder)`` is called after every step."""
+    import time
+    import uuid
+
+    from plantwise.session import shared_dir
+    from plantwise.sources.staging import _fs, stage_once
+
+    src = os.path.join(sf_dir, "events.parquet")
+    row = F.col("c0").cast("bigint")
+    whole, third = F.lit("all"), F.concat(F.lit("r"), (row % 3).cast("string"))
+
+    def versions():
+        sheet = render_sheet(spark, sf_dir).withColumn("file", row % LANDING_FILES)
+        return sheet.withColumn("version", F.explode(F.array(whole, third))).repartition("file", "version")
+
+    staged = stage_once(spark, "landing-versions", [src], versions, fmt="csv", options={"header": "false"}, partition_by=["version", "file"])
+    folder = shared_dir(spark, f"plantwise-replay/{uuid.uuid4().hex}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    now = int(time.time())
+
+    def land(file: int, kept: int | None, days: int, step: int) -> None:
+        fs, target = _fs(spark, f"{folder}/sheet-{file}.csv")
+        if kept == -1:
+            fs.create(target, True).close()
+        else:
+            _, version = _fs(spark, f"{staged}/version={'all' if kept is None else f'r{kept}'}/file={file}")
+            parts = [x.getPath() for x in fs.listStatus(version) if x.getPath().getName().startswith("part-")]
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, parts[0], fs, target, False, True, conf)
+        fs.setTimes(target, 1000 * (now - 86_400 * days + step), -1)
+
+    for step, changes in enumerate([[(f, None, 30) for f in range(LANDING_FILES)], *REPLACEMENTS]):
+        for file, kept, days in changes:
+            land(file, kept, days, 0 if kept is None else step)
+        refresh(folder)
+
+
 # ---------------------------------------------------------------- money, rates, links, records
 MONEY_PREFIX = "Pedido "
 MONEY_MIDDLE = " custa "

@@ -1,12 +1,13 @@
-"""Structured Streaming forms of the refresh habit (ST1, ST2).
+"""Forms of the refresh habit: file streams (ST1, ST2) and a landing refresh.
 
 ST1 picks up new sheet files from a landing folder and appends their cleaned fact rows
 to a parquet table, each file exactly once (the checkpoint remembers processed files).
 ST2 keeps the mergeable state behind the active-slot filter and the means -- sum of
-OEE, sum of TEEP and row count per (date, hour, shift) -- as partial sums of each
-micro-batch, so that rows count whenever they arrive.
+OEE, sum of TEEP and row count per (date, hour, shift) -- as partial sums per file, so
+that rows count whenever they arrive and a replaced file's sums can be retracted. S7
+keeps the raw rows the same way. The state of both is a ledger (``landing``).
 
-Both run with ``Trigger.AvailableNow``: process what is there, then stop; schedule the
+ST1 and ST2 run with ``Trigger.AvailableNow``: process what is there, then stop; schedule the
 same call again to pick up new files. Sink and checkpoint live in the shared folder.
 """
 
@@ -18,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plantwise.operators.facts import oee_facts
 from plantwise.session import shared_dir
-from plantwise.sources.sheets import positional_schema, read_sheet_csv
-from plantwise.sources.staging import exists
+from plantwise.sources.sheets import positional_schema
+from plantwise.streaming.landing import VERSION, Ledger
 
 
 def sheet_stream(spark: SparkSession, landing: str, n_cols: int = 12, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -32,9 +33,9 @@ def sheet_stream(spark: SparkSession, landing: str, n_cols: int = 12, max_files_
 SLOT_SUMS = "data date, hora double, turno string, oee_sum double, teep_sum double, n_rows bigint"
 
 
-def slot_sums(facts: DataFrame) -> DataFrame:
-    """Sums and counts per (date, hour, shift): partial states that merge by adding."""
-    return facts.groupBy("data", "hora", "turno").agg(
+def slot_sums(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums and counts per (date, hour, shift) and ``by``: partial states that merge by adding."""
+    return facts.groupBy(*by, "data", "hora", "turno").agg(
         F.sum("oee").alias("oee_sum"), F.sum("teep").alias("teep_sum"), F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -68,52 +69,61 @@ def ingest_facts(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame
     return spark.read.parquet(sink)
 
 
-def refresh_landing(spark: SparkSession, landing: str, n_cols: int = 12, **facts_kwargs) -> DataFrame:
-    """Landing folder -> facts of the newest version of every file.
-
-    A file stream knows files by name only; sheets are also copied over old ones. Here a file is
-    known by name, time and size: new versions are read (only those) and appended as raw rows
-    with their version, and the reader keeps each file's newest. A run that fails before its
-    append is simply repeated. Files that vanish keep their last version."""
-    sink = shared_dir(spark, f"plantwise-landings/{_key(landing, n_cols)}")
-    version = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_modification_time", "file_size")]
-    names = ["file_path", "file_modification_time", "file_size"]
-    # file names, times and sizes only: the content column is never read
-    files = spark.read.format("binaryFile").load(landing).select(*version)
-    if exists(spark, sink):
-        files = files.join(spark.read.parquet(sink).select(*names).distinct(), names, "left_anti")
-    changed = [r.file_path for r in files.select("file_path").collect()]  # names of changed files, as any file scan lists them
-    if changed:
-        read_sheet_csv(spark, changed, n_cols).select("*", *version).write.mode("append").parquet(sink)
-    if not exists(spark, sink):
-        return oee_facts(spark.createDataFrame([], positional_schema(n_cols)), **facts_kwargs)
-    rows = spark.read.parquet(sink)
-    newest = rows.groupBy("file_path").agg(F.max(F.struct("file_modification_time", "file_size")).alias("v")).select(
-        "file_path", "v.file_modification_time", "v.file_size")
-    return oee_facts(rows.join(newest, names, "left_semi").select(*positional_schema(n_cols).names), **facts_kwargs)
-
-
-def ingest_slot_sums(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame:
-    """ST2: landing folder -> sums per (date, hour, shift) of everything landed so far.
+def landed_rows(spark: SparkSession, landing: str, n_cols: int = 12) -> Ledger:
+    """Ledger of a landing folder's raw rows."""
+    schema = ", ".join(f"{c} string" for c in positional_schema(n_cols).names)
+    return Ledger(spark, shared_dir(spark, f"plantwise-landings/rows-{_key(landing, n_cols)}"), landing, n_cols, schema)
 
-    Every micro-batch writes its own partial sums into a folder named by its batch id. A batch
-    that is run again after a failure overwrites that folder, so each file counts once, and
-    no row is ever too late: the reader adds the partial sums of all batches."""
-    base = shared_dir(spark, f"plantwise-streams/slots-{_key(landing, sorted(facts_kwargs.items()))}")
-    sink = f"{base}/data"
 
-    def write_partial(batch: DataFrame, batch_id: int) -> None:
-        slot_sums(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+def refresh_landing(spark: SparkSession, landing: str, n_cols: int = 12, deep: bool = False, **facts_kwargs) -> DataFrame:
+    """Landing folder -> facts of the current version of every file, reading only files that
+    changed since the last call (see ``landing``)."""
+    ledger = landed_rows(spark, landing, n_cols)
+    ledger.refresh(deep)
+    return oee_facts(ledger.read().drop("file_path"), **facts_kwargs)
 
-    facts = oee_facts(sheet_stream(spark, landing), **facts_kwargs)
+
+def landed_slot_sums(spark: SparkSession, landing: str, n_cols: int = 12, **facts_kwargs) -> Ledger:
+    """Ledger of a landing folder's sums per (file, date, hour, shift)."""
+
+    def sums(raw: DataFrame) -> DataFrame:
+        return slot_sums(oee_facts(raw, carry=("file_path",), **facts_kwargs), ("file_path",))
+
+    base = shared_dir(spark, f"plantwise-streams/slots-{_key(landing, n_cols, sorted(facts_kwargs.items()))}")
+    return Ledger(spark, f"{base}/ledger", landing, n_cols, SLOT_SUMS, sums)
+
+
+def ingest_slot_sums(spark: SparkSession, landing: str, n_cols: int = 12, **facts_kwargs) -> DataFrame:
+    """ST2: landing folder -> sums per (date, hour, shift) of everything landed so far.
+
+    Every micro-batch lands its files' partial sums, so no row is ever too late. A file stream
+    knows files by name; what it can't see, files copied over since, is landed after it, and the
+    sums of their old versions are retracted. A batch that is run again after a failure lands its
+    files again, which replaces them. The result adds the current partial sums of all files."""
+    ledger = landed_slot_sums(spark, landing, n_cols, **facts_kwargs)
+    version = [F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size")]
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()  # read once for sums and versions
+        try:
+            versions = rows.select(*VERSION).distinct()
+            while not ledger.land([rows.drop("modified", "size")], versions, ledger.commits()):
+                pass
+        finally:
+            rows.unpersist()
+
+    stream = sheet_stream(spark, landing, n_cols)
+    path = ledger.with_path(stream)
     query = (
-        facts.writeStream.foreachBatch(write_partial).option("checkpointLocation", f"{base}/_checkpoint")
-        .trigger(availableNow=True).start()
+        path.select("*", *version).writeStream.foreachBatch(land)
+        .option("checkpointLocation", f"{ledger.base}-checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if not exists(spark, sink):
-        return spark.createDataFrame([], SLOT_SUMS)
-    partial = spark.read.schema(SLOT_SUMS).parquet(f"{sink}/batch=*")
+    ledger.refresh()
+    return slot_sums_of(ledger.read())
+
+
+def slot_sums_of(partial: DataFrame) -> DataFrame:
     return partial.groupBy("data", "hora", "turno").agg(
         F.sum("oee_sum").alias("oee_sum"), F.sum("teep_sum").alias("teep_sum"), F.sum("n_rows").alias("n_rows"))
 

@@ -223,25 +223,3 @@ def test_context_over_all_sources_brute_force(spark):
     for budget in (5, 12, 13, 60, len(text) - 1, len(text), 1000):
         want = text[:budget] + "\n...[CONTEXTO TRUNCADO]" if len(text) > budget else text
         assert context_all_sources(sources, ["k"], budget).first()[0] == want, budget
-
-
-def test_a_changed_file_of_the_same_name_replaces_its_rows(spark, tmp_path):
-    import os
-
-    from plantwise.streaming.ingest import refresh_landing
-
-    landing = tmp_path / "landing"
-    landing.mkdir()
-
-    def land(name, oee, at):
-        (landing / name).write_text(f"1,m1,10/01/2024,1,7,x,,50%,50%,50%,30%,{oee}\n")
-        os.utime(landing / name, (at, at))
-
-    def now():
-        return sorted(round(r.oee, 9) for r in refresh_landing(spark, str(landing)).collect())
-
-    land("a.csv", "50%", 1_700_000_000)
-    land("b.csv", "20%", 1_700_000_000)
-    assert now() == [0.2, 0.5]
-    land("a.csv", "70%", 1_700_000_100)
-    assert now() == [0.2, 0.7] == now()
