@@ -377,10 +377,8 @@ from plantwise.sources import fixtures as fxt  # noqa: E402
 CONTEXT_BUDGET = 1000
 
 
-def _texts_with_rate(spark, sf_dir):
-    texts = fxt.money_text(spark, sf_dir)
-    rates = fxt.daily_rates(spark, sf_dir).withColumnRenamed("rate_date", "order_date")
-    return texts.join(rates, ["order_date"], "left")
+def _money_limits() -> dict[str, int]:
+    return {"primary_max_age": fxt.PRIMARY_AGE, "secondary_max_age": fxt.SECONDARY_AGE, "bucket_seconds": 3600}
 
 
 @register("money_mentions")
@@ -403,15 +401,18 @@ def q_money_format(spark, sf_dir):
 
 @register("money_rewrite")
 def q_money_rewrite(spark, sf_dir):
-    t = _texts_with_rate(spark, sf_dir).select("o_orderkey", "text", "rate")
-    return mn.rewrite_texts(t, "text", "rate").select("o_orderkey", "rewritten")
+    """T4 on J2: amounts converted by the quote in force when the text was written; on days
+    without a fresh quote texts stay as they are."""
+    t = fxt.money_text(spark, sf_dir).select("o_orderkey", "text", "pair", "asked_at")
+    return mn.rewrite_texts_asof(t, *fxt.money_quotes(spark, sf_dir), ts="asked_at", **_money_limits()).select("o_orderkey", "rewritten")
 
 
 @register("money_by_group")
 @rounded
 def q_money_by_group(spark, sf_dir):
-    m = mn.explode_mentions(fxt.money_text(spark, sf_dir), keep=("o_orderpriority", "order_date"))
-    out = mn.converted_by_group(m, fxt.daily_rates(spark, sf_dir), ("o_orderpriority",))
+    """T5 on J2: spend per priority, converted mention by mention."""
+    m = mn.explode_mentions(fxt.money_text(spark, sf_dir), keep=("o_orderpriority", "pair", "asked_at"))
+    out = mn.converted_by_group_asof(m, *fxt.money_quotes(spark, sf_dir), ("o_orderpriority",), ts="asked_at", **_money_limits())
     return out.withColumns({c: F.round(c, 3) for c in ("usd_total", "brl_total")})
 
 

@@ -328,28 +328,44 @@ mt AS (
            WHEN 3 THEN '$' || replace(format('{:,.0f}', floor(p)), ',', '.')
            WHEN 4 THEN '$' || format('{:.2f}', p)
            ELSE '$' || format('{:.2f}', p) || '.' END AS mention,
-    CASE k WHEN 2 THEN NULL WHEN 3 THEN floor(p) WHEN 5 THEN round(p * 100) ELSE p END AS amount,
-    4.0::DOUBLE + CAST(day(order_date) % 7 AS DOUBLE) / 10.0::DOUBLE AS rate
+    CASE k WHEN 2 THEN NULL WHEN 3 THEN floor(p) WHEN 5 THEN round(p * 100) ELSE p END AS amount
   FROM mt
 )
 """
+# quotes of both sources on the order dates, and each order's newest fresh one
+MONEY_RATED = MONEY + """,
+qd AS (SELECT DISTINCT order_date AS d, datediff('day', DATE '1992-01-01', order_date) AS n FROM mt),
+qh AS (
+  SELECT d, unnest(CASE n % 5 WHEN 1 THEN [9, 15] WHEN 3 THEN [8] WHEN 4 THEN [0] ELSE [] END) AS h, 4.0::DOUBLE AS base, 'p' AS src FROM qd
+  UNION ALL SELECT d, unnest(CASE n % 5 WHEN 2 THEN [10] WHEN 3 THEN [12] ELSE [] END), 3.0::DOUBLE, 's' FROM qd),
+qs AS (SELECT src, CAST(d AS TIMESTAMP) + to_hours(h) AS q_ts,
+              base + CAST(day(d) % 7 AS DOUBLE) / 10.0::DOUBLE + CAST(h AS DOUBLE) / 100.0::DOUBLE AS q_rate FROM qh),
+pq AS (SELECT q_ts AS p_ts, q_rate AS p_rate FROM qs WHERE src = 'p'),
+sq AS (SELECT q_ts AS s_ts, q_rate AS s_rate FROM qs WHERE src = 's'),
+asked AS (SELECT *, CAST(order_date AS TIMESTAMP) + to_hours(o_orderkey % 24) + to_minutes(o_orderkey % 60) AS t FROM mt2),
+as1 AS (SELECT asked.*, p_ts, p_rate FROM asked ASOF LEFT JOIN pq ON asked.t >= pq.p_ts),
+as2 AS (SELECT as1.*, s_ts, s_rate FROM as1 ASOF LEFT JOIN sq ON as1.t >= sq.s_ts),
+rated AS (SELECT *, coalesce(CASE WHEN t - p_ts < INTERVAL 6 HOUR THEN p_rate END, CASE WHEN t - s_ts < INTERVAL 30 HOUR THEN s_rate END) AS rate
+          FROM as2)
+"""
 BRL = "translate(format('{:,.2f}', CASE WHEN (@X) > 0 AND (@X) < 0.01 THEN 0.01 ELSE (@X) END), ',.', '.,')"
 
 add("money_mentions", MONEY + "@@\nSELECT o_orderkey, 0::INTEGER AS pos, mention FROM mt2 WHERE mention IS NOT NULL")
 add("money_parse", MONEY + "@@\nSELECT o_orderkey, amount FROM mt2 WHERE mention IS NOT NULL", ("amount",))
 add("money_format", f"SELECT o_orderkey, {BRL.replace('@X', 'o_totalprice')} AS brl FROM orders")
-add("money_rewrite", MONEY + r"""@@
+add("money_rewrite", MONEY_RATED + r"""@@
 SELECT o_orderkey,
-  CASE WHEN k = 2 THEN 'Pedido ' || o_orderkey || ' custa R$ ' || translate(format('{:,.2f}', p), ',.', '.,') || ' total'
+  CASE WHEN k <> 2 AND rate IS NULL THEN 'Pedido ' || o_orderkey || ' custa ' || mention || ' total'
+       WHEN k = 2 THEN 'Pedido ' || o_orderkey || ' custa R$ ' || translate(format('{:,.2f}', p), ',.', '.,') || ' total'
        ELSE 'Pedido ' || o_orderkey || ' custa ' || replace(mention, '$', '\$') || ' (R\$ ' || """
     + BRL.replace("@X", "amount * rate") + r""" || ')' || ' total' || chr(10) || '(valores sem impostos)' END AS rewritten
-FROM mt2
+FROM rated
 """)
-add("money_by_group", MONEY + """@@
-SELECT o_orderpriority, count(*) AS n_mentions, count(amount) AS n_parsed,
+add("money_by_group", MONEY_RATED + """@@
+SELECT o_orderpriority, count(*) AS n_mentions, count(amount) AS n_parsed, count(rate) AS n_converted,
   round(CAST(sum(CAST(amount AS DECIMAL(20, 2))) AS DOUBLE), 3) AS usd_total,
   round(CAST(sum(CAST(amount AS DECIMAL(20, 2)) * CAST(rate AS DECIMAL(6, 2))) AS DOUBLE), 3) AS brl_total
-FROM mt2 WHERE mention IS NOT NULL GROUP BY o_orderpriority
+FROM rated WHERE mention IS NOT NULL GROUP BY o_orderpriority
 """)
 add("fx_asof", """
 q1 AS (SELECT ts AS q_ts, event_id AS q_id, 4.0::DOUBLE + value / 1000.0::DOUBLE AS q_rate FROM events WHERE event_type = 'view'),

@@ -183,7 +183,7 @@ MONEY_SUFFIX = " total"
 def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer-like texts with one amount each, rendered six ways by ``o_orderkey % 6``:
     US thousands, BR with a space, ``R$`` (no mention), BR thousands without cents, plain
-    decimal, plain decimal with a trailing dot. ``rate`` is a synthetic daily quote."""
+    decimal, plain decimal with a trailing dot. ``asked_at`` is a moment of the order's day."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
     p = F.col("o_totalprice")
     us = F.format_number(p, 2)
@@ -205,13 +205,33 @@ def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderpriority",
         F.to_date("o_orderdate").alias("order_date"),
         text.alias("text"),
+        F.lit("USD-BRL").alias("pair"),
+        F.expr("cast(to_date(o_orderdate) as timestamp_ntz) + make_dt_interval(0, cast(o_orderkey % 24 as int), cast(o_orderkey % 60 as int), 0)").alias("asked_at"),
     )
 
 
-def daily_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic quote per order date: 4 + (day of month % 7) / 10."""
-    d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("rate_date")).distinct()
-    return d.withColumn("rate", F.lit(4.0) + (F.dayofmonth("rate_date") % 7).cast("double") / F.lit(10.0))
+# Seconds after which a money quote is stale, and the hours of primary and secondary quotes by
+# day number % 5: days without any, with one source or both.
+PRIMARY_AGE, SECONDARY_AGE = 6 * 3600, 30 * 3600
+PRIMARY_HOURS = {1: (9, 15), 3: (8,), 4: (0,)}
+SECONDARY_HOURS = {2: (10,), 3: (12,)}
+
+
+def money_quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Primary and secondary quotes on the order dates: gaps, stale quotes and fallback all occur."""
+    day = F.datediff("d", F.lit("1992-01-01"))
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("n", day)
+
+    def quotes(hours: dict[int, tuple[int, ...]], base: float, source: int) -> DataFrame:
+        when = F.when(F.lit(False), F.array(F.lit(0)))
+        for rest, own in hours.items():
+            when = when.when(F.col("n") % 5 == rest, F.array(*map(F.lit, own)))
+        each = days.select("d", "n", F.explode(when).alias("h"))
+        ts = F.expr("cast(d as timestamp_ntz) + make_dt_interval(0, h, 0, 0)")
+        rate = F.lit(base) + (F.dayofmonth("d") % 7).cast("double") / F.lit(10.0) + F.col("h").cast("double") / F.lit(100.0)
+        return each.select(F.lit("USD-BRL").alias("pair"), ts.alias("ts"), ((F.col("n") * 24 + F.col("h")) * 2 + source).cast("bigint").alias("quote_id"), rate.alias("rate"))
+
+    return quotes(PRIMARY_HOURS, 4.0, 0), quotes(SECONDARY_HOURS, 3.0, 1)
 
 
 def rate_quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
