@@ -125,7 +125,7 @@ def grow(leaves: DataFrame, kind: str, top_stage: str | None) -> tuple[list[Stag
         level += HOP
 
 
-def climb(start: DataFrame, nodes: DataFrame, broadcast: bool, own: str) -> DataFrame:
+def climb(start: DataFrame, nodes: DataFrame, broadcast: bool) -> DataFrame:
     """Ascend from every row of ``start`` while ``nodes`` has its node, by one recursive query. Its rows
     of all steps are written, and only those whose next node is elsewhere are returned."""
     spark = start.sparkSession
@@ -134,9 +134,9 @@ def climb(start: DataFrame, nodes: DataFrame, broadcast: bool, own: str) -> Data
         WITH RECURSIVE climb(own, stage, tree, idx, folded, siblings, subroot, root) AS (
           SELECT own, stage, tree, idx, folded, siblings, subroot, root FROM {{start}}
           UNION ALL
-          SELECT {hint} c.own, n.up_stage, n.up_tree, n.up_idx, {fold("n.path", "c.folded")},
-                 concat(c.siblings, {siblings("n.path")}), coalesce(c.subroot, n.top),
-                 CASE WHEN n.up_stage IS NULL THEN n.top END
+          SELECT {hint} c.own, n.up_stage, n.up_tree, n.up_idx, unhex({fold("n.path", "lower(hex(c.folded))")}),
+                 concat(c.siblings, {siblings("n.path")}), coalesce(c.subroot, unhex(n.top)),
+                 CASE WHEN n.up_stage IS NULL THEN unhex(n.top) END
           FROM climb c JOIN {{nodes}} n ON n.stage = c.stage AND n.tree = c.tree AND n.idx = c.idx)
         SELECT * FROM climb""", start=start, nodes=nodes)
     stored = [r[0] for r in nodes.select("stage").distinct().collect()]  # names of levels: a handful
@@ -165,18 +165,18 @@ def manifest(leaves: DataFrame, order: list[str]) -> tuple[list[Stage], DataFram
 
 
 def proofs(leaves: DataFrame, order: list[str]) -> DataFrame:
-    """``leaves`` (tree, digest, own, claimed, columns of ``order``; ``own`` is carried through) with
-    ``subroot``, ``root``, ``siblings`` (32 bytes each, leaf to root) and ``folded``, the root that
-    ``claimed`` gives with them."""
+    """Per row of ``leaves`` (tree, digest, own, claimed, columns of ``order``): ``own`` and ``digest`` as
+    they are, ``subroot``, ``root``, ``siblings`` (32 bytes each, leaf to root) and ``folded``, the root
+    that ``claimed`` gives with them."""
     spark = leaves.sparkSession
     kept = leaves.withColumn("own", F.struct("own", "digest", "claimed"))
     stages, _ = manifest(kept, order)
     bottom, *above = stages
-    path = F.col("path")
+    # hashes climb as 32 bytes: every step's rows are shuffled
     start = bottom.rows.select(
-        "own", F.col("up_stage").alias("stage"), F.col("up_tree").alias("tree"), F.col("up_idx").alias("idx"), path,
-        F.col("top").alias("subroot"), F.lit(None).cast("string").alias("root")).withColumns(
-        {"folded": F.expr(fold("path", "own.claimed")), "siblings": F.expr(siblings("path"))})
+        F.struct("own.own", F.unhex("own.digest").alias("digest")).alias("own"), F.col("up_stage").alias("stage"),
+        F.col("up_tree").alias("tree"), F.col("up_idx").alias("idx"), F.unhex("top").alias("subroot"), F.lit(None).cast("binary").alias("root"),
+        F.unhex(F.expr(fold("path", "own.claimed"))).alias("folded"), F.expr(siblings("path")).alias("siblings"))
     columns = ["stage", "tree", "idx", "path", "up_stage", "up_tree", "up_idx", "top"]
     sizes = [s.rows.count() for s in above]
     small = len(above)
@@ -187,8 +187,10 @@ def proofs(leaves: DataFrame, order: list[str]) -> DataFrame:
             nodes = part[0].rows.select(*columns)
             for s in part[1:]:
                 nodes = nodes.unionByName(s.rows.select(*columns))
-            start = climb(start, nodes, broadcast, "own")
-    return start.select("own.own", "own.digest", "own.claimed", "subroot", "root", "siblings", "folded")
+            start = climb(start, nodes, broadcast)
+    as_hex = lambda c: F.lower(F.hex(c))
+    return start.select("own.own", as_hex("own.digest").alias("digest"), as_hex("subroot").alias("subroot"), as_hex("root").alias("root"),
+                        "siblings", as_hex("folded").alias("folded"))
 
 
 def verified(docs: DataFrame, columns: list[str], group: str, doc_id: str = "doc_id", tampered: dict[str, Column] | None = None) -> DataFrame:
