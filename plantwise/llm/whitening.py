@@ -153,11 +153,11 @@ def tridiagonal(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
 
 def below(diag: np.ndarray, off: np.ndarray, x: np.ndarray, tiny: float) -> np.ndarray:
     """Sturm counts: eigenvalues below each x, as negative pivots of the shifted matrix."""
-    q = diag[0] - x
-    count = (q < 0).astype(int)
-    for i in range(1, len(diag)):
-        q = np.where(np.abs(q) < tiny, -tiny, q)
-        q = diag[i] - x - off[i - 1] ** 2 / q
+    count = np.zeros(len(x), dtype=int)
+    q = np.full(len(x), np.inf)
+    for i in range(len(diag)):
+        q = diag[i] - x - (off[i - 1] ** 2 / q if i else 0)
+        q = np.where(np.abs(q) < tiny, -tiny, q)  # a pivot of zero counts as negative, here and in what follows
         count += q < 0
     return count
 
