@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from plantwise.operators.paging import build
+
 # The technical-sheet table schema (column, type).
 SPEC_SCHEMA = StructType(
     [StructField("id", LongType())]
@@ -21,6 +23,9 @@ SPEC_SCHEMA = StructType(
 )
 
 
+VALUE_PARTS = 64  # parts into which the distinct values of a column are dealt
+
+
 def head_tail(df: DataFrame, key: str | Sequence[str], n: int = 5) -> DataFrame:
     """L1: first and last ``n`` rows by an explicit order key (top-k per task, no full
     sort)."""
@@ -30,63 +35,15 @@ def head_tail(df: DataFrame, key: str | Sequence[str], n: int = 5) -> DataFrame:
     return head.unionByName(tail)
 
 
-def paginate(df: DataFrame, key: str | Sequence[str], page: int = 1, size: int = 20) -> DataFrame:
-    """L2: one page by an explicit order key, with ``showing a to b of n``.
+def paginate(df: DataFrame, key: str | Sequence[str], page: int = 1, size: int = 20, folder: str | None = None) -> DataFrame:
+    """L2: one page by an explicit order key, with ``showing a to b of n`` (see ``paging``). With a
+    ``folder``, the index written there serves every later page."""
+    return build(df, key, folder).page(page, size)
 
-    No paging (the whole frame) when it has ``size`` rows or fewer. The total is one
-    scalar count; the page itself is a top-(offset+size) per task, never a global sort.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    n = df.count()
-    if n <= size:
-        rows, first = df, 1
-        n_pages = 1
-    else:
-        n_pages = (n - 1) // size + 1
-        page = min(max(page, 1), n_pages)
-        rows = df.orderBy(*keys).offset((page - 1) * size).limit(size)
-        first = (page - 1) * size + 1
-    last = min(first + size - 1, n)
-    return rows.select(
-        "*",
-        F.lit(page if n > size else 1).alias("page"),
-        F.lit(n_pages).alias("n_pages"),
-        F.lit(first).alias("first_row"),
-        F.lit(last).alias("last_row"),
-        F.lit(n).cast("bigint").alias("n_total"),
-    )
 
-
-def page_numbers(df: DataFrame, key: str | Sequence[str], size: int = 20, partitions: int | None = None) -> DataFrame:
-    """L2 for deep paging: a 1-based row position and page number for *every* row.
-
-    Range-sort once (and stage the sorted table in the shared checkpoint folder), count
-    rows per range partition, turn the counts into prefix offsets (one number per
-    partition), and add them to the position inside the partition. No global
-    single-partition window. ``key`` must be unique for positions to be stable.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    from plantwise.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ranged = (
-        df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect()  # one row per partition
-    offsets, acc = {}, 0
-    for r in sorted(counts, key=lambda r: r["_pid"]):
-        offsets[r["_pid"]] = acc
-        acc += r["c"]
-    omap = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map()
-    within = F.col("_mid") - (F.col("_pid").cast("bigint") * F.lit(1 << 33))
-    pos = F.element_at(omap, F.col("_pid")) + within + 1
-    return ranged.withColumn("row_pos", pos).withColumn("page", F.floor((F.col("row_pos") - 1) / size) + 1).drop(
-        "_pid", "_mid"
-    )
+def page_numbers(df: DataFrame, key: str | Sequence[str], size: int = 20, folder: str | None = None) -> DataFrame:
+    """L2 for every row: its 1-based position and page."""
+    return build(df, key, folder).page_numbers(size)
 
 
 def distinct_values(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
@@ -120,22 +77,23 @@ def substring_all_columns(df: DataFrame, term: str, sample: int = 5, columns: Se
     """F13 + U2: for every column, how many rows contain ``term`` and up to ``sample``
     distinct matching values (the smallest ones); columns without a match are omitted.
 
-    Unpivot to (column, value), filter, count per distinct value (partial aggregation),
-    then a per-column rank limit that Spark applies before the shuffle.
+    One scan: unpivot to (column, value), filter, count per distinct value (partial aggregation). The
+    values are dealt by hash into parts of a column, each part keeps its count and its ``sample``
+    smallest values, and a column adds up its parts, so no task sees a column's distinct values whole.
     """
     cols = list(columns or df.columns)
     text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
     long = text.unpivot([], cols, "column_name", "value")
     counts = long.filter(F.col("value").contains(term)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
-    totals = counts.groupBy("column_name").agg(F.sum("c").alias("n_matches"))
-    w = Window.partitionBy("column_name").orderBy("value")
-    firsts = counts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample)
-    samples = firsts.groupBy("column_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "value"))), lambda s: s["value"]), ", ")
-        .alias("sample_values")
-    )
-    # one row per column on both sides: the join input is bounded by the column count
-    return totals.join(F.broadcast(samples), ["column_name"])
+    part = F.pmod(F.xxhash64("value"), F.lit(VALUE_PARTS)).alias("part")
+    by_part = Window.partitionBy("column_name", "part")
+    ranked = counts.select("column_name", part, "value", "c").select(
+        "column_name", "part", "value", F.row_number().over(by_part.orderBy("value")).alias("no"), F.sum("c").over(by_part).alias("c"))
+    kept = ranked.filter(F.col("no") <= sample).groupBy("column_name", "part").agg(
+        F.first("c").alias("c"), F.collect_list("value").alias("smallest"))
+    return kept.groupBy("column_name").agg(
+        F.sum("c").alias("n_matches"),
+        F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("smallest"))), 1, sample), ", ").alias("sample_values"))
 
 
 def ink_per_thousand(spec: DataFrame, inks: Sequence[tuple[str, str]],

@@ -7,6 +7,7 @@ with the SQL oracle regardless of summation order.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -576,10 +577,25 @@ def q_head_tail(spark, sf_dir):
     return br.head_tail(o, "o_orderkey", 5)
 
 
+def _order_pages(spark, sf_dir):
+    """The orders and the folder of their page index (built on first use)."""
+    from plantwise.sources.staging import stage_folder
+
+    o = fxt.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return o, stage_folder(spark, "order-pages", [fxt.os.path.join(sf_dir, "orders.parquet")])
+
+
 @register("paginate")
 def q_paginate(spark, sf_dir):
-    o = fxt.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return br.paginate(o, "o_orderkey", page=3, size=20)
+    o, folder = _order_pages(spark, sf_dir)
+    return br.paginate(o, "o_orderkey", page=3, size=20, folder=folder)
+
+
+@register("paginate_deep")
+def q_paginate_deep(spark, sf_dir):
+    """L2 beyond the end: the last page, read from its own range only."""
+    o, folder = _order_pages(spark, sf_dir)
+    return br.paginate(o, "o_orderkey", page=100_000_000, size=20, folder=folder)
 
 
 @register("distinct_machines")
@@ -599,12 +615,8 @@ def q_value_counts_top(spark, sf_dir):
 @rounded
 def q_point_lookup(spark, sf_dir):
     facts = fx.filter_facts(typed(spark, sf_dir), shifts=None, hours=None)
-    eq = {"maquina": POINT[0], "data": F.to_date(F.lit(POINT[1])), "turno": POINT[2]}
-    cond = None
-    for c, v in eq.items():
-        term = F.col(c) == (v if isinstance(v, F.Column) else F.lit(v))
-        cond = term if cond is None else cond & term
-    return facts.filter(cond).select("maquina", "data", "turno", "hora", "teep", "oee")
+    equals = {"maquina": POINT[0], "data": dt.date.fromisoformat(POINT[1]), "turno": POINT[2]}
+    return br.point_lookup(facts, equals, ["maquina", "data", "turno", "hora", "teep", "oee"])
 
 
 @register("substring_one")
@@ -691,8 +703,8 @@ def q_money_in_documents(spark, sf_dir):
 @register("page_index")
 def q_page_index(spark, sf_dir):
     """L2 for deep paging: position and page of every order, without a global window."""
-    o = fxt.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return br.page_numbers(o, "o_orderkey", size=20)
+    o, folder = _order_pages(spark, sf_dir)
+    return br.page_numbers(o, "o_orderkey", size=20, folder=folder)
 
 
 @register("stream_active_means")

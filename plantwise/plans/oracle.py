@@ -558,10 +558,16 @@ SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice, 'tail' AS part FROM o
 add("paginate", """
 n AS (SELECT count(*) AS n_total FROM orders)
 @@
-SELECT o_orderkey, o_custkey, 3 AS page, CAST((n_total - 1) // 20 + 1 AS INTEGER) AS n_pages, 41 AS first_row,
-  60 AS last_row, n_total
+SELECT o_orderkey, o_custkey, 3::BIGINT AS page, CAST((n_total - 1) // 20 + 1 AS BIGINT) AS n_pages, 41::BIGINT AS first_row,
+  60::BIGINT AS last_row, n_total
 FROM (SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40), n
 """)
+add("paginate_deep", """
+n AS (SELECT count(*) AS n_total, CAST((count(*) - 1) // 20 + 1 AS BIGINT) AS n_pages FROM orders)
+@@
+SELECT o_orderkey, o_custkey, n_pages AS page, n_pages, CAST((n_pages - 1) * 20 + 1 AS BIGINT) AS first_row, n_total AS last_row, n_total
+FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS no FROM orders), n WHERE no > (n_pages - 1) * 20
+""")
 add("distinct_machines", "SELECT DISTINCT maquina FROM sheet WHERE maquina IS NOT NULL")
 add("value_counts_top", f"""
 SELECT teep_text AS value, count(*) AS n FROM sheet WHERE data BETWEEN DATE '{P0}' AND DATE '{P1}'

@@ -22,7 +22,7 @@ STAGE_VERSION = "1"
 # Library files whose code decides what a staged table contains: a change to any of them
 # gives new stage folders, so a stale stage is never read.
 _CODE_DIRS = ("functions", "sources")
-_CODE_FILES = ("operators/facts.py",)
+_CODE_FILES = ("operators/facts.py", "operators/paging.py")
 
 
 def code_fingerprint() -> str:
@@ -68,6 +68,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def stage_folder(spark: SparkSession, name: str, sources: list[str]) -> str:
+    """The folder of what is derived from ``sources`` under ``name``."""
+    return shared_dir(spark, f"plantwise-stage-v{STAGE_VERSION}/{name}-{path_identity(spark, sources)}")
+
+
 def stage_once(
     spark: SparkSession,
     name: str,
@@ -79,8 +84,7 @@ def stage_once(
     partition_by: list[str] | None = None,
 ) -> str:
     """Return the path of the staged table, writing it first if it is not there yet."""
-    key = path_identity(spark, sources)
-    path = shared_dir(spark, f"plantwise-stage-v{STAGE_VERSION}/{name}-{key}")
+    path = stage_folder(spark, name, sources)
     if not exists(spark, path + "/_SUCCESS"):
         df = build()
         if files:

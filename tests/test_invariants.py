@@ -6,7 +6,6 @@ from plantwise.operators import activity as act
 from plantwise.operators import facts as fx
 from plantwise.operators import measures as ms
 from plantwise.operators import reconcile as rc
-from plantwise.operators.browse import page_numbers, paginate
 from plantwise.operators.context import context_by_group
 from plantwise.plans.catalog import PERIOD, typed
 from tests.conftest import SF_SMALL
@@ -60,20 +59,6 @@ def test_mean_of_means_from_sums_equals_direct(spark):
     assert abs(two["all"] - direct) < 1e-12
 
 
-def test_paginate_edges(spark):
-    for n, expect_pages in ((0, 1), (20, 1), (21, 2)):
-        df = spark.range(n).withColumnRenamed("id", "k")
-        out = paginate(df, "k", page=2, size=20).collect()
-        assert all(r.n_pages == expect_pages for r in out)
-        assert len(out) == (1 if n == 21 else n)
-
-
-def test_page_numbers_brute_force(spark):
-    df = spark.range(0, 1000, 1, 7).select((F.col("id") * 7919 % 1000).alias("k"))
-    got = {r.k: (r.row_pos, r.page) for r in page_numbers(df, "k", size=20, partitions=5).collect()}
-    assert got == {k: (k + 1, k // 20 + 1) for k in range(1000)}
-
-
 def test_context_brute_force(spark):
     data = [(1, i, "x" * (i % 7)) for i in range(50)] + [(2, 0, "curta"), (3, 0, "y" * 40), (3, 1, "")]
     df = spark.createDataFrame(data, "g int, pos int, line string")
