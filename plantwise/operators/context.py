@@ -1,108 +1,108 @@
 """Bounded text contexts per group.
 
-Every line adds at least one character (its newline), so only the first
-``max_chars + 1`` lines of a group can reach the output. That bound is applied in two
-phases so that a hot group never lands whole in one task: rows are first ranked within
-(group, hash salt) -- a hot group is spread over ``salts`` tasks -- and only the first
-``max_chars + 1`` of every salt bucket survive (a superset of the group's first lines);
-the per-group rank, the running character count and the collect then see at most
-``salts x (max_chars + 1)`` rows per group, and every kept line is cut to the budget left
-before it is collected. (Spark's own partial rank limit only applies to limits up to
-``spark.sql.optimizer.windowGroupLimitThreshold``, 1000 by default, which a context budget
-usually exceeds.)
+A context is a group's lines in order, joined by newlines and cut at a number of characters. Which
+lines reach it follows from lengths alone, so whole texts cross no shuffle before that is known:
+
+1. every line becomes (group, order, hash, length); equal lines at one place are counted together,
+   which makes the rest of the work safe for null and repeated order keys;
+2. these numbers are sorted by range of (group, order) -- as many ranges as the session has
+   shuffle partitions, so a hot group is as many tasks as its share of the lines -- and written;
+3. a line's offset is the sum over its group's earlier ranges (one number per group and range)
+   plus the running sum inside its range; ranges that begin beyond the budget are dropped first,
+   and lines that begin beyond it after;
+4. only the lines left, at most one per character of the budget and group, meet their texts again,
+   by a join on all of (group, order, hash, length), each text already cut to the budget.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plantwise.functions.text import TRUNCATION_MARK, row_line
+from plantwise.sources.staging import written
+
+
+def row_lines(df: DataFrame, columns: Sequence[str] | None = None, keep: Sequence[str] = (), out_col: str = "line") -> DataFrame:
+    """Render each row as ``k: v | k: v`` over ``columns`` (by default all), null and blank values
+    skipped."""
+    return df.select(*keep, row_line(df.columns if columns is None else columns).alias(out_col))
+
+
+def offsets(lines: DataFrame, group: list[str], order: list[str], max_chars: int, start: Column) -> DataFrame:
+    """Lines that begin inside the budget: their keys, copies, ``_start`` (of the first copy), and ``_total``,
+    the group's characters with a newline per line. ``start``: characters before a group's first line."""
+    spark = lines.sparkSession
+    place = [*group, *order, "_hash", "_size"]
+    sized = lines.groupBy(*place).agg(F.count(F.lit(1)).alias("_copies"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(sized.repartitionByRange(ranges, *place).select("*", F.spark_partition_id().alias("_range")), "context-sizes")
+    width = F.col("_copies") * (F.col("_size") + 1)
+    by_group = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    sums = placed.groupBy(*group, "_range").agg(F.sum(width).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(by_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*group, "_range", (start + before).alias("_before"), F.sum("_sum").over(by_group).alias("_total"))
+    # a header alone may fill the budget: a group's first line is kept in any case
+    sums = sums.where((F.col("_before") < max_chars) | (F.col("_before") == start)).select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_range").alias("_r"), "_before", "_total")
+    own = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)), F.col("_range") == F.col("_r"))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order, "_hash", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(sums, own).withColumn("_start", F.col("_before") + F.coalesce(F.sum(width).over(inside), F.lit(0)))
+    return near.where((F.col("_start") < max_chars) | (F.col("_start") == start)).select(*place, "_copies", "_start", "_total")
+
 
+def assembled(lines: DataFrame, group: list[str], order: list[str], line: str, max_chars: int, start: Column) -> DataFrame:
+    """Per group ``_body``, its lines joined by newlines as far as they begin inside the budget, and
+    ``_total`` (see ``offsets``)."""
+    place = [*group, *order, "_hash", "_size"]
+    text = F.coalesce(F.col(line), F.lit(""))
+    # two hashes and the length stand for a line among those at one place
+    keyed = lines.select(*group, *order, text.alias("_text")).select(
+        *group, *order, F.struct(F.xxhash64("_text"), F.hash("_text")).alias("_hash"), F.length("_text").alias("_size"),
+        F.substring("_text", 1, max_chars).alias("_text"))
+    kept = offsets(keyed.drop("_text"), group, order, max_chars, start)
+    kept = kept.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(place)), "_copies", "_start", "_total")
+    met = keyed.join(kept, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(place))))
+    # copies of a line are one member of the set, before and after the shuffle
+    parts = met.groupBy(*group).agg(
+        F.sort_array(F.collect_set(F.struct("_start", "_copies", "_size", "_text"))).alias("_parts"), F.max("_total").alias("_total"))
+    pieces = F.expr(f"""transform(_parts, p -> concat(
+        repeat(concat(p._text, '\n'), cast(least(p._copies, ({max_chars} - p._start) div (p._size + 1) + 1) - 1 as int)), p._text))""")
+    return parts.select(*group, F.array_join(pieces, "\n").alias("_body"), "_total")
 
-def row_lines(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), out_col: str = "line") -> DataFrame:
-    """Render each row as ``k: v | k: v`` (null and blank values skipped)."""
-    return df.select(*keep, row_line(columns).alias(out_col))
-
-
-def context_by_group(
-    lines: DataFrame,
-    group_col: str,
-    order_cols: Sequence[str],
-    name: F.Column,
-    max_chars: int = 30000,
-    line_col: str = "line",
-    salts: int = 16,
-) -> DataFrame:
-    """Per group ``--- name ---`` then its lines in order, newline-joined; cut at
-    ``max_chars`` characters (mid-line) with the truncation mark appended."""
-    order = [F.col(c) for c in order_cols]
-    keep = max_chars + 1
-    if salts > 1:
-        # phase 1: first `keep` rows of every (group, salt) bucket; order columns must be
-        # unique within a group so that ranks (and retries) are deterministic
-        salt = F.pmod(F.xxhash64(*order), F.lit(salts))
-        w_salt = Window.partitionBy(F.col(group_col), F.col("_salt")).orderBy(*order)
-        lines = (lines.withColumn("_salt", salt).withColumn("_r0", F.row_number().over(w_salt))
-                 .filter(F.col("_r0") <= keep).drop("_salt", "_r0"))
-    w_rank = Window.partitionBy(group_col).orderBy(*order)
-    ranked = lines.withColumn("_rn", F.row_number().over(w_rank)).filter(F.col("_rn") <= keep)
-    header = F.concat(F.lit("--- "), name.cast("string"), F.lit(" ---"))
-    ranked = ranked.withColumn("_hdr", header)
-    w_run = w_rank.rowsBetween(Window.unboundedPreceding, -1)
-    # character offset where each line starts: header + newline + previous lines and newlines
-    start = F.length("_hdr") + F.lit(1) + F.coalesce(F.sum(F.length(line_col) + 1).over(w_run), F.lit(0))
-    ranked = ranked.withColumn("_start", start)
-    inside = F.col("_start") < F.lit(max_chars)
-    piece = F.expr(f"substring({line_col}, 1, {max_chars} - _start)")
-    # Lines starting inside the budget are kept (cut to the budget left); the end offset
-    # over all ranked lines decides whether the full context is longer than the budget.
-    per_group = ranked.groupBy(group_col).agg(
-        F.first("_hdr").alias("_hdr"),
-        F.array_sort(F.collect_list(F.when(inside, F.struct(F.col("_rn"), piece.alias("_piece"))))).alias("_parts"),
-        F.max(F.col("_start") + F.length(line_col)).alias("_end"),
-    )
-    body = F.concat_ws("\n", F.col("_hdr"), F.array_join(F.transform("_parts", lambda p: p["_piece"]), "\n"))
-    return per_group.select(group_col, body.alias("_body"), "_end").select(
-        group_col,
-        F.when(F.col("_end") > max_chars,
-               F.concat(F.substring(F.concat(F.col("_body"), F.lit("\n")), 1, max_chars), F.lit(TRUNCATION_MARK)))
-        .otherwise(F.col("_body")).alias("context"),
-    )
+
+def cut(body: Column, whole: Column, max_chars: int) -> Column:
+    """``body``, or its first ``max_chars`` characters and the mark if ``whole`` characters are more."""
+    return F.when(whole > max_chars, F.concat(F.substring(F.concat(body, F.lit("\n")), 1, max_chars), F.lit(TRUNCATION_MARK))).otherwise(body)
+
+
+def context_by_group(lines: DataFrame, group_col: str, order_cols: Sequence[str], name: Column, max_chars: int = 30000,
+                     line_col: str = "line") -> DataFrame:
+    """Per group ``--- name ---`` then its lines in order, newline-joined; cut at ``max_chars``
+    characters (mid-line) with the truncation mark appended. ``name`` is an expression of the group.
+
+    A null line is an empty one. Rows of one order key stand in the order of their texts' hashes, null
+    keys first; repeated rows count as often as they occur; a null group is a group."""
+    header = F.concat(F.lit("--- "), F.coalesce(name.cast("string"), F.lit("")), F.lit(" ---"))
+    found = assembled(lines, [group_col], list(order_cols), line_col, max_chars, F.length(header) + 1)
+    body = F.concat(header, F.lit("\n"), F.col("_body"))
+    return found.select(group_col, cut(body, F.length(header) + F.col("_total"), max_chars).alias("context"))
 
 
 def context_all_sources(sources: Sequence[tuple[str, DataFrame]], order_cols: Sequence[str], max_chars: int = 30000,
                         line_col: str = "line") -> DataFrame:
     """One context over all sources under one budget: per source that has rows
     ``--- name ---`` and its lines in order, newline-joined, cut at ``max_chars`` characters with the
-    truncation mark appended. One row, ``context``.
-
-    Only order keys and lengths are ranked: a line adds at least its newline, so each source's first
-    ``max_chars + 1`` lengths (a top-k per task) decide which lines reach the budget, and only
-    those lines are fetched, at most ``max_chars + 1`` of them, already cut to the room left."""
-    limit = max_chars + 1
-    keyed, sized = None, None
+    truncation mark appended. One row, ``context``. Null and repeated order keys as in
+    ``context_by_group``."""
+    order = list(order_cols)
+    parts = []
     for no, (name, lines) in enumerate(sources):
-        own = lines.select(F.lit(no).alias("_no"), *order_cols, F.coalesce(F.col(line_col), F.lit("")).alias("_line"))
-        top = own.select("_no", *order_cols, F.length("_line").alias("_n")).orderBy(*order_cols).limit(limit)
-        head = F.lit(f"--- {name} ---")
-        top = top.withColumn("_head", head)
-        keyed = own if keyed is None else keyed.unionByName(own)
-        sized = top if sized is None else sized.unionByName(top)
-    # at most (max_chars + 1) rows of numbers per source stand in this one window
-    order = Window.partitionBy(F.lit(0)).orderBy("_no", *order_cols)
-    first = F.row_number().over(Window.partitionBy("_no").orderBy(*order_cols)) == 1
-    marked = sized.withColumn("_head", F.when(first, F.col("_head")))
-    width = F.col("_n") + 1 + F.when(F.col("_head").isNotNull(), F.length("_head") + 1).otherwise(0)
-    placed = marked.withColumn("_end", F.sum(width).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    placed = placed.withColumn("_start", F.col("_end") - F.col("_n")).withColumn("_rank", F.row_number().over(order))
-    begins = F.col("_start") - F.when(F.col("_head").isNotNull(), F.length("_head") + 1).otherwise(0)
-    inside = placed.withColumn("_total", F.max("_end").over(Window.partitionBy(F.lit(0)))).filter(begins < max_chars)
-    fetched = keyed.join(inside, ["_no", *order_cols]).select(
-        "_rank", "_total", F.concat_ws("\n", "_head", F.expr(f"substring(_line, 1, greatest({max_chars} - _start, 0))")).alias("_piece"))
-    body = fetched.agg(F.array_sort(F.collect_list(F.struct("_rank", "_piece"))).alias("_pieces"), F.max("_total").alias("_total"))
-    body = body.select("_total", F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "\n").alias("_body"))
-    return body.select(
-        F.when(F.col("_total") > max_chars, F.concat(F.substring(F.concat("_body", F.lit("\n")), 1, max_chars), F.lit(TRUNCATION_MARK)))
-        .otherwise(F.col("_body")).alias("context"))
+        own = lines.select(F.lit(no).alias("_no"), F.lit(1).alias("_row"), *order, F.col(line_col).alias("_line"))
+        # a source's header is a line before its first, if it has one
+        head = own.limit(1).select(
+            "_no", F.lit(0).alias("_row"), *(F.lit(None).cast(own.schema[c].dataType).alias(c) for c in order), F.lit(f"--- {name} ---").alias("_line"))
+        parts += [own, head]
+    found = assembled(reduce(DataFrame.unionByName, parts), [], ["_no", "_row", *order], "_line", max_chars, F.lit(0))
+    return found.select(cut(F.col("_body"), F.col("_total") - 1, max_chars).alias("context"))

@@ -475,14 +475,13 @@ def q_link_census(spark, sf_dir):
 # ---------------------------------------------------------------- T: rows and contexts
 @register("row_lines")
 def q_row_lines(spark, sf_dir):
-    conv = fxt.table(spark, sf_dir, "conversations")
-    return ctx.row_lines(conv, ["role", "text"], keep=["conv_id", "turn"])
+    """Every column of every row."""
+    return ctx.row_lines(fxt.table(spark, sf_dir, "conversations"), keep=["conv_id", "turn"])
 
 
 @register("context_by_group")
 def q_context_by_group(spark, sf_dir):
-    conv = fxt.table(spark, sf_dir, "conversations")
-    lines = ctx.row_lines(conv, ["role", "text"], keep=["conv_id", "turn"])
+    lines = ctx.row_lines(fxt.table(spark, sf_dir, "conversations"), keep=["conv_id", "turn"])
     return ctx.context_by_group(lines, "conv_id", ["turn"], F.col("conv_id"), CONTEXT_BUDGET)
 
 

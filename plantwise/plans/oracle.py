@@ -468,7 +468,7 @@ ac AS (SELECT conv_id, turn,
 SELECT conv_id, turn, text FROM ac WHERE text <> ''
 """)
 ROWLINE = r"""
-rl AS (SELECT conv_id, turn, concat_ws(' | ',
+rl AS (SELECT conv_id, turn, concat_ws(' | ', 'conv_id: ' || conv_id, 'turn: ' || turn,
   CASE WHEN role IS NOT NULL AND regexp_replace(role, '^\s+|\s+$', '', 'g') <> '' THEN 'role: ' || role END,
   CASE WHEN text IS NOT NULL AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' THEN 'text: ' || text END) AS line
   FROM conversations)

@@ -12,6 +12,7 @@ or an object store.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,3 +97,11 @@ def stage_once(
             writer = writer.option(k, v)
         writer.save(path)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder under the shared root and read back: what was dealt or numbered by
+    task stays as it was if an executor is lost, and lineage ends there."""
+    folder = shared_dir(df.sparkSession, f"plantwise-work/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
