@@ -5,6 +5,13 @@ sentence's score is a logistic function of its words' weights; the document's is
 noisy-or, 1 - prod(1 - p), so one offending sentence suffices and labels of documents train
 the scores of sentences. ``locate`` then gives the sentences that offend.
 
+Length alone is no evidence: an eighth of the clean training documents is kept out of training to
+see what clean sentences give (``background``), and a document's score counts only what exceeds
+that, 1 - exp(-(sum of -log(1 - p) - rate x sentences)). Sentences up to ``FLOOR`` give nothing, and
+sentences of one sum of weights (repeated ones, those without a known word) are one instance, so a
+repeated line adds nothing. In a text of n different sentences an offending one must so stand out
+from what n clean ones hold by chance.
+
 A word's weight is the sum of the weights of the word and of its beginnings of 3 to 6
 characters, so that inflected and compound forms share what their stem has learned.
 
@@ -14,12 +21,13 @@ a rare label is in it, and then the first of all others. Where one label is miss
 be learned: every text with a word scores 0 (or 1, if all are toxic), however long it is. Features seen in ``LEAST_DOCS`` documents or
 more are fitted by Adam on the whole sample, with a penalty on absolute weights that leaves most at 0,
 and the others are broadcast. Scoring is one pass over whole texts without a shuffle. Null, empty and wordless
-texts score 0. A label that is null counts as none; of several labels of one document the
+texts score 0. (Rows are bounded on the driver, their bytes are those of so many whole texts.) A label that is null counts as none; of several labels of one document the
 largest counts, and of several texts of one id one is learned from.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -37,6 +45,8 @@ BEGINNINGS = range(3, 7)
 ROUNDS = 200
 PENALTY = 1e-5
 THRESHOLD = 0.3
+FLOOR = 0.01
+CALIBRATE = 8  # one clean document in so many is calibrated on
 CACHE_WORDS = 500_000
 TOKENS = regex.compile(r"\p{L}++|[.!?\n]++")
 SENTENCES = regex.compile(r"[^.!?\n]++[.!?]*+")
@@ -83,6 +93,20 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.clip(p, 0, 1 - 1e-12)).sum()))
 
 
+def evidence(p: np.ndarray) -> float:
+    """Sum of -log(1 - p) over what sentences' scores exceed FLOOR by."""
+    above = np.clip(p - FLOOR, 0, None) / (1 - FLOOR)
+    return float(-np.log1p(-np.minimum(above, 1 - 1e-12)).sum())
+
+
+def background(texts: list[str], learned: dict[str, float], bias: float) -> float:
+    """Evidence per sentence in clean texts that were not learned from."""
+    weights = Weights(learned)
+    bags = [np.unique(weights.sentence_sums(t)) for t in texts]
+    n = sum(map(len, bags))
+    return sum(evidence(logistic(bias + b)) for b in bags) / n if n else 0.0
+
+
 def train(texts: list[str], labels: np.ndarray) -> tuple[dict[str, float], float]:
     """Weights of features and the bias, which is infinite if there is one class only."""
     if not (labels == 1).any() or (labels == 1).all():
@@ -149,8 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "true", doc_id: str = "
     # at most TRAIN_DOCS ids, so the broadcast and the result have a proven bound
     rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("__id")).select(
         "__id", "__label", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text")).dropDuplicates(["__id"]).toArrow().sort_by("__id")
-    learned, bias = train(rows["__text"].to_pylist(), np.array(rows["__label"].to_pylist(), dtype=int))
-    return {"weights": learned, "bias": bias, "key": zlib.crc32(repr((sorted(learned.items()), bias)).encode())}
+    texts, marks = rows["__text"].to_pylist(), np.array(rows["__label"].to_pylist(), dtype=int)
+    apart = (marks == 0) & (np.array([zlib.crc32(str(i).encode()) // 4 % CALIBRATE for i in rows["__id"].to_pylist()], dtype=int) == 0)
+    learned, bias = train([t for t, x in zip(texts, apart) if not x], marks[~apart])
+    rate = background([t for t, x in zip(texts, apart) if x], learned, bias) if np.isfinite(bias) else 0.0
+    return {"weights": learned, "bias": bias, "rate": rate, "key": zlib.crc32(repr((sorted(learned.items()), bias, rate)).encode())}
 
 
 _weights: dict[int, Weights] = {}
@@ -163,11 +190,11 @@ def worker_weights(model: dict) -> Weights:
     return _weights[model["key"]]
 
 
-def score_text(text: str, weights: Weights, bias: float) -> float:
-    sums = weights.sentence_sums(text)
+def score_text(text: str, weights: Weights, bias: float, rate: float = 0.0) -> float:
+    sums = np.unique(weights.sentence_sums(text))
     if np.isinf(bias):
         return float(len(sums) > 0 and bias > 0)
-    return noisy_or(logistic(bias + sums)) if len(sums) else 0.0
+    return -math.expm1(-max(0.0, evidence(logistic(bias + sums)) - rate * len(sums)))
 
 
 def locate(text: str, weights: Weights, bias: float, threshold: float) -> list[tuple[int, int, float]]:
@@ -189,11 +216,11 @@ def with_toxicity(docs: DataFrame, model: dict, text: str = "text", threshold: f
 
     @F.arrow_udf(f"score double, offending {spans}")
     def scored(texts: pa.Array) -> pa.Array:
-        weights, bias = worker_weights(shared.value), shared.value["bias"]
+        weights, bias, rate = worker_weights(shared.value), shared.value["bias"], shared.value["rate"]
         scores, found = [], []
         for value in texts:
             t = value.as_py() or ""
-            s = score_text(t, weights, bias)
+            s = score_text(t, weights, bias, rate)
             scores.append(s)
             found.append([{"start": a, "end": b, "score": p} for a, b, p in locate(t, weights, bias, threshold)] if s >= threshold else [])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
