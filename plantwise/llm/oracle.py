@@ -21,12 +21,15 @@ rates AS (
   SELECT source, CASE WHEN weight > 0 THEN weight / (SELECT sum(weight) FROM weighted) * (SELECT sum(size) FROM weighted) / size
                       ELSE 0 END AS rate FROM weighted),
 terms AS (
-  SELECT source, k, CASE WHEN k = 0 THEN 0 ELSE ln(k) END AS ln_k, rate
-  FROM (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 40) AS INTEGER) + 1)) AS k FROM rates WHERE rate > 0)),
-probs AS (SELECT source, k, exp(k * ln(rate) - rate - sum(ln_k) OVER (PARTITION BY source ORDER BY k)) AS p FROM terms),
-cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM probs),
+  SELECT source, rate, k, CASE WHEN k > min(k) OVER (PARTITION BY source) THEN ln(rate / k) ELSE 0 END AS ratio
+  FROM (SELECT source, rate, unnest(range(CAST(greatest(floor(rate - 12 * sqrt(rate) - 40), 0) AS BIGINT),
+                                          CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS k FROM rates WHERE rate > 0)),
+logs AS (SELECT source, k, sum(ratio) OVER (PARTITION BY source ORDER BY k) AS l FROM terms),
+probs AS (SELECT source, k, exp(l - max(l) OVER (PARTITION BY source)) AS p FROM logs),
+sums AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS s FROM probs),
+cdf AS (SELECT source, k, s / max(s) OVER (PARTITION BY source) AS c FROM sums),
 drawn AS (
-  SELECT d.doc_id, count(*) FILTER (WHERE c.c <= d.u) AS n
+  SELECT d.doc_id, min(c.k) FILTER (WHERE d.u < c.c) AS n
   FROM (SELECT doc_id, source, ({hash_number(MIX_SEED, "doc_id")} + 0.5) / pow(16.0, 13) AS u FROM documents) d
   JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source GROUP BY d.doc_id),
 copies AS (SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM drawn)
