@@ -11,7 +11,9 @@ Layout: vectors are dealt to cells by their nearest pivot, the pivots being a bo
 and a cell with more than ``SHARD`` vectors is split by id hash. One task builds one shard's
 tree and writes it as one row of the index. Queries get a first threshold from the sample,
 skip cells whose bound is below it, and meet the remaining shards in parts of about
-``QUERY_PART`` queries, so that no group grows with the data.
+``QUERY_PART`` queries, so that no group grows with the data. In a shard, queries are dealt to pages by
+a tree of their own, and a page of queries is searched as one: a node is dropped for all of them or
+kept for those whose bounds reach it, and what is left of two pages is one matrix product.
 
 Rows of one vector are interchangeable but for their id: at most k + 1 smallest ids of a
 vector can ever be returned, so the index keeps those (exactly), and equal queries are
@@ -40,6 +42,7 @@ SAMPLE = 4096
 PIVOTS = 1024
 SHARD = 8192
 QUERY_PART = 4096
+LEAST_PART = 256
 PAGE = 256
 FANOUT = 32
 SLACK = 1e-9  # relative, on bounds computed in doubles
@@ -164,6 +167,67 @@ class MTree:
                         heapq.heappush(heap, (-b, child, v))
         return ids, scores
 
+    def search_all(self, qs: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``search`` for many queries whose products doubles hold exactly: (query, id, score) of the k best
+        of each. A tree over the queries deals them to pages of near ones; a page of queries goes
+        through the nodes together, best first, each node only with the queries whose bounds reach
+        it, and the products left of a query page and a row page are one matrix block."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.computed = 0
+        if len(self.ids) and len(qs):
+            pages = MTree.build(np.arange(len(qs)), qs)
+            for lo, hi in zip(pages.first[pages.page], pages.last[pages.page]):
+                own = pages.ids[lo:hi]
+                q, ids, scores = self.search_page(pages.rows[lo:hi].astype(np.float64), k, least[own].astype(np.float64))
+                out.append((own[q], ids, scores))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+
+    def search_page(self, qs: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        length = np.sqrt((qs ** 2).sum(axis=1)) * (1 + SLACK)
+        found = [(np.empty(0, int), np.empty(0, np.int64), np.empty(0))]
+        pending, turn = 0, 1
+        own = qs @ self.rows[self.centre[0]]
+        heap = [(-float((own + length * self.radius[0]).max()), 0, 0, np.arange(len(qs)), own)]
+        while heap:
+            _, _, node, alive, own = heapq.heappop(heap)
+            keep = self.slacked(own + length[alive] * self.radius[node]) >= least[alive]
+            alive, own = alive[keep], own[keep]
+            if not len(alive):
+                continue
+            lo, hi = self.first[node], self.last[node]
+            reach, floor = length[alive][:, None], least[alive][:, None]
+            apart = self.row_dist[lo:hi] if self.page[node] else self.parent_dist[lo:hi] + self.radius[lo:hi]
+            near = self.slacked(own[:, None] + reach * apart) >= floor
+            some = np.flatnonzero(near.any(axis=0))
+            targets = lo + some if self.page[node] else self.centre[lo + some]
+            products = qs[alive] @ self.rows[targets].T
+            self.computed += products.size
+            if self.page[node]:
+                q, r = np.nonzero(products >= floor)
+                found.append((alive[q], self.ids[lo + some[r]], products[q, r]))
+                pending += len(q)
+                if pending > 8 * k * len(qs):
+                    found, pending = [self.best(found, k, least)], 0
+            else:
+                bounds = products + reach * self.radius[lo + some]
+                open_ = near[:, some] & (self.slacked(bounds) >= floor)
+                for j in np.flatnonzero(open_.any(axis=0)).tolist():
+                    on = open_[:, j]
+                    heapq.heappush(heap, (-float(bounds[on, j].max()), turn, int(lo + some[j]), alive[on], products[on, j]))
+                    turn += 1
+        return self.best(found, k, least)
+
+    @staticmethod
+    def best(found: list, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best (ties to smaller ids) of each query; raises ``least`` to the k-th."""
+        q, ids, scores = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == k - 1
+        least[q[last]] = np.maximum(least[q[last]], scores[last])
+        return q[place < k], ids[place < k], scores[place < k]
+
     @staticmethod
     def slacked(bound):
         return bound + abs(bound) * SLACK
@@ -237,7 +301,10 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
 
     asked = rows.where(F.col("id") % every == 0).distinct()
     classes = staged(asked.groupBy("vec").agg(F.min("id").alias("class")), fresh_folder(spark, "mtree-queries"))
-    parts = -(-classes.count() // QUERY_PART) or 1
+    # few shards are searched by smaller parts of the queries, so that all executors have work
+    asked_classes, tasks = classes.count(), 2 * spark.sparkContext.defaultParallelism
+    wanted = max(-(-asked_classes // QUERY_PART), -(-tasks // max(numbered, 1)))
+    parts = max(1, min(wanted, -(-asked_classes // LEAST_PART)))
 
     @F.arrow_udf("shards array<int>, least double")
     def route(vecs: pa.Array) -> pa.Array:
@@ -266,6 +333,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_i
             tree = MTree.load(left["tree"][0].as_py())
             if exact:
                 tree.rows = tree.rows.astype(np.float64)
+                names = right["class"].combine_chunks().to_numpy()
+                q, ids, scores = tree.search_all(matrix(right["vec"], width), k + 1, right["least"].combine_chunks().to_numpy())
+                return pa.table({"class": names[q], "vec_id": ids.astype(np.int64), "score": scores.astype(np.int64)})
             for c, q, least in zip(right["class"].to_pylist(), matrix(right["vec"], width), right["least"].to_pylist()):
                 ids, scores = tree.search(q, k + 1, least, exact)
                 for column, values in zip(out, ([c] * len(ids), ids.tolist(), scores.tolist())):
