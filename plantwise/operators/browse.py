@@ -23,6 +23,8 @@ SPEC_SCHEMA = StructType(
 )
 
 
+TRACKED = 10_000  # values of the frequent-items summary
+ERROR = 3.5  # its error bound times the tracked values, over all rows
 VALUE_PARTS = 64  # parts into which the distinct values of a column are dealt
 
 
@@ -52,12 +54,36 @@ def distinct_values(df: DataFrame, column: str, out: str | None = None) -> DataF
     return df.select(F.col(column).cast("string").alias(name)).dropna().distinct().orderBy(name)
 
 
-def value_counts_top(df: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """The ``k`` most frequent values (ties broken by value) -- a top-k report."""
+def full_counts_top(df: DataFrame, column: str, k: int) -> DataFrame:
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()).limit(k)
 
 
+def value_counts_top(df: DataFrame, column: str, k: int = 10, tracked: int = TRACKED) -> DataFrame:
+    """The ``k`` most frequent values (nulls are a value; ties broken by value) -- a top-k report.
+
+    Two passes, both exact in the end. The first is a frequent-items summary of at most ``tracked``
+    values per task, merged: a value it doesn't hold occurs at most ``ERROR / tracked`` of all rows,
+    and one it holds at most its estimate. The second counts only the summary's likeliest
+    values, bounded and broadcast. If the k-th exact count is above whatever any other value can
+    reach, the result is proven; if not (many values, none frequent), all values are counted."""
+    value = F.col(column)
+    asked = min(max(4 * k, 64), tracked)
+    summary = df.agg(F.count(F.lit(1)).alias("n"), F.call_function("approx_top_k", value.cast("string"), F.lit(asked), F.lit(tracked)).alias("top")).first()
+    found = [(r["item"], r["count"]) for r in summary["top"] or [] if r["item"] is not None]
+    rest = ERROR / tracked * summary["n"]  # of values the summary lost
+    if len(found) >= asked:
+        rest = max(rest, min(c for _, c in found))  # of values it holds that were not asked for
+    spark = df.sparkSession
+    likely = spark.createDataFrame([(v,) for v, _ in found], "item string")
+    met = df.select(value.alias("value")).join(F.broadcast(likely), F.col("value").cast("string") == F.col("item"), "left")
+    exact = met.where("item IS NOT NULL OR value IS NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    top = exact.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last()).limit(k).collect()  # k rows
+    if len(top) == k and top[-1]["n"] > rest:
+        return spark.createDataFrame(top, exact.schema).orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())
+    return full_counts_top(df, column, k)
+
+
 def point_lookup(df: DataFrame, equals: dict[str, object], columns: Sequence[str] | None = None) -> DataFrame:
     """conjunctive equality filter, then projection (pushed to the scan)."""
     cond: Column = F.lit(True)

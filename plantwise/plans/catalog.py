@@ -711,3 +711,37 @@ def q_page_index(spark, sf_dir):
 def q_stream_active_means(spark, sf_dir):
     """ST2 -> F7 + A2: per-shift means over active slots, from the stream's slot sums."""
     return st.means_from_slot_sums(st.ingest_slot_sums(spark, _landing(spark, sf_dir)))
+
+
+def _period_state(spark, sf_dir):
+    from plantwise.operators.period_state import PeriodState
+
+    return PeriodState.build(st.ingest_slot_sums(spark, _landing(spark, sf_dir)))
+
+
+@register("state_overall")
+@rounded
+def q_state_overall(spark, sf_dir):
+    """A1 from the stream's slot state, by two lookups."""
+    return _period_state(spark, sf_dir).means(*PERIOD, weekdays_below=5)
+
+
+@register("state_by_shift")
+@rounded
+def q_state_by_shift(spark, sf_dir):
+    """A2 from the stream's slot state."""
+    return _period_state(spark, sf_dir).means(*PERIOD, by=("turno",), weekdays_below=5)
+
+
+@register("state_by_day_shift")
+@rounded
+def q_state_by_day_shift(spark, sf_dir):
+    """A3 from the stream's slot state."""
+    return _period_state(spark, sf_dir).day_means(*PERIOD, weekdays_below=5)
+
+
+@register("state_period_sensitivity")
+@rounded
+def q_state_period_sensitivity(spark, sf_dir):
+    """R6 from the stream's slot state."""
+    return _period_state(spark, sf_dir).period_means(PERIODS)

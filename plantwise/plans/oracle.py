@@ -640,3 +640,6 @@ by_shift AS (SELECT data, turno, hora FROM pf_wd GROUP BY data, turno, hora HAVI
 SELECT maquina, data, turno, hora, teep, oee FROM pf_wd f
 WHERE EXISTS (SELECT 1 FROM by_shift s WHERE s.data = f.data AND s.turno = f.turno AND s.hora = f.hora)
 """, ("hora", "teep", "oee"))
+# the same figures from the stream's state
+for _name in ("oee_overall", "oee_by_shift", "oee_by_day_shift", "period_sensitivity"):
+    SQL[_name.replace("oee_", "state_") if _name.startswith("oee_") else f"state_{_name}"] = SQL[_name]

@@ -110,3 +110,38 @@ def test_lookup_is_pushed_to_the_scan(spark, tmp_path):
     out = browse.point_lookup(spark.read.parquet(str(tmp_path / "t")), {"m": "m2", "d": 2}, ["v"])
     assert [r.v for r in out.collect()] == [0.7]
     assert "EqualTo(m,m2)" in final_plan(out)
+
+
+def plain_top(values, k):
+    count = {}
+    for v in values:
+        count[v] = count.get(v, 0) + 1
+    return sorted(count.items(), key=lambda x: (-x[1], x[0] is None, x[0] or ""))[:k]
+
+
+@pytest.mark.parametrize("kind", ["frequent", "flat", "few", "null first", "ties"])
+@pytest.mark.parametrize("tracked", [64, 10_000])
+def test_frequent_values_equal_the_full_count(spark, monkeypatch, kind, tracked):
+    rnd = random.Random(9)
+    values = {
+        "frequent": lambda: [f"hot{rnd.randrange(12)}" if rnd.random() < 0.9 else f"v{rnd.randrange(10**6)}" for _ in range(30_000)],
+        "flat": lambda: [f"v{rnd.randrange(20_000)}" for _ in range(30_000)],
+        "few": lambda: ["a", "b", "b", None],
+        "null first": lambda: [None if rnd.random() < 0.5 else f"h{rnd.randrange(30)}" for _ in range(20_000)],
+        "ties": lambda: [f"t{i % 40:02d}" for i in range(20_000)],
+    }[kind]()
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(6)
+    full, calls = browse.full_counts_top, []
+    monkeypatch.setattr(browse, "full_counts_top", lambda *a: calls.append(1) or full(*a))
+    got = [tuple(r) for r in browse.value_counts_top(df, "v", 10, tracked).collect()]
+    assert got == plain_top(values, 10)
+    if kind == "flat":
+        assert calls  # nothing is frequent enough to be proven by the summary
+    if kind == "frequent" and tracked == 10_000:
+        assert not calls
+
+
+def test_frequent_numbers_and_an_empty_table(spark):
+    df = spark.createDataFrame([(i % 7,) for i in range(1000)], "v int")
+    assert [tuple(r) for r in browse.value_counts_top(df, "v", 3).collect()] == [(i, 143) for i in range(3)]
+    assert browse.value_counts_top(df.limit(0), "v", 3).collect() == []
