@@ -53,6 +53,15 @@ def answer_parts(df: DataFrame, text_col: str = "text", rate_col: str = "rate",
     return rows.select(*keep, "pos", "kind", "text", *out.values(), drive_direct_url(F.col("url"), F.col("render_kind")).alias("direct_url"))
 
 
+def link_counts(df: DataFrame, group_cols: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """T6 over a corpus: per group its texts, those with a link, and links. Texts are neither exploded
+    nor moved."""
+    found = df.select(*group_cols, F.coalesce(F.size(link_parts(F.col(text_col))), F.lit(0)).alias("_n"))
+    return found.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n_texts"), F.count(F.when(F.col("_n") > 0, 1)).alias("n_with_link"),
+        F.sum(F.greatest("_n", F.lit(0))).cast("bigint").alias("n_links"))
+
+
 def link_census(links: DataFrame) -> DataFrame:
     """Links per render kind, media type and host (partial aggregation map-side)."""
     host = F.nullif(F.regexp_extract(F.col("url"), HOST_PATTERN, 1), F.lit(""))

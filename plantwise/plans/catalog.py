@@ -467,6 +467,16 @@ def q_answer_cleanup(spark, sf_dir):
     return cleaned.filter(F.col("text").isNotNull())
 
 
+@register("links_in_texts")
+def q_links_in_texts(spark, sf_dir):
+    """T6 over whole texts as they are: page sources, conversations, documents and answers."""
+    corpora = {"pages": ("pages", "html"), "conversations": ("conversations", "text"), "documents": ("documents", "text")}
+    texts = [fxt.table(spark, sf_dir, t).select(F.lit(name).alias("corpus"), F.col(c).alias("text")) for name, (t, c) in corpora.items()]
+    texts.append(fxt.link_text(spark, sf_dir).select(F.lit("answers").alias("corpus"), "text"))
+    whole = texts[0].unionByName(texts[1]).unionByName(texts[2]).unionByName(texts[3])
+    return lk.link_counts(whole, ("corpus",))
+
+
 @register("link_census")
 def q_link_census(spark, sf_dir):
     return lk.link_census(_links(spark, sf_dir))
@@ -499,16 +509,18 @@ def q_scan_sheet(spark, sf_dir):
 
 
 def _production_sheet_path(spark, sf_dir):
-    """A headerless sheet with three leading junk lines (title, blank, caption)."""
+    """A headerless sheet whose one file begins with three lines that are no rows (title, blank cells,
+    caption); some keys are no numbers."""
     from plantwise.sources.staging import stage_once
 
     def build():
+        key = F.col("s_suppkey").cast("string")
         s = fxt.table(spark, sf_dir, "supplier").select(
-            F.col("s_suppkey").cast("string").alias("c0"), F.col("s_name").alias("c1"),
+            F.when(F.col("s_suppkey") % 10 == 0, F.concat(F.lit("K-"), key)).otherwise(key).alias("c0"), F.col("s_name").alias("c1"),
             F.col("s_nationkey").cast("string").alias("c2"))
         junk = spark.createDataFrame(
             [("PRODUCAO", None, None), (None, None, None), ("Cod", "Maquina", "Setor")], "c0 string, c1 string, c2 string")
-        return junk.unionByName(s)
+        return junk.coalesce(1).unionByName(s).coalesce(1)
 
     src = [fxt.os.path.join(sf_dir, "supplier.parquet")]
     return stage_once(spark, "production", src, build, fmt="csv", options={"header": "false"})
@@ -516,12 +528,17 @@ def _production_sheet_path(spark, sf_dir):
 
 @register("scan_headerless")
 def q_scan_headerless(spark, sf_dir):
-    """S2 + A10: machines of a headerless sheet; leading lines fail the key test."""
-    raw = sh.read_sheet_csv(spark, _production_sheet_path(spark, sf_dir), 3)
-    rows = raw.filter(F.col("c0").rlike("^[0-9]+$"))
+    """S2 + A10: machines of a headerless sheet whose first three lines are skipped by position."""
+    rows = sh.read_skipping(spark, _production_sheet_path(spark, sf_dir), 3, 3)
     return br.distinct_values(rows, "c1", "machine")
 
 
+@register("scan_skipping")
+def q_scan_skipping(spark, sf_dir):
+    """All rows after the first three lines, those with other than numeric keys included."""
+    return sh.read_skipping(spark, _production_sheet_path(spark, sf_dir), 3, 3)
+
+
 @register("scan_from_first_row")
 def q_scan_from_first_row(spark, sf_dir):
     """S2 with no row skipped: every line of a headerless sheet, title lines included."""

@@ -473,6 +473,16 @@ rl AS (SELECT conv_id, turn, concat_ws(' | ', 'conv_id: ' || conv_id, 'turn: ' |
   CASE WHEN text IS NOT NULL AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' THEN 'text: ' || text END) AS line
   FROM conversations)
 """
+add("links_in_texts", LINKS + r""",
+corpora AS (
+  SELECT 'pages' AS corpus, html AS text FROM pages UNION ALL SELECT 'conversations', text FROM conversations
+  UNION ALL SELECT 'documents', text FROM documents),
+counted AS (
+  SELECT corpus, coalesce(len(regexp_extract_all(text, '(?i)https?://[^\s)]+')), 0) AS n FROM corpora
+  UNION ALL SELECT 'answers', CASE WHEN k = 5 THEN 0 ELSE 1 END FROM lt)
+@@
+SELECT corpus, count(*) AS n_texts, count(*) FILTER (WHERE n > 0) AS n_with_link, CAST(sum(n) AS BIGINT) AS n_links FROM counted GROUP BY corpus
+""")
 add("row_lines", ROWLINE + "@@\nSELECT conv_id, turn, line FROM rl")
 add("context_by_group", ROWLINE + r""",
 cx AS (SELECT conv_id, '--- ' || conv_id || ' ---' || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS full_text
@@ -511,9 +521,12 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARC
 FROM customer
 """)
 add("scan_from_first_row", """
-SELECT CAST(s_suppkey AS VARCHAR) AS c0, s_name AS c1, CAST(s_nationkey AS VARCHAR) AS c2 FROM supplier
+SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'K-' ELSE '' END || s_suppkey AS c0, s_name AS c1, CAST(s_nationkey AS VARCHAR) AS c2 FROM supplier
 UNION ALL VALUES ('PRODUCAO', NULL, NULL), (NULL, NULL, NULL), ('Cod', 'Maquina', 'Setor')
 """)
+add("scan_skipping", """
+SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'K-' ELSE '' END || s_suppkey AS c0, s_name AS c1, CAST(s_nationkey AS VARCHAR) AS c2 FROM supplier
+""")
 add("source_profile", """
 SELECT 'sheet-erros' AS file_path, count(*) AS n_records, 6::INTEGER AS n_cols, true AS has_time, true AS has_machine_column FROM customer
 UNION ALL SELECT 'sheet-dacen', count(*), 4, true, true FROM supplier

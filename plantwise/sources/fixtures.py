@@ -331,20 +331,20 @@ def spec_table_path(spark: SparkSession, sf_dir: str) -> str:
 
 
 def typed_sheet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned sheet as a parquet table partitioned by date, written once (the
-    'clean once, report many times' layer). A ``rebalance`` hint lets adaptive execution
-    split a hot date across several writers and merge small ones."""
+    """The cleaned sheet as a parquet table partitioned by date and clustered by machine, written once
+    (the 'clean once, report many times' layer; see ``layout``)."""
     from pyspark.sql.types import BooleanType, DateType, DoubleType, StringType, StructField, StructType
 
     from plantwise.operators.facts import PERCENT_COLUMNS, typed_sheet
+    from plantwise.sources.layout import bloom_options, clustered
     from plantwise.sources.staging import stage_once
 
     src = os.path.join(sf_dir, "events.parquet")
 
     def build():
-        return typed_sheet(sheet_raw(spark, sf_dir)).hint("rebalance", "data")
+        return clustered(typed_sheet(sheet_raw(spark, sf_dir)), ["data"], ["maquina", "turno", "hora"])
 
-    path = stage_once(spark, "typed-sheet", [src], build, fmt="parquet", options={}, partition_by=["data"])
+    path = stage_once(spark, "typed-sheet", [src], build, fmt="parquet", options=bloom_options(["maquina"]), partition_by=["data"])
     schema = StructType(
         [StructField("maquina", StringType()), StructField("turno", StringType()), StructField("hora", DoubleType())]
         + [StructField(c, DoubleType()) for c in PERCENT_COLUMNS]

@@ -27,6 +27,21 @@ def read_sheet_csv(spark: SparkSession, path: str | list[str], n_cols: int, head
     )
 
 
+def read_skipping(spark: SparkSession, path: str | list[str], n_cols: int, k: int) -> DataFrame:
+    """Every file without its first ``k`` lines (blank ones count), by position, whatever they hold.
+
+    Files stay splittable: a line's number counts only in the split that begins its file, where Spark
+    reads lines in order; the first number of each such split is one row per file. Cells with line
+    breaks need ``read_record_sheet``."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("no"))
+    starts = lines.where(F.col("block") == 0).groupBy("file").agg(F.min("no").alias("first")).withColumnRenamed("file", "own")
+    later = (F.col("block") > 0) | (F.col("no") >= F.col("first") + k)
+    kept = lines.join(starts, F.col("file") == F.col("own"), "left").where(later & (F.trim("value") != ""))
+    schema = ", ".join(f"{c} string" for c in positional_schema(n_cols).names)
+    return kept.select(F.from_csv("value", schema, {"escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
 def read_record_sheet(spark: SparkSession, path: str | None, name: str = "") -> DataFrame:
     """Header row -> records, every cell text. A missing source gives an empty
     frame (and a warning), not a failure."""
