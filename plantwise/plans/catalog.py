@@ -564,6 +564,14 @@ def q_record_scan(spark, sf_dir):
     return sh.read_record_sheet(spark, fxt.record_sheet_path(spark, sf_dir, "erros"), "erros")
 
 
+@register("record_scan_split")
+def q_record_scan_split(spark, sf_dir):
+    """S4 with files read split by split: records may cross splits inside quoted cells."""
+    from plantwise.sources.records import read_record_files
+
+    return read_record_files(spark, fxt.record_sheet_path(spark, sf_dir, "erros"))
+
+
 @register("table_scan")
 @rounded
 def q_table_scan(spark, sf_dir):

@@ -520,6 +520,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARC
   CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment, 'peca "' || c_name || '", furo,' || chr(10) || 'fim' AS nota
 FROM customer
 """)
+SQL["record_scan_split"] = SQL["record_scan"]
 add("scan_from_first_row", """
 SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'K-' ELSE '' END || s_suppkey AS c0, s_name AS c1, CAST(s_nationkey AS VARCHAR) AS c2 FROM supplier
 UNION ALL VALUES ('PRODUCAO', NULL, NULL), (NULL, NULL, NULL), ('Cod', 'Maquina', 'Setor')

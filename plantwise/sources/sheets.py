@@ -84,22 +84,13 @@ def source_counts(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def source_profile(spark: SparkSession, folder: str | list[str]) -> DataFrame:
-    """S3: every file of a folder of sheets: rows, widest row in fields, blank ones included
-    (shape guard: the machine column is only meaningful when the sheet has more than one
-    column), and modification time, from the file's lines and metadata. Separators and line
-    breaks inside quoted cells don't count; a quoted cell's lines are one row."""
-    line = F.col("value")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    outside = F.regexp_replace(line, '"[^"]*"', "")
-    fields = F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1
-    lines = spark.read.text(folder).select(
-        "value", "_metadata.file_path", "_metadata.file_modification_time", quotes.alias("quotes"), fields.alias("fields"))
-    # a line with an odd number of quotes opens or closes a cell of several lines
-    odd = (F.col("quotes") % 2).cast("bigint")
-    return lines.groupBy("file_path").agg(
-        F.count(F.lit(1)).alias("_lines"),
-        F.sum(odd).alias("_odd"),
-        F.max(F.when(odd == 0, F.col("fields"))).alias("n_cols"),
-        F.max("file_modification_time").alias("modified"),
-    ).select("file_path", (F.col("_lines") - F.floor(F.col("_odd") / 2)).cast("bigint").alias("n_rows"), "n_cols", "modified",
-             (F.col("n_cols") > 1).alias("has_machine_column"))
+    """S3: every file of a folder of sheets: rows, widest row in fields (shape guard: the machine column is
+    only meaningful when the sheet has more than one column), and modification time. A record whose quoted
+    cells hold separators or line breaks is one row of its own width (see ``records``); large files are
+    read split by split."""
+    from plantwise.sources.records import records, width
+
+    per_file = records(spark, folder).groupBy("file").agg(F.count(F.lit(1)).alias("n_rows"), F.max(width("text")).alias("n_cols"))
+    times = spark.read.text(folder).groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.max("_metadata.file_modification_time").alias("modified"))
+    return times.join(per_file, F.col("file_path") == F.col("file"), "left").select(
+        "file_path", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "n_cols", "modified", (F.col("n_cols") > 1).alias("has_machine_column"))

@@ -62,3 +62,49 @@ def test_lookups_skip_files_and_row_groups(spark, tmp_path):
     assert sorted(r.v for r in a) == sorted(r.v for r in b) and rows < plain_rows / 3
     assert sorted(map(tuple, spark.read.parquet(path).select("machine", "tag", "v", "day").collect())) == sorted(
         map(tuple, df.select("machine", "tag", "v", "day").collect()))
+
+
+def quoted_file(rnd, n):
+    rows = [["k", "v", "w"]]
+    for i in range(n):
+        kind = rnd.random()
+        cell = "plain" if kind < 0.6 else 'a "quoted", cell' if kind < 0.8 else "\n".join("x" * rnd.randrange(30) for _ in range(rnd.randrange(1, 6))) + '\n"", end'
+        rows.append([str(i), cell, "" if i % 5 else "z,z"])
+    quote = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in '",\n') else c
+    return "\n".join(",".join(map(quote, r)) for r in rows) + "\n"
+
+
+@pytest.mark.parametrize("split", [64, 1000, 40_000])
+def test_records_across_splits_equal_the_multi_line_reader(spark, tmp_path, split):
+    from plantwise.sources.records import lines_of, read_record_files
+    from plantwise.sources.sheets import read_record_sheet, source_profile
+
+    rnd = random.Random(split)
+    n = 120 if split == 64 else 4000
+    (tmp_path / "one.csv").write_text(quoted_file(rnd, n))
+    (tmp_path / "two.csv").write_text(quoted_file(rnd, 7) + "\n\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert lines_of(spark, str(tmp_path)).select("file", "block").distinct().count() >= 4
+        out = read_record_files(spark, str(tmp_path))
+        got = sorted(map(str, (tuple(r) for r in out.collect())))
+        profile = {r.file_path[-7:]: (r.n_rows, r.n_cols, r.has_machine_column) for r in source_profile(spark, str(tmp_path)).collect()}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    whole = read_record_sheet(spark, str(tmp_path))
+    assert out.columns == whole.columns
+    assert got == sorted(map(str, (tuple(r) for r in whole.collect())))
+    assert profile == {"one.csv": (n + 1, 3, True), "two.csv": (8, 3, True)}
+
+
+def test_profile_of_records_that_all_span_lines_and_unclosed_quotes(spark, tmp_path):
+    from plantwise.sources.sheets import source_profile
+
+    (tmp_path / "a.csv").write_text('"x\ny",1,"p\nq"\n"u\nv",2,"r\n\ns"\n')
+    (tmp_path / "b.csv").write_text('a,b\n"never closed,\nto the end\n')
+    (tmp_path / "c.csv").write_text("")
+    got = {r.file_path[-5:]: (r.n_rows, r.n_cols) for r in source_profile(spark, str(tmp_path)).collect()}
+    assert got == {"a.csv": (2, 3), "b.csv": (2, 2)}
