@@ -41,7 +41,7 @@ def slot_sums(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def _run_available_now(df: DataFrame, name: str, key: str, output_mode: str = "append") -> str:
     spark = df.sparkSession
-    base = shared_dir(spark, f"plantwise-streams/{name}-{key}")
+    base = state_dir(spark, f"{name}-{key}")
     sink, ckpt = f"{base}/data", f"{base}/_checkpoint"
     q = (
         df.writeStream.format("parquet")
@@ -69,10 +69,17 @@ def ingest_facts(spark: SparkSession, landing: str, **facts_kwargs) -> DataFrame
     return spark.read.parquet(sink)
 
 
+NAMESPACE = "plantwise.state.namespace"  # session setting: states under another one start empty
+
+
+def state_dir(spark: SparkSession, name: str) -> str:
+    return shared_dir(spark, f"plantwise-state{spark.conf.get(NAMESPACE, '')}/{name}")
+
+
 def landed_rows(spark: SparkSession, landing: str, n_cols: int = 12) -> Ledger:
     """Ledger of a landing folder's raw rows."""
     schema = ", ".join(f"{c} string" for c in positional_schema(n_cols).names)
-    return Ledger(spark, shared_dir(spark, f"plantwise-landings/rows-{_key(landing, n_cols)}"), landing, n_cols, schema)
+    return Ledger(spark, state_dir(spark, f"landing-{_key(landing, n_cols)}"), landing, n_cols, schema)
 
 
 def refresh_landing(spark: SparkSession, landing: str, n_cols: int = 12, deep: bool = False, **facts_kwargs) -> DataFrame:
@@ -89,7 +96,7 @@ def landed_slot_sums(spark: SparkSession, landing: str, n_cols: int = 12, **fact
     def sums(raw: DataFrame) -> DataFrame:
         return slot_sums(oee_facts(raw, carry=("file_path",), **facts_kwargs), ("file_path",))
 
-    base = shared_dir(spark, f"plantwise-streams/slots-{_key(landing, n_cols, sorted(facts_kwargs.items()))}")
+    base = state_dir(spark, f"slots-{_key(landing, n_cols, sorted(facts_kwargs.items()))}")
     return Ledger(spark, f"{base}/ledger", landing, n_cols, SLOT_SUMS, sums)
 
 
