@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from plantwise.llm.secrets import RULES
 from plantwise.llm.queries import MIX_ALPHA, MIX_SEED
 
 SQL: dict[str, str] = {}
@@ -37,17 +36,29 @@ SELECT d.*, copy, {hash_number(MIX_SEED + 1, "doc_id", "copy")} AS shuffle_key F
 """
 
 
+# The kinds as their description states them, not as the operator writes them: name, pattern, group
+# that is measured, least length.
+KINDS = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("forge_token", "gh(?:o|p|s|u|r)_[[:alnum:]]{36,}", 0, 40),
+    ("signed_token", r"eyJ[\w-]{8,}[.]eyJ[\w-]{8,}[.][\w-]{8,}", 0, 1),
+]
+
+
 def scan_sql() -> str:
-    """Every rule's matches with their positions, from the pieces between them."""
+    """Every kind's matches with their positions, from the pieces between them."""
     parts = []
-    for no, r in enumerate(RULES, 1):
-        pattern = "'" + r.pattern.replace("'", "''") + "'"
+    for no, (name, found, group, least) in enumerate(KINDS, 1):
+        pattern = "'" + found.replace("'", "''") + "'"
         parts.append(f"""
-SELECT doc_id, {no} AS no, '{r.name}' AS kind, unnest(range(len(hits))) AS i,
+SELECT doc_id, {no} AS no, '{name}' AS kind, unnest(range(len(hits))) AS i,
        unnest([length(x) FOR x IN gaps[:len(hits)]]) AS gap, unnest([length(x) FOR x IN hits]) AS size,
-       unnest([length(x) >= {r.least} FOR x IN parts]) AS ok
+       unnest([length(x) >= {least} FOR x IN parts]) AS ok
 FROM (SELECT doc_id, string_split_regex(text, {pattern}) AS gaps, regexp_extract_all(text, {pattern}, 0) AS hits,
-             regexp_extract_all(text, {pattern}, {r.group}) AS parts FROM documents)""")
+             regexp_extract_all(text, {pattern}, {group}) AS parts FROM documents)""")
     return f"""
 WITH pieces AS ({" UNION ALL ".join(parts)}),
 placed AS (SELECT *, sum(gap + size) OVER (PARTITION BY doc_id, no ORDER BY i) AS stop FROM pieces),
