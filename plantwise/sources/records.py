@@ -39,39 +39,45 @@ def open_splits(lines: DataFrame) -> DataFrame:
     return odd.withColumn("open", F.sum("odd").over(earlier) % 2).where("open = 1").select("file", "block")
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (file, block, no, value, open) in order -> whole records, and the pieces of those that cross
-    a split: ``head`` (begins here), ``middle`` (the whole split) and ``tail``."""
-    import pyarrow as pa
-
-    names = ("file", "block", "no", "part", "text")
-    split, held, first, inside, whole = None, [], None, False, True
-    out = ([], [], [], [], [])
-
-    def emit(part: str) -> None:
-        for column, value in zip(out, (*split, first, part, "\n".join(held))):
-            column.append(value)
-
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("file", "block", "no", "value", "open")))
-        for file, block, no, value, opened in rows:
-            if split != (file, block):
-                if held:  # the last record of a split runs on into the next
-                    emit("head" if whole else "middle")
-                split, held, inside, whole = (file, block), [], bool(opened), not opened
-            if not held:
-                first = no
-            held.append(value)
-            inside ^= value.count('"') % 2 == 1
-            if not inside:
-                emit("whole" if whole else "tail")
-                held, whole = [], True
-        if out[0]:
+def line_joiner():
+    """The Arrow function of the second pass. It is made here, so that it travels to the tasks by value and
+    they need no copy of this package."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines (file, block, no, value, open) in order -> whole records, and the pieces of those that cross
+        a split: ``head`` (begins here), ``middle`` (the whole split) and ``tail``."""
+        import pyarrow as pa
+
+        names = ("file", "block", "no", "part", "text")
+        split, held, first, inside, whole = None, [], None, False, True
+        out = ([], [], [], [], [])
+
+        def emit(part: str) -> None:
+            for column, value in zip(out, (*split, first, part, "\n".join(held))):
+                column.append(value)
+
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("file", "block", "no", "value", "open")))
+            for file, block, no, value, opened in rows:
+                if split != (file, block):
+                    if held:  # the last record of a split runs on into the next
+                        emit("head" if whole else "middle")
+                    split, held, inside, whole = (file, block), [], bool(opened), not opened
+                if not held:
+                    first = no
+                held.append(value)
+                inside ^= value.count('"') % 2 == 1
+                if not inside:
+                    emit("whole" if whole else "tail")
+                    held, whole = [], True
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=names)
+                out = ([], [], [], [], [])
+        if held:
+            emit("head" if whole else "middle")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=names)
-            out = ([], [], [], [], [])
-    if held:
-        emit("head" if whole else "middle")
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=names)
+
+    return pieces
 
 
 def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -80,7 +86,7 @@ def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     lines = lines_of(spark, path)
     starts = open_splits(lines).withColumn("open", F.lit(True))
     flagged = lines.join(starts, ["file", "block"], "left").select("file", "block", "no", "value", F.coalesce("open", F.lit(False)).alias("open"))
-    found = flagged.sortWithinPartitions("file", "block", "no").mapInArrow(pieces, RECORD)
+    found = flagged.sortWithinPartitions("file", "block", "no").mapInArrow(line_joiner(), RECORD)
     whole = found.where("part = 'whole'").drop("part")
     # at most two pieces per split: a tail belongs to the last head before it
     order = Window.partitionBy("file").orderBy("block", "no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
