@@ -1,5 +1,6 @@
 """Operators that SQL cannot express, against brute force, round trips and held-out accuracy."""
 
+import collections
 import functools
 import math
 import random
@@ -326,6 +327,53 @@ def test_quality_rejects_other_languages_and_texts_without_common_words(spark):
     assert all(r.kept == (r.doc_id.split()[0] in words) and not r.base_failed for r in out)
 
 
+def word_distance_rows():
+    rnd = random.Random(11)
+    short = "the of and to in is it for that was on as".split()
+    long = {lang: ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(6, 10))) for _ in range(400)] for lang in ("en", "xx")}
+    text = lambda own, n: " ".join(rnd.choice(short if rnd.random() < 0.2 else own) for _ in range(n))
+    rows = [(f"own {i}", "en", text(long["en"], 200 + i)) for i in range(120)]
+    rows += [(f"other {i}", "en", text(long["xx"], 200 + i).title()) for i in range(4)]
+    return rows + [("twice", "xx", rows[0][2])] * 2 + [(None, None, rows[0][2]), ("null", "en", None), ("short", "en", "The of and"), ("xx", "xx", text(long["xx"], 900))]
+
+
+@pytest.mark.parametrize("hot_part", [1, 200, 1 << 22])
+def test_word_distance_counts_every_word(spark, monkeypatch, hot_part):
+    monkeypatch.setattr(quality, "HOT_PART", hot_part)
+    rows = word_distance_rows()
+    words = {t: collections.Counter(t.lower().split()) for _, _, t in rows if t}
+    refs = {lang: sum((words[t] for _, x, t in rows if x == lang and t), collections.Counter()) for lang in ("en", "xx")}
+
+    def distance(lang, text):
+        if lang is None or text is None or words[text].total() < 50:
+            return None
+        p, q = words[text], refs[lang]
+        shares = [(p[w] / p.total(), q[w] / q.total()) for w in q]
+        part = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
+        return math.sqrt(sum(part(a, b) + part(b, a) for a, b in shares) / 2)
+
+    out = quality.judge(spark.createDataFrame(rows, "doc_id string, lang string, text string")).collect()
+    assert len(out) == len(rows)
+    got = sorted((r.doc_id or "", r.lang or "", r.word_distance) for r in out)
+    want = sorted((d or "", lang or "", distance(lang, t)) for d, lang, t in rows)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and (g[2] is w[2] is None or abs(g[2] - w[2]) < 1e-9)
+    # same short words, but none of the language's long ones
+    assert all(r.kept == (r.doc_id.split()[0] == "own") for r in out if r.doc_id and r.doc_id.split()[0] in ("own", "other"))
+
+
+def test_chance_is_the_mean_divergence_of_draws(spark):
+    counts = [4000, 1500, 700, 300] + [60] * 40 + [5] * 300 + [1] * 2000
+    total = sum(counts)
+    table = spark.createDataFrame([("en", i, n) for i, n in enumerate(counts)], "ref_lang string, key long, n long")
+    levels = quality.chance_levels(table, spark.createDataFrame([("en", total)], "ref_lang string, ref_n long")).first().ref_chance
+    q, rnd = np.array(counts) / total, np.random.default_rng(5)
+    for level in (5, 8, 11):
+        p = rnd.multinomial(2 ** level, q, size=60) / 2 ** level
+        terms = np.where(p > 0, p * np.log2(np.where(p > 0, 2 * p / (p + q), 1)), 0) + q * np.log2(2 * q / (p + q))
+        assert abs(terms.sum(axis=1).mean() / 2 - levels[level]) < 0.015
+
+
 def test_jensen_shannon_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     got = spark.range(1).select(quality.jensen_shannon(F.array(*map(F.lit, p)), F.array(*map(F.lit, q)))).first()[0]
